@@ -128,7 +128,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def redemptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     amount = F.element_at(F.array(F.lit(5), F.lit(14), F.lit(40), F.lit(7)), (e % 4 + 1).cast("int"))
     return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
-        "event_id", "ts", "user_id",
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
         F.concat(F.lit("ACTV-"), F.lpad((e % 500).cast("string"), 4, "0"), F.lit("-AAAA-AAAA")).alias("code"),
         amount.alias("amount"))
 

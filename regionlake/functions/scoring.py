@@ -130,7 +130,8 @@ def text_confidence(page_type: Column, density: Column, text_quality: Column) ->
 def classify_content(df: DataFrame, reasons: bool = True) -> DataFrame:
     """Add content_class, certainty, score_<class> and (optionally) reasoning.
 
-    Built in steps, each a projection, so that no score is written out more than once in the plan.
+    Built in steps, each a projection, so that scores are computed once.  The raw formula score is never 0, so the sum is
+    positive, and the class follows from the raw scores: a filter pushed below these steps stays a short expression.
     """
     w, h, dens, vc, ar = c("w"), c("h"), c("density"), c("vertical_complexity"), c("aspect")
     ratio = w / h
@@ -144,29 +145,24 @@ def classify_content(df: DataFrame, reasons: bool = True) -> DataFrame:
         (w >= 150) & (h >= 150) & (dens >= 0.5) & (c("edge_density") <= 0.4)
         & ~any_of(("has_greek", "has_sup", "has_sub")),
     )
-    rule = reduce(lambda acc, r: acc.when(r[1], r[0]), list(enumerate(rules))[1:], F.when(rules[0], 0))
+    rule = reduce(lambda acc, r: acc.when(r[1], r[0] + 1), list(enumerate(rules))[1:], F.when(rules[0], 1))
     raw = class_scores(vc, dens, ar)
     out = df.withColumns({"_rule": rule} | {f"_raw{i}": s for i, s in enumerate(raw)})
-    out = out.withColumn("_sum", total([c(f"_raw{i}") for i in range(4)]))
-    scores = {}
-    for i, name in enumerate(CLASSES):
-        share = F.when(c("_sum") > 0, F.try_divide(c(f"_raw{i}"), c("_sum"))).otherwise(F.lit(0.25))
-        fixed = F.when(c("_rule") == 0, EXCLUSIONS[0][1][i])
-        for k in range(1, len(EXCLUSIONS)):
-            fixed = fixed.when(c("_rule") == k, EXCLUSIONS[k][1][i])
-        scores[f"score_{name}"] = fixed.otherwise(share)
-    out = out.withColumns(scores)
-    out = out.withColumn("certainty", F.greatest(*scores))
-    winner = F.when(c("score_formula") == c("certainty"), "formula").when(
-        c("score_image") == c("certainty"), "image").when(
-        c("score_table") == c("certainty"), "table").otherwise("text")
-    out = out.withColumn("content_class", winner)
+    by_rule = lambda values: F.element_at(F.array(*map(F.lit, values)), c("_rule"))
+    out = out.withColumns({
+        "_sum": total([c(f"_raw{i}") for i in range(4)]), "_best": F.greatest(*[f"_raw{i}" for i in range(4)])})
+    winner = reduce(lambda acc, i: acc.when(c(f"_raw{i}") == c("_best"), CLASSES[i]), (1, 2),
+                    F.when(c("_rule").isNotNull(), by_rule([e[0] for e in EXCLUSIONS])).when(
+                        c("_raw0") == c("_best"), CLASSES[0])).otherwise(CLASSES[3])
+    share = lambda fixed, value: F.when(c("_rule").isNotNull(), by_rule(fixed)).otherwise(F.try_divide(value, c("_sum")))
+    out = out.withColumns({
+        "content_class": winner, "certainty": share([max(e[1]) for e in EXCLUSIONS], c("_best")),
+    } | {f"score_{n}": share([e[1][i] for e in EXCLUSIONS], c(f"_raw{i}")) for i, n in enumerate(CLASSES)})
     if reasons:
-        fixed = F.when(c("_rule") == 0, F.array(*map(F.lit, EXCLUSIONS[0][2])))
-        for k in range(1, len(EXCLUSIONS)):
-            fixed = fixed.when(c("_rule") == k, F.array(*map(F.lit, EXCLUSIONS[k][2])))
-        out = out.withColumn("reasoning", fixed.otherwise(class_reasons(c("content_class"), c("certainty"))))
-    return out.drop("_rule", "_sum", *[f"_raw{i}" for i in range(4)])
+        fixed = F.element_at(F.array(*[F.array(*map(F.lit, e[2])) for e in EXCLUSIONS]), c("_rule"))
+        out = out.withColumn("reasoning", F.when(c("_rule").isNotNull(), fixed).otherwise(
+            class_reasons(c("content_class"), c("certainty"))))
+    return out.drop("_rule", "_sum", "_best", *[f"_raw{i}" for i in range(4)])
 
 
 def class_scores(vc: Column, dens: Column, ar: Column) -> list[Column]:
@@ -207,6 +203,7 @@ def class_reasons(cls: Column, conf: Column) -> Column:
                   (~any_of(("has_integral", "has_sum", "has_greek")), "无明显数学符号")],
         "table": [(c("has_grid"), "检测到网格线结构"), (F.lit(True), "规则布局"), (vc > 0.5, "多行结构")],
     }
-    marks = [F.when((cls == k) & cond, F.lit(text)) for k, items in per_class.items() for cond, text in items]
     percent = F.concat(F.lit("置信度: "), F.floor(conf * 100 + 0.5).cast("string"), F.lit("%"))
-    return F.array_compact(F.array(*marks, percent))
+    lists = [F.array(*[F.when(cond, F.lit(t)) for cond, t in items], percent) for items in per_class.values()]
+    picked = F.when(cls == "formula", lists[0]).when(cls == "text", lists[1]).when(cls == "image", lists[2]).otherwise(lists[3])
+    return F.array_compact(picked)

@@ -318,7 +318,7 @@ def content_class(spark, sf):
       ELSE [CASE WHEN has_grid THEN '检测到网格线结构' END, '规则布局', CASE WHEN vc > 0.5 THEN '多行结构' END] END, lambda s: s IS NOT NULL) END AS r FROM cls)
   SELECT reason, count(*) AS n FROM (SELECT unnest(r) AS reason FROM reasons) GROUP BY reason""")
 def content_reasons(spark, sf):
-    return _classified(spark, sf).select(F.explode("reasoning").alias("reason")).filter(
+    return _classified(spark, sf).select(F.explode_outer("reasoning").alias("reason")).filter(
         ~c("reason").startswith("置信度")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -335,10 +335,10 @@ def _scored(spark, sf):
         c("content_class"), c("certainty"), c("tightness"), c("kind"), c("confidence")))
 
 
-@query("pixel_confidence", f"""WITH {FEATURES}{_CLASS}{_PIXEL} SELECT page_no, id, round(score, 6) AS score,
+@query("pixel_confidence", f"""WITH {FEATURES}{_CLASS}{_PIXEL} SELECT page_no, id, round(score, 9) AS score,
   CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS level FROM px""")
 def pixel_confidence(spark, sf):
-    return _scored(spark, sf).select("page_no", "id", r6(c("score")).alias("score"), scoring.level(c("score")).alias("level"))
+    return _scored(spark, sf).select("page_no", "id", F.round(c("score"), 9).alias("score"), scoring.level(c("score")).alias("level"))
 
 
 @query("detections_by_class", f"""WITH {FEATURES}{_CLASS}{_PIXEL} SELECT content_class, count(*) AS candidates,
