@@ -97,7 +97,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.lit("∫ f ≤ ∞ · π"))
         .when(kind == 5, F.lit("\\begin{matrix} a"))
         .when(kind == 6, F.lit("{a_1}^{2"))
-        .otherwise(F.substring("text", 1, 40))
+        .otherwise(F.col("text"))
     )
     provider = F.element_at(
         F.array(F.lit("backend"), F.lit("zhipu"), F.lit("gemini"), F.lit("local")), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -120,7 +120,7 @@ def recognitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("latex"),
+        F.col("doc_id").alias("id"), F.col("text").alias("latex"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 37).cast("int"))
          ).alias("created_at"),
         F.when(F.col("doc_id") % 10 != 0, F.col("source")).alias("source"),
@@ -214,8 +214,62 @@ def raster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns of a conversation, both cut to 200 characters (self-join on the next turn number)."""
+    """Consecutive turns of a conversation, whole texts (self-join on the next turn number)."""
     t = table(spark, sf_dir, "conversations")
-    a = t.select("conv_id", "turn", F.substring("text", 1, 200).alias("original"))
-    b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 200).alias("modified"))
+    a = t.select("conv_id", "turn", F.col("text").alias("original"))
+    b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("modified"))
     return a.join(b, ["conv_id", "turn"])
+
+
+# ---------------------------------------------------------------- rasters
+LINE_CHARS, PAGE_LINES, GLYPH_W, GLYPH_H, PITCH = 80, 24, 4, 14, 30
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents set as page images: lines wrapped at 80 characters, 24 to a page, a pattern per character."""
+    import numpy as np
+    import pandas as pd
+
+    def render(batches):
+        place = np.arange(GLYPH_H)[:, None] // 2 * GLYPH_W + np.arange(GLYPH_W)[None, :]
+        for pdf in batches:
+            out = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                rows = [line[i:i + LINE_CHARS] for line in text.split("\n") for i in range(0, max(len(line), 1), LINE_CHARS)]
+                for page_no, first in enumerate(range(0, len(rows), PAGE_LINES)):
+                    page = np.full((PAGE_LINES * PITCH, LINE_CHARS * GLYPH_W), 255, np.uint8)
+                    for i, line in enumerate(rows[first:first + PAGE_LINES]):
+                        codes = np.array([0 if ch.isspace() else ord(ch) for ch in line], np.int64)
+                        bits = ((codes[:, None, None] * 2654435761) >> (place % 28)) & 1
+                        ink = (bits == 1) & (codes > 0)[:, None, None]
+                        strip = ink.transpose(1, 0, 2).reshape(GLYPH_H, -1) if len(codes) else np.zeros((GLYPH_H, 0), bool)
+                        page[i * PITCH:i * PITCH + GLYPH_H, :strip.shape[1]][strip] = 0
+                    out.append((doc_id, page_no, page.shape[1], page.shape[0], 1, page.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "page_no", "width", "height", "channels", "data"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # few bytes per row here become many below, so rows are spread before they grow
+    return docs.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id").mapInPandas(
+        render, "doc_id bigint, page_no int, width int, height int, channels int, data binary")
+
+
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text layer of `document_pages`: one item per wrapped line."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("_l", "_s"))
+    parts = lines.select("doc_id", "_l", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("_s") / LINE_CHARS).cast("int") - 1)),
+        lambda i: F.substr(F.col("_s"), i * LINE_CHARS + 1, F.lit(LINE_CHARS)))).alias("_p", "str"))
+    rows = scan(parts, ["doc_id"], ["_l", "_p"], number="_n")
+    at = (F.col("_n") - 1) % PAGE_LINES
+    return rows.filter("str <> ''").select(
+        "doc_id", F.floor((F.col("_n") - 1) / PAGE_LINES).cast("int").alias("page_no"), at.cast("int").alias("line_no"), "str",
+        F.lit(0.0).alias("x"), (at * PITCH + GLYPH_H).cast("double").alias("y"), (F.length("str") * float(GLYPH_W)).alias("width"),
+        F.lit(float(GLYPH_H)).alias("height"), (F.col("doc_id") % 5 == 0).alias("is_math_font"))
+
+
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 bitmaps as counts per row and column, aggregated from their cells."""
+    cells = raster_cells(spark, sf_dir).withColumn("_k", F.col("ink").cast("bigint"))
+    counts = lambda by: cells.groupBy("vec_id", by).agg(F.sum("_k").alias("n")).groupBy("vec_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(by, "n"))), lambda r: r["n"]).alias(by + "s"))
+    return counts("row").join(counts("col"), "vec_id").withColumns({"w": F.lit(8.0), "h": F.lit(8.0)})

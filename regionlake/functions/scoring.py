@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import LevelParams
+from .barrier import settle
 
 c = F.col
 STRONG = ("has_integral", "has_sum", "has_fraction", "has_matrix")
@@ -32,7 +33,7 @@ CLASSES = ("formula", "image", "table", "text")
 
 
 def points(flag: Column, value: float) -> Column:
-    return F.when(flag, F.lit(value)).otherwise(F.lit(0.0))
+    return F.when(flag, F.lit(float(value))).otherwise(F.lit(0.0))
 
 
 def total(terms) -> Column:
@@ -130,8 +131,8 @@ def text_confidence(page_type: Column, density: Column, text_quality: Column) ->
 def classify_content(df: DataFrame, reasons: bool = True) -> DataFrame:
     """Add content_class, certainty, score_<class> and (optionally) reasoning.
 
-    Built in steps, each a projection, so that scores are computed once.  The raw formula score is never 0, so the sum is
-    positive, and the class follows from the raw scores: a filter pushed below these steps stays a short expression.
+    Built in steps, each a projection, so that scores are computed once; the result is settled for later filters.  The
+    raw formula score is never 0, so the sum is positive and the class follows from the raw scores.
     """
     w, h, dens, vc, ar = c("w"), c("h"), c("density"), c("vertical_complexity"), c("aspect")
     ratio = w / h
@@ -162,7 +163,7 @@ def classify_content(df: DataFrame, reasons: bool = True) -> DataFrame:
         fixed = F.element_at(F.array(*[F.array(*map(F.lit, e[2])) for e in EXCLUSIONS]), c("_rule"))
         out = out.withColumn("reasoning", F.when(c("_rule").isNotNull(), fixed).otherwise(
             class_reasons(c("content_class"), c("certainty"))))
-    return out.drop("_rule", "_sum", "_best", *[f"_raw{i}" for i in range(4)])
+    return settle(out.drop("_rule", "_sum", "_best", *[f"_raw{i}" for i in range(4)]))
 
 
 def class_scores(vc: Column, dens: Column, ar: Column) -> list[Column]:

@@ -101,8 +101,8 @@ def tile_grid(pages: DataFrame, p: TileParams = TileParams()) -> DataFrame:
 def assign_to_tiles(items: DataFrame, pages: DataFrame, p: TileParams = TileParams(),
                     page: str = "page_id") -> DataFrame:
     """Tiles whose half-open area holds the origin (x, y) of an item.  Tile numbers are computed, not searched."""
-    sized = items.join(pages.select(page, "width", "height"), page)
-    small = c("width") * c("height") < p.threshold_area
+    sized = items.join(pages.select(page, c("width").alias("_pw"), c("height").alias("_ph")), page)
+    small = c("_pw") * c("_ph") < p.threshold_area
     zero = F.lit(0).cast("bigint")
     full = p.tile_size + 2 * p.margin
     cols = lambda side: F.ceil(c(side) / p.tile_size)
@@ -113,14 +113,14 @@ def assign_to_tiles(items: DataFrame, pages: DataFrame, p: TileParams = TilePara
         hi = F.least(cols(side) - 1, at + 1)
         return F.when(small, F.array(zero)).when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
-    rows = sized.withColumn("_r", F.explode(candidates("y", "height"))).withColumn(
-        "_c", F.explode(candidates("x", "width")))
+    rows = sized.withColumn("_r", F.explode(candidates("y", "_ph"))).withColumn(
+        "_c", F.explode(candidates("x", "_pw")))
     x0, y0 = (F.greatest(zero, c(i) * p.tile_size - p.margin) for i in ("_c", "_r"))
-    w = F.when(small, c("width")).otherwise(F.least(F.lit(full), c("width") - x0))
-    h = F.when(small, c("height")).otherwise(F.least(F.lit(full), c("height") - y0))
+    w = F.when(small, c("_pw")).otherwise(F.least(F.lit(full), c("_pw") - x0))
+    h = F.when(small, c("_ph")).otherwise(F.least(F.lit(full), c("_ph") - y0))
     inside = (c("x") >= x0) & (c("x") < x0 + w) & (c("y") >= y0) & (c("y") < y0 + h)
     return rows.filter(inside).select(
-        *items.columns, F.when(small, zero).otherwise(c("_r") * cols("width") + c("_c")).alias("tile_no"))
+        *items.columns, F.when(small, zero).otherwise(c("_r") * cols("_pw") + c("_c")).alias("tile_no"))
 
 
 def select_by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

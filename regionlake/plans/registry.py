@@ -84,12 +84,12 @@ replies_fx AS (
       WHEN 4 THEN '∫ f ≤ ∞ · π'
       WHEN 5 THEN '\begin{matrix} a'
       WHEN 6 THEN '{a_1}^{2'
-      ELSE substr(text, 1, 40) END AS reply
+      ELSE text END AS reply
   FROM documents)"""
 
 HISTORY = """
 history_fx AS (
-  SELECT doc_id AS id, substr(text, 1, 120) AS latex,
+  SELECT doc_id AS id, text AS latex,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 37 AS BIGINT)) AS created_at,
     CASE WHEN doc_id % 10 <> 0 THEN source END AS source, doc_id % 7 = 0 AS is_favorite
   FROM documents)"""
@@ -142,5 +142,5 @@ raster_fx AS (
 
 REVISIONS = """
 revisions_fx AS (
-  SELECT a.conv_id, a.turn, substr(a.text, 1, 200) AS original, substr(b.text, 1, 200) AS modified
+  SELECT a.conv_id, a.turn, a.text AS original, b.text AS modified
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
