@@ -164,12 +164,8 @@ def quality(gray: np.ndarray) -> tuple[float, float, float]:
 # ---------------------------------------------------------------- components
 def label(ink: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row runs of a mask and the component of each: (row, first x, last x + 1, component number)."""
-    h, w = ink.shape
-    padded = np.zeros((h, w + 2), np.int8)
-    padded[:, 1:-1] = ink
-    step = np.diff(padded, axis=1)
-    row, lo = np.nonzero(step == 1)
-    hi = np.nonzero(step == -1)[1]
+    w = ink.shape[1]
+    row, lo, hi = run_ends(ink)
     n = len(row)
     if n == 0:
         return row, lo, hi, np.zeros(0, np.int64)
@@ -240,10 +236,13 @@ def merge_boxes(boxes: np.ndarray, gap_x: int, gap_y: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- profiles
-def runs(ink: np.ndarray) -> np.ndarray:
-    """Lengths of ink runs along rows."""
-    _, lo, hi, _ = label(ink) if ink.size else (None, np.zeros(0), np.zeros(0), None)
-    return hi - lo
+def run_ends(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and last column + 1 of every ink run along rows."""
+    padded = np.zeros((ink.shape[0], ink.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = ink
+    step = np.diff(padded, axis=1)
+    row, lo = np.nonzero(step == 1)
+    return row, lo, np.nonzero(step == -1)[1]
 
 
 def profile(ink: np.ndarray) -> dict:
@@ -269,7 +268,8 @@ def profile(ink: np.ndarray) -> dict:
         edges = 0
     y = np.arange(int(h * 0.3), int(h * 0.7))
     slant = np.clip(np.floor(w * (1 - (y - h * 0.3) / (h * 0.4))), 0, w - 1).astype(int)
-    lengths = np.sort(runs(ink))
+    _, lo, hi = run_ends(ink)
+    lengths = np.sort(hi - lo)
     blanks = np.diff(np.concatenate([np.zeros((h, 1), np.int64), 1 - b], axis=1), axis=1)
     return {
         "rows": rows, "cols": b.sum(0), "cols_low": b[int(h * 0.2):].sum(0),
