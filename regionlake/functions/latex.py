@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # white space as the replies use it, beyond the ASCII kind
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+RARE_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # fixed values: symbol and the command it stands for
 SYMBOL_COMMANDS = """
@@ -57,19 +58,31 @@ def _pairs(table: str) -> list[tuple[str, str]]:
     return list(zip(words[::2], words[1::2]))
 
 
+def _ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.char_length(s)
+
+
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$(?![\\s\\S])", "")
+    """Without white space at both ends; texts without any there are not searched."""
+    edge = F.left(s, F.lit(1)).rlike(SPACE) | F.right(s, F.lit(1)).rlike(SPACE)
+    return F.when(edge, F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$(?![\\s\\S])", "")).otherwise(s)
+
+
+def plain_spaces(s: Column) -> Column:
+    """Rare kinds of white space as ordinary spaces: fixed-string replacement is much cheaper than a wide class."""
+    return F.when(_ascii(s), s).otherwise(reduce(lambda t, ch: F.replace(t, F.lit(ch), F.lit(" ")), RARE_SPACES, s))
 
 
 def collapse_spaces(s: Column) -> Column:
-    return strip(F.regexp_replace(s, f"{SPACE}+", " "))
+    return F.regexp_replace(F.regexp_replace(plain_spaces(s), r"\s+", " "), r"^ | $", "")
 
 
 # ---------------------------------------------------------------- X9
-def _first_group(s: Column, patterns: list[str]) -> Column:
+def _first_group(s: Column, patterns: list[tuple[str, str]]) -> Column:
+    """First pattern that matches; its mark is looked for before the pattern is tried."""
     out = None
-    for p in patterns:
-        hit, value = s.rlike(p), strip(F.regexp_extract(s, p, 1))
+    for mark, p in patterns:
+        hit, value = s.contains(mark) & s.rlike(p), strip(F.regexp_extract(s, p, 1))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(strip(s))
 
@@ -77,7 +90,8 @@ def _first_group(s: Column, patterns: list[str]) -> Column:
 def extract_latex(s: Column) -> Column:
     """Content of the first fenced latex block, else any fenced block, else display, else inline mathematics."""
     return _first_group(s, [
-        r"```latex\n?([\s\S]*?)\n?```", r"```\n?([\s\S]*?)\n?```", r"\$\$([\s\S]*?)\$\$", r"\$([\s\S]*?)\$"])
+        ("```latex", r"```latex\n?([\s\S]*?)\n?```"), ("```", r"```\n?([\s\S]*?)\n?```"),
+        ("$$", r"\$\$([\s\S]*?)\$\$"), ("$", r"\$([\s\S]*?)\$")])
 
 
 def extract_all_math(s: Column) -> Column:
@@ -110,10 +124,10 @@ def unwrap_model_output(s: Column) -> Column:
 # ---------------------------------------------------------------- X10
 def normalize_latex(s: Column) -> Column:
     """Strip dollars, write symbols as commands, collapse white space."""
-    bare = F.regexp_replace(s, r"^\$+|\$+$(?![\s\S])", "")
+    bare = F.when(s.startswith("$") | s.endswith("$"), F.regexp_replace(s, r"^\$+|\$+$(?![\s\S])", "")).otherwise(s)
     table = [(sym, f" \\{cmd} ") for sym, cmd in _pairs(SYMBOL_COMMANDS)] + list(SYMBOL_TEXT.items())
     spelled = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), table, bare)
-    return collapse_spaces(F.when(bare.rlike("[" + "".join(k for k, _ in table) + "]"), spelled).otherwise(bare))
+    return collapse_spaces(F.when(_ascii(bare), bare).otherwise(spelled))
 
 
 def text_to_latex(s: Column) -> Column:
@@ -131,14 +145,15 @@ def _balanced(s: Column, left: str, right: str) -> Column:
         n = acc["n"] + F.when(m == left, 1).otherwise(-1)
         return F.struct(n.alias("n"), (acc["bad"] | (n < 0)).alias("bad"))
 
-    return F.aggregate(marks, zero, step, lambda acc: ~acc["bad"] & (acc["n"] == 0))
+    walked = F.aggregate(marks, zero, step, lambda acc: ~acc["bad"] & (acc["n"] == 0))
+    return F.when(s.contains(left) | s.contains(right), walked).otherwise(F.lit(True))
 
 
 def validate_latex(s: Column) -> Column:
     """Brackets balanced, no open command argument, no double dollar, every environment followed by an end."""
     wrong = (
-        s.rlike(r"\\[a-zA-Z]+\s*\{[^}]*\z") | s.contains("$$")
-        | s.rlike(r"\\begin\{[^}]+\}(?![\s\S]*\\end\{[^}]+\})"))
+        s.contains("$$") | (s.contains("\\") & s.rlike(r"\\[a-zA-Z]+\s*\{[^}]*\z"))
+        | (s.contains("\\begin{") & s.rlike(r"\\begin\{[^}]+\}(?![\s\S]*\\end\{[^}]+\})")))
     return _balanced(s, "{", "}") & _balanced(s, "[", "]") & _balanced(s, "(", ")") & ~wrong
 
 

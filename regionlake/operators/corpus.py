@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,40 +13,60 @@ from pyspark.sql import types as T
 from ..functions import latex as lx
 from ..functions import scoring
 from ..functions import textmath as tm
+from ..params import MAX_WINDOW_ROWS
 from .ordered import has_hot_group, scan
 
 c = F.col
 
 
+def _edges(s):
+    """First and last two characters of a text that are not white space."""
+
+    def edge(cut):
+        near = cut(F.regexp_replace(cut(s, 32), f"{lx.SPACE}+", ""), 2)
+        whole = cut(F.regexp_replace(s, f"{lx.SPACE}+", ""), 2)
+        return F.when((F.char_length(near) == 2) | (F.char_length(s) <= 32), near).otherwise(whole)
+
+    return edge(lambda v, n: F.left(v, F.lit(n))), edge(lambda v, n: F.right(v, F.lit(n)))
+
+
+def _subscript(text, gap: str):
+    return text.contains("_") & (text.rlike(rf"[A-Za-z0-9]{gap}_{gap}\d") | text.rlike(r"_\{[^}]+\}"))
+
+
 def page_math_hint(items: DataFrame, page: Sequence[str] = ("doc_id",), order: str = "line_no",
-                   limit: int | None = None) -> DataFrame:
+                   limit: int = MAX_WINDOW_ROWS) -> DataFrame:
     """F8: whether the text of a page hints at mathematics, from its items (pages without text do not appear).
 
-    The reference text is the items joined by a space, which is never built.  Without white space every pattern but one
-    has three characters, so an item is tested together with the last two characters before it; the open-ended one,
+    The text of a page, its items joined by spaces, is never built.  Without white space every pattern but one has three
+    characters, so an item is tested alone and where it meets the last two characters before it; the open-ended one,
     an underscore with a brace closed later, is a first and last position per page.
     """
     page = list(page)
-    rows = items.select(*page, order, "str", F.regexp_replace("str", lx.SPACE, "").alias("_bare"))
-    tails = rows.withColumn("_end", F.expr("right(_bare, 2)"))
-    # items of white space only add nothing between their neighbours
-    full = tails.filter("_bare <> ''")
-    extra = {} if limit is None else {"limit": limit}
-    hot = has_hot_group(full, page, **{"limit": limit}) if limit is not None else None
-    near = scan(full, page, [order], previous={"_p1": "_end"}, hot=hot, **extra)
-    near = scan(near, page, [order], previous={"_p2": "_p1"}, hot=hot, **extra)
-    before = F.expr("right(concat(coalesce(_p2, ''), coalesce(_p1, '')), 2)")
-    joined = F.concat(before, c("_bare"))
+    head, tail = _edges(c("str"))
+    full = items.select(*page, order, "str", head.alias("_head"), tail.alias("_end")).filter("_head <> ''")
+    # items only get fewer from here on, so their counts bound every group; items of white space only add nothing
+    hot = has_hot_group(items, page, limit)
+    near = scan(full, page, [order], previous={"_p1": "_end"}, hot=hot)
+    near = scan(near, page, [order], previous={"_p2": "_p1"}, hot=hot)
+    near = near.withColumn("_seam", F.concat(
+        F.expr("right(concat(coalesce(_p2, ''), coalesce(_p1, '')), 2)"), c("_head")))
+    text, gap = c("str"), f"{lx.SPACE}*"
+
+    def spans(mark: str, after: str):
+        inside = text.contains(mark) & text.rlike(rf"[A-Za-z0-9]{gap}\{mark}{gap}{after}")
+        return inside | c("_seam").rlike(rf"[A-Za-z0-9]\{mark}{after}")
+
     signs = (
-        c("str").rlike(tm.ONLY_MATH) | joined.rlike(r"[A-Za-z0-9]=[A-Za-z0-9]") | joined.rlike(r"[A-Za-z0-9]\^\d")
-        | joined.rlike(r"[A-Za-z0-9]_\d") | c("str").rlike(r"_\{[^}]+\}") | c("str").rlike(tm.HINT_COMMANDS))
+        reduce(lambda a, b: a | b, [text.contains(ch) for ch in tm.ONLY_MATH])
+        | spans("=", "[A-Za-z0-9]") | spans("^", r"\d") | _subscript(text, gap) | c("_seam").rlike(r"[A-Za-z0-9]_\d")
+        | (text.contains("\\") & text.rlike(tm.HINT_COMMANDS)))
     found = near.groupBy(*page).agg(
         F.bool_or(signs).alias("_hit"),
-        F.min(F.when(c("str").rlike(r"_\{[^}]*\z"), c(order))).alias("_open"),
+        F.min(F.when(c("str").contains("_{") & c("str").rlike(r"_\{[^}]*\z"), c(order))).alias("_open"),
         F.max(F.when(c("str").contains("}"), c(order))).alias("_close"))
     hint = found.select(*page, (c("_hit") | F.coalesce(c("_open") < c("_close"), F.lit(False))).alias("hint"))
-    blank = tails.select(*page).distinct()
-    return blank.join(hint, page, "left").withColumn("hint", F.coalesce("hint", F.lit(False)))
+    return items.select(*page).distinct().join(hint, page, "left").withColumn("hint", F.coalesce("hint", F.lit(False)))
 
 
 def page_text(items: DataFrame, page: Sequence[str] = ("doc_id",), order: str = "line_no", part_rows: int = 10_000) -> DataFrame:
