@@ -180,10 +180,10 @@ def detections_by_class(df: DataFrame, min_confidence: float = 0.6) -> DataFrame
 
 # ---------------------------------------------------------------- order
 def reading_order(df: DataFrame, page: Sequence[str] = ("page_no",), tolerance: float = 20.0,
-                  limit: int = MAX_WINDOW_ROWS) -> DataFrame:
+                  limit: int = MAX_WINDOW_ROWS, hot: bool | None = None) -> DataFrame:
     """Line number (a new line where y grows by more than the tolerance) and position on the page."""
     page = list(page)
-    hot = has_hot_group(df, page, limit)
+    hot = has_hot_group(df, page, limit) if hot is None else hot
     rows = scan(df, page, ["y", "id"], previous={"_py": "y"}, hot=hot)
     rows = rows.withColumn("_new", F.coalesce((c("y") - c("_py") > tolerance).cast("int"), F.lit(0)))
     rows = scan(rows, page, ["y", "id"], sums={"_line": "_new"}, hot=hot)

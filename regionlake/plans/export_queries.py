@@ -36,8 +36,9 @@ _DONE = _BASE.replace("CASE WHEN y - lag", "CASE WHEN y - lag").replace("FROM j)
   SELECT doc_id, CAST(0 AS BIGINT) AS part_no, concat('# Report', chr(10), chr(10), '> Generated by regionlake on 2024-01-20', chr(10), '> Total Formulas: ', any_value(total), chr(10), chr(10),
     string_agg(piece, chr(10) ORDER BY page_no, pos), chr(10)) AS content FROM pc JOIN h USING (doc_id) GROUP BY doc_id""")
 def export_markdown(spark, sf):
+    df = _recognised(spark, sf)
     return exports.assemble(exports.export_markdown(
-        _recognised(spark, sf), group_by_page=True, comments=True, title="Report", include_failures=True, generated="2024-01-20"))
+        df, group_by_page=True, comments=True, title="Report", include_failures=True, generated="2024-01-20"), source=df)
 
 
 @query("export_latex", _DONE + """, h AS (SELECT doc_id, count(*) AS total FROM j GROUP BY doc_id),
@@ -47,7 +48,8 @@ def export_markdown(spark, sf):
     '\\documentclass{article}', '\\usepackage{amsmath}', '\\usepackage{amssymb}', '\\usepackage{amsfonts}', '', '\\begin{document}', '', body, '\\end{document}') AS content
   FROM h LEFT JOIN pc USING (doc_id)""".replace("\\\\", "\\"))
 def export_latex(spark, sf):
-    return exports.assemble(exports.export_latex(_recognised(spark, sf), generated="2024-01-20"))
+    df = _recognised(spark, sf)
+    return exports.assemble(exports.export_latex(df, generated="2024-01-20"), source=df)
 
 
 @query("export_text", _DONE + """, h AS (SELECT doc_id, count(*) AS total FROM j GROUP BY doc_id),
@@ -56,12 +58,14 @@ def export_latex(spark, sf):
   SELECT doc_id, CAST(0 AS BIGINT) AS part_no, concat_ws(chr(10), 'Exported Formulas - regionlake', 'Generated: 2024-01-20', concat('Total Formulas: ', total), '', repeat('=', 60), '', body) AS content
   FROM h LEFT JOIN pc USING (doc_id)""")
 def export_text(spark, sf):
-    return exports.assemble(exports.export_text(_recognised(spark, sf), generated="2024-01-20"))
+    df = _recognised(spark, sf)
+    return exports.assemble(exports.export_text(df, generated="2024-01-20"), source=df)
 
 
 @query("export_json")
 def export_json(spark, sf):
-    return exports.assemble(exports.export_json(_recognised(spark, sf), include_metadata=True, generated="2024-01-20"))
+    df = _recognised(spark, sf)
+    return exports.assemble(exports.export_json(df, include_metadata=True, generated="2024-01-20"), source=df)
 
 
 @query("export_numbered", _DONE + """ SELECT doc_id, CAST(0 AS BIGINT) AS part_no,

@@ -116,25 +116,30 @@ def otsu(gray: np.ndarray, flat: int = 128) -> int:
     return int(var.argmax()) if var.max() > 0 else flat
 
 
-def local_mean(gray: np.ndarray, half: int = 7) -> np.ndarray:
-    """Mean over a window of 2 * half + 1, clipped at the border, from an integral image."""
+def window_sum(gray: np.ndarray, half: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and size of a window of 2 * half + 1, clipped at the border, from an integral image.
+
+    Byte images below 8 M pixels are summed exactly in 32-bit integers.
+    """
     h, w = gray.shape
     d = 2 * half + 1
-    s = np.zeros((h + d, w + d))
+    kind = np.int32 if gray.dtype == np.uint8 and gray.size < 8_000_000 else np.float64
+    s = np.zeros((h + d, w + d), kind)
     inner = s[half + 1:half + 1 + h, half + 1:half + 1 + w]
-    np.cumsum(gray, axis=0, dtype=np.float64, out=inner)
-    np.cumsum(inner, axis=1, out=inner)
+    np.cumsum(gray, axis=0, dtype=kind, out=inner)
+    np.cumsum(inner, axis=1, dtype=kind, out=inner)
     s[half + 1:half + 1 + h, half + 1 + w:] = inner[:, -1:]
     s[half + 1 + h:] = s[half + h]
     band = s[d:] - s[:-d]
     size = lambda n: np.minimum(np.arange(n) + half + 1, n) - np.maximum(np.arange(n) - half, 0)
-    return (band[:, d:] - band[:, :-d]) / (size(h)[:, None] * size(w)[None, :])
+    return band[:, d:] - band[:, :-d], (size(h)[:, None] * size(w)[None, :]).astype(kind)
 
 
 def binarize(gray: np.ndarray, method: str, fixed: int = 180) -> np.ndarray:
     """Ink mask: darker than the local mean less 10, than Otsu's threshold, or than a fixed one."""
     if method == "adaptive":
-        return gray < local_mean(gray) - 10
+        total, size = window_sum(gray)
+        return gray * size < total - 10 * size
     if method == "otsu":
         return round_half_up(gray) < otsu(gray)
     return gray < fixed

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import latex as lx
-from ..operators.ordered import scan
+from ..operators.ordered import has_hot_group, scan
 from ..operators.regions import reading_order
+from ..params import MAX_WINDOW_ROWS
 
 c = F.col
 NAME = "regionlake"
@@ -34,9 +35,11 @@ def _ordered(df: DataFrame, doc: str, include_failures: bool, per_page: bool) ->
         F.count(F.lit(1)).alias("_total"), F.count_if(F.lit(include_failures) | c("success")).alias("_valid"),
         F.min(F.when(F.lit(include_failures) | c("success"), c("page_no"))).alias("_first_page"))
     kept = rows if include_failures else rows.filter("success")
-    placed = reading_order(kept, page=(doc, "page_no"))
+    # pages are parts of documents, so one question about documents covers both
+    hot = has_hot_group(df, [doc], MAX_WINDOW_ROWS)
+    placed = reading_order(kept, page=(doc, "page_no"), hot=hot)
     numbered = placed.withColumn("_number", c("position")) if per_page else scan(
-        placed, [doc], ["page_no", "position"], number="_number")
+        placed, [doc], ["page_no", "position"], number="_number", hot=hot)
     return numbered, totals
 
 
@@ -144,9 +147,14 @@ def export_numbered(df: DataFrame, fmt: str = "latex", include_numbers: bool = T
                        c("_n").cast("int").alias("position"), body.alias("piece"))
 
 
-def assemble(pieces: DataFrame, doc: str = "doc_id", rows_per_part: int = 10_000) -> DataFrame:
-    """Documents as (doc, part_no, content)."""
-    rows = scan(pieces, [doc], ["section", "page_no", "position"], number="_n")
+def assemble(pieces: DataFrame, doc: str = "doc_id", rows_per_part: int = 10_000, source: DataFrame | None = None) -> DataFrame:
+    """Documents as (doc, part_no, content).
+
+    ``source`` is the table the pieces were made from; a document has at most two pieces more than rows there, so asking
+    it for huge documents is cheaper than asking the pieces.
+    """
+    hot = None if source is None else has_hot_group(source, [doc], MAX_WINDOW_ROWS)
+    rows = scan(pieces, [doc], ["section", "page_no", "position"], number="_n", hot=hot)
     return rows.groupBy(doc, F.floor((c("_n") - 1) / rows_per_part).alias("part_no")).agg(
         F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_l")).select(
         doc, "part_no", F.array_join(F.transform("_l", lambda r: r["piece"]), "\n").alias("content"))

@@ -57,6 +57,9 @@ def test_median_mean_threshold():
     m = k.median3(g)
     assert all(m[y, x] == np.median(g[y - 1:y + 2, x - 1:x + 2]) for y in range(1, 16) for x in range(1, 22))
     assert (m[0] == g[0]).all()
+    for a in (g, g.astype(float) + 0.25):
+        local = np.array([[a[max(0, y - 7):y + 8, max(0, x - 7):x + 8].mean() for x in range(23)] for y in range(17)])
+        assert (k.binarize(a, "adaptive") == (a < local - 10)).all()
     flat = np.full((9, 9), 100, np.uint8)
     assert k.otsu(flat) == 128 and (k.equalize(flat) == 100).all()
     two = np.where(rng.random((20, 20)) < 0.3, 40, 200).astype(np.uint8)
