@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import latex as lx
 from ..functions import scoring
 from ..functions import textmath as tm
+from ..functions.barrier import settle
 from ..params import MAX_WINDOW_ROWS
 from .ordered import has_hot_group, scan
 
@@ -98,10 +99,10 @@ def detect_text(items: DataFrame, tile: tuple | None = None) -> DataFrame:
 def clean_corpus(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Cleaned and checked LaTeX of model replies: latex, likely, valid, markdown, text forms."""
     out = replies.withColumn("extracted", lx.extract_latex(c(reply)))
-    out = out.withColumn("latex", lx.normalize_latex(c("extracted")))
-    return out.withColumns({
+    out = settle(out.withColumn("latex", lx.normalize_latex(c("extracted"))))
+    return settle(out.withColumns({
         "likely": lx.likely_latex(c("latex")), "valid": lx.validate_latex(c("latex")),
-        "unknown": F.size(lx.unknown_commands(c("latex")))})
+        "unknown": F.size(lx.unknown_commands(c("latex")))}))
 
 
 def corpus_report(cleaned: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,6 +112,11 @@ def corpus_report(cleaned: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(~c("valid")).alias("invalid"), F.sum("unknown").cast("bigint").alias("unknown_commands"))
 
 
+def valid_results(df: DataFrame, column: str = "latex") -> DataFrame:
+    """Rows whose LaTeX is likely and valid."""
+    return settle(df).filter(lx.likely_latex(c(column)) & lx.validate_latex(c(column)))
+
+
 def unknown_command_report(cleaned: DataFrame, by: Sequence[str]) -> DataFrame:
     return cleaned.select(*by, F.explode(lx.unknown_commands(c("latex"))).alias("command")).groupBy(
         *by, "command").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..params import PROVIDER_PRIORITY
 from .ordered import scan
 
@@ -207,10 +208,13 @@ def map_tiles(tiles: DataFrame, fn, schema) -> DataFrame:
 
 
 def with_fallback(df: DataFrame, methods: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], key: str = "id") -> DataFrame:
-    """D3: each method sees the rows that no earlier one solved; results carry the method's name."""
+    """D3: each method sees the rows that no earlier one solved; results carry the method's name.
+
+    A method's results are written before they decide what the next one sees, so no method runs twice.
+    """
     left, out = df, None
     for name, method in methods:
-        got = method(left).withColumn("method", F.lit(name))
+        got = cut(method(left).withColumn("method", F.lit(name)))
         out = got if out is None else out.unionByName(got)
         left = left.join(got.select(key), key, "left_anti")
     return out

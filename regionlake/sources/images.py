@@ -47,7 +47,9 @@ def read_page_images(spark: SparkSession, path: str, limits: DocumentLimits = Do
         F.when(~ext.isin(*IMAGE_TYPES, *DECODABLE), "unsupported_type")
         .when(c("length") > limits.image_bytes, "too_large").when(~ext.isin(*DECODABLE), "no_decoder"))
     checked = files.withColumn("reason", reason)
-    images = page_pixels(spark.read.format("image").option("dropInvalid", False).load(path))
+    any_case = ",".join("".join(f"[{ch}{ch.upper()}]" if ch.isalpha() else ch for ch in t) for t in DECODABLE)
+    images = page_pixels(spark.read.format("image").option("dropInvalid", False).option(
+        "pathGlobFilter", f"*.{{{any_case}}}").load(path))
     key = lambda col: F.regexp_replace(col, "^file:/+", "/")
     admitted = checked.filter("reason IS NULL").select(key(c("path")).alias("_k"))
     pages = images.withColumn("_k", key(c("path"))).join(admitted, "_k", "left_semi").drop("_k")

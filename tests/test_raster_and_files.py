@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -293,3 +294,46 @@ def test_recognition_stream_and_fallback(spark, tmp_path):
         stream.stream_recognitions(src, str(tmp_path / "store"), str(tmp_path / "cp"), make).awaitTermination()
     out = {r.id: r.success for r in stream.recognised(spark, str(tmp_path / "store")).collect()}
     assert out == {"a": True, "b": True, "c": False}
+
+
+def test_detection_with_lines_and_crops(spark):
+    page = np.full((300, 300), 255)
+    page[100:104, 60:200] = 0
+    page[80:92, 100:140] = 0
+    page[112:126, 100:140] = 0
+    df = spark.createDataFrame(page_rows(page), PAGES)
+    text = spark.createDataFrame([(0, i, float(y), 14.0) for i, y in enumerate((96, 80, 112))],
+                                 "page_no int, line_no int, line_y double, line_h double")
+    p = replace(NATIVE, min_confidence=0.2)
+    alone = jobs.detect_regions(df, p=p).collect()
+    near = jobs.detect_regions(df, p=p, lines=text).collect()
+    assert len(alone) == len(near) == 1 and alone[0].kind == "display" and near[0].kind_confidence <= 1
+    found = jobs.detect_regions(df, p=p)
+    c = jobs.cut_crops(found, df).first()
+    assert c.width > 0 and len(c.data) == c.width * c.height
+    small = jobs.resize_pages(df, max_side=150).first()
+    assert (small.width, small.height) == (150, 150)
+    boxes = spark.createDataFrame([(0, "u", 1, 2, 3, 4), (9, "v", 1, 2, 3, 4)], "page_no int, id string, x int, y int, w int, h int")
+    r = jobs.select_region(boxes, df, scale=2.0).collect()
+    assert [(x.id, x.x, x.orig_x, x.confidence, x.kind) for x in r] == [("manual-0-u", 2.0, 1.0, 1.0, "display")]
+    ready = jobs.prepare_crops(found.sparkSession.createDataFrame([("k", 40, 20, 1, bytearray(range(200)) * 4)], "id string, width int, height int, channels int, data binary"), True).first()
+    assert min(ready.width, ready.height) >= 320 and set(bytes(ready.data)) <= {0, 255}
+
+
+def test_refined_box_keeps_ink():
+    page = np.full((100, 100), 255.0)
+    page[40:60, 30:70] = 0
+    x, y, w, h = k.refine_density(page, (28, 38, 44, 24), False, False, False)
+    assert x <= 30 and y <= 40 and x + w >= 70 - 1 and y + h >= 60 - 1 and w < 60 and h < 40
+    page[30:36, 30:70] = 0
+    _, y2, _, h2 = k.refine_density(page, (28, 38, 44, 24), True, False, True)
+    assert y2 <= 34 and h2 >= h
+
+
+def test_merge_tables_and_edits(spark):
+    base = spark.createDataFrame([(1, "a", False), (2, "b", False), (3, "c", True)], "id int, latex string, is_favorite boolean")
+    ch = spark.createDataFrame([(1, False, True), (3, True, None), (4, False, False)], "id int, is_deleted boolean, is_favorite boolean")
+    got = {r.id: (r.latex, r.is_favorite) for r in lifecycle.merge_tables(base, ch).collect()}
+    assert got == {1: ("a", True), 2: ("b", False), 4: (None, False)}
+    e = lifecycle.apply_edit(spark.createDataFrame([("x", "$x$", "\\frac{a}{b}"), ("x", "$x$", "plain")], "latex string, markdown string, edit string")).collect()
+    assert [(r.latex, r.markdown) for r in e] == [("\\frac{a}{b}", "$\\frac{a}{b}$"), ("x", "plain")]
