@@ -390,8 +390,8 @@ def cut_crops(regions: DataFrame, pages: DataFrame, keys: Sequence[str] = ("page
               chunk: int = 500) -> DataFrame:
     """F12 on pixels: padded crops of regions, enlarged; regions travel in bounded chunks as in `refine_boundaries`."""
     keys = list(keys)
-    sized = regions.join(pages.select(*keys, c("width").alias("page_w"), c("height").alias("page_h")), keys)
-    boxes = filters.crop_boxes(sized.select(*keys, "id", "x", "y", "w", "h", "page_w", "page_h"), pad)
+    size = pages.select(*keys, c("width").alias("page_w"), c("height").alias("page_h"))
+    boxes = filters.crop_boxes(regions.select(*keys, "id", "x", "y", "w", "h").join(size, keys), pad)
     n = boxes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_chunks"))
     packed = boxes.join(n, keys).withColumn("_chunk", F.pmod(F.xxhash64("id"), c("_chunks"))).groupBy(
         *keys, "_chunk").agg(F.collect_list(F.struct("id", "crop_x", "crop_y", "crop_w", "crop_h")).alias("boxes"))

@@ -17,5 +17,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from regionlake.deploy import ship
+
+    ship(s)
     yield s
     s.stop()

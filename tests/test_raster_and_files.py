@@ -299,8 +299,8 @@ def test_recognition_stream_and_fallback(spark, tmp_path):
 def test_detection_with_lines_and_crops(spark):
     page = np.full((300, 300), 255)
     page[100:104, 60:200] = 0
-    page[80:92, 100:140] = 0
-    page[112:126, 100:140] = 0
+    page[84:88, 100:140] = 0
+    page[112:116, 100:140] = 0
     df = spark.createDataFrame(page_rows(page), PAGES)
     text = spark.createDataFrame([(0, i, float(y), 14.0) for i, y in enumerate((96, 80, 112))],
                                  "page_no int, line_no int, line_y double, line_h double")
