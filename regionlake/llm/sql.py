@@ -21,9 +21,9 @@ shared AS (
   FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 linked AS (
   SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE k >= 0.8 * (p.n + q.n - k)),
-reach(node, at) AS (
-  SELECT doc_id, doc_id FROM worded UNION SELECT node, y FROM reach JOIN linked ON x = at),
-class AS (SELECT node, min(at) AS class_id FROM reach GROUP BY node),
+reach(node, goal) AS (
+  SELECT doc_id, doc_id FROM worded UNION SELECT node, y FROM reach JOIN linked ON x = goal),
+class AS (SELECT node, min(goal) AS class_id FROM reach GROUP BY node),
 copies AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS copy_id,
     CASE WHEN len(w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS n_copies
