@@ -1,28 +1,70 @@
-"""Stages that turn documents into a training mix; each is written as Parquet and read again by the next one."""
+"""Stages that turn documents into a training mix; each is written as Parquet and read again by the next one.
+
+Stages 1 to 4 return the columns of documents.  A document without an id is judged by its own text only: the first stage
+can drop it, later ones leave it.  Rows that share an id are one document and stay or go together.  An empty table stays
+empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionlake.deploy import ship
+from regionlake.llm.decontamination import contained_items
+from regionlake.llm.line_dedup import without_lines
 from regionlake.llm.ngram_join import ngram_jaccard_join
+from regionlake.llm.pareto_mix import n_words, pareto_mix
+from regionlake.llm.quality_gam import score_column, train
+from regionlake.llm.tables import store, table
 
+#: Stages learn and choose by models and hashes, which SQL does not express; tests hold them against plain Python.
 ORACLE_SQL = None
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (score below 0.3) go."""
+    score = score_column(train(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score(F.coalesce("text", F.lit(""))) >= 0.3)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document all of whose words stood in them goes with them.  n_chars follows the text."""
+    names = docs.columns
+    rows = without_lines(docs)
+    has_word = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    rows = rows.filter((F.col("n_removed") == 0) | has_word)
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", chars).select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the least id."""
-    leaders = ngram_jaccard_join(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(leaders.distinct(), "doc_id", "left_semi")
+    others = ngram_jaccard_join(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from regionlake.deploy import ship
-    from regionlake.llm.tables import store, table
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their sizes, the target of their source, copies and words taken."""
+    chosen = pareto_mix(docs).filter("copies > 0").select(
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "source_size", "target", "copies").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    size = n_words(F.col("text"))
+    return docs.join(chosen, same).select(*docs.columns, size.alias("size"), "source_size", "target", "copies", (size * F.col("copies")).alias("taken"))
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("decontaminate", decontaminate), ("mix", mix)]
 
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -33,3 +33,105 @@ links AS (
   FROM linked JOIN worded a ON a.doc_id = x JOIN worded b ON b.doc_id = y GROUP BY x)
 SELECT c.doc_id, copy_id, n_copies, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_linked_docs, 0) AS n_linked_docs
 FROM copies c JOIN class ON node = c.doc_id LEFT JOIN links ON x = c.doc_id"""
+
+HOST_RULES = "WITH" + WORDS + r""",
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM worded)),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM windows) WHERE n > 1)
+  GROUP BY doc_id),
+lined AS (
+  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+counted AS (
+  SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(x.text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(x.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM documents d JOIN worded x ON x.doc_id = d.doc_id JOIN lined y ON y.doc_id = d.doc_id
+    LEFT JOIN repeats r ON r.doc_id = d.doc_id),
+based AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+judged AS (
+  SELECT *, base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
+    OR word_chars > 15 * n_words AS failed
+  FROM based),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+moments AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts),
+sized AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v > 1 THEN m * (1 - m) / v - 1 ELSE 1 END AS k FROM moments),
+bad AS (SELECT source FROM hosts, sized WHERE (f + m * k) / (n + k) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed,
+  b.source IS NOT NULL AS host_failed, NOT base_failed AND b.source IS NULL AS kept
+FROM judged j LEFT JOIN bad b ON b.source = j.source"""
+
+LINE_DEDUP = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, raw, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line
+  FROM (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM split)),
+firsts AS (
+  SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
+halves AS (
+  SELECT line, first, n, m, n - m AS shorter, unnest([left(line, m // 2), right(line, m - m // 2)]) AS half, unnest([1, 2]) AS side
+  FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts WHERE n >= 20)),
+near AS (
+  SELECT DISTINCT a.line FROM halves a JOIN halves b ON a.half = b.half AND a.side = b.side AND a.m = b.m
+  WHERE b.first < a.first AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1),
+verdict AS (
+  SELECT l.doc_id, l.line_no, raw, l.line <> '' AS worded, l.line <> '' AND (l.doc_id, l.line_no) <> f.first AS again,
+    l.line <> '' AND (l.doc_id, l.line_no) = f.first AND k.line IS NOT NULL AS near
+  FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN near k ON k.line = l.line)
+SELECT doc_id, count(*) FILTER (WHERE worded AND NOT again AND NOT near) AS n_lines, count(*) FILTER (WHERE again OR near) AS n_removed,
+  count(*) FILTER (WHERE near) AS n_near,
+  coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE NOT coalesce(again, false) AND NOT coalesce(near, false)), '') AS text
+FROM verdict GROUP BY doc_id"""
+
+DECONTAMINATION = "WITH" + r"""
+sides AS (
+  SELECT false AS item, doc_id AS id, lower(coalesce(text, '')) AS text FROM documents
+  UNION ALL SELECT true, item_id, lower(coalesce(text, '')) FROM benchmark),
+worded AS (
+  SELECT item, id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM sides),
+grams AS (
+  SELECT DISTINCT item, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM worded, range(1, 6) r(k) WHERE len(w) >= k AND (k = 5 OR NOT item OR len(w) = k)),
+items AS (SELECT id, k, s, count(*) OVER (PARTITION BY id) AS n_item FROM grams WHERE item),
+shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item
+  FROM items i JOIN grams d ON NOT d.item AND d.k = i.k AND d.s = i.s GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM shared WHERE n_shared / n_item >= 0.8"""
+
+PARETO_MIX = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM sizes GROUP BY source),
+ratios AS (SELECT *, 3 * source_size / w AS ratio FROM sources),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0)) / (
+    sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM ratios WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, w * (SELECT max(level) FROM levels WHERE ratio >= level)) AS target
+  FROM levels),
+plans AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+drawn AS (
+  SELECT doc_id, s.source, size, source_size, target, whole, greatest(target - whole * source_size, 0) AS need,
+    (CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM sizes s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
+ranked AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to,
+    sum(size) OVER (PARTITION BY source, u) AS alike
+  FROM drawn)
+SELECT doc_id, source, size, source_size, target,
+  CAST(whole AS BIGINT) + CASE WHEN need > 0 AND up_to - alike / 2 <= need THEN 1 ELSE 0 END AS copies,
+  size * (CAST(whole AS BIGINT) + CASE WHEN need > 0 AND up_to - alike / 2 <= need THEN 1 ELSE 0 END) AS taken
+FROM ranked"""

@@ -54,11 +54,14 @@ def blocks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def hash_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of the texts data[at[i]:at[i+1]], and the number of words of each."""
+def hash_words(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = _WS, prefixes: tuple[int, ...] = ()):
+    """64-bit hashes of the words of the texts data[at[i]:at[i+1]], and the number of words of each.
+
+    ``gaps`` tells which bytes stand between words.  With ``prefixes``, hashes of the first p bytes of each word follow.
+    """
     base, n = at[0], len(at) - 1
     data = data[base:at[-1]]
-    ink = ~_WS[data]
+    ink = ~gaps[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     heads = (at[:-1] - base)[at[1:] > at[:-1]]
@@ -66,14 +69,25 @@ def hash_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(first)
     counts = np.zeros(n, np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return (np.zeros(0, np.uint64), counts, *(np.zeros(0, np.uint64) for _ in prefixes))
     word = np.cumsum(first)[ink] - 1
     place = np.flatnonzero(ink)
     depth = place - starts[word]
     value = _BYTE[data[place]] * _POW[depth % _POWERS] + (depth // _POWERS).astype(np.uint64)
-    hashes = mix(np.add.reduceat(value, np.flatnonzero(first[place])))
+    heads = np.flatnonzero(first[place])
     counts = np.diff(np.searchsorted(starts, at - base))
-    return hashes, counts
+    short = (mix(np.add.reduceat(value * (depth < p), heads)) for p in prefixes)
+    return (mix(np.add.reduceat(value, heads)), counts, *short)
+
+
+def distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many different hashes each text has."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[new], minlength=len(counts))
 
 
 def shingle(hashes: np.ndarray, counts: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
