@@ -61,7 +61,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, i
         "doc_id", F.explode(_of_widths(c("w"), widths)).alias("shingle")).join(sketches, "shingle").select("doc_id", "item_id")
     # one row for each document found, with its own items
     met = store(met.distinct().groupBy("doc_id").agg(F.collect_list("item_id").alias("items")), "met")
-    found = docs.join(met, "doc_id").select("doc_id", "items", words(c("text")).alias("w")).select(
+    found = docs.join(met.hint("merge"), "doc_id").select("doc_id", "items", words(c("text")).alias("w")).select(
         "doc_id", "items", F.array_distinct(_of_widths(c("w"), widths)).alias("own")).select(
         "doc_id", "own", F.explode("items").alias("item_id"))
     shared = found.join(items, "item_id").select(

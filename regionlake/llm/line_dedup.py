@@ -91,7 +91,7 @@ def _near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     lines = rows.join(shared, "gate").groupBy(c("first.doc_id").alias("doc_id")).agg(
         F.collect_set(F.struct(c("first.line_no").alias("line_no"), "sel")).alias("lines"))
     lines = store(lines, "gated_lines")  # a document's own lines only
-    found = docs.join(lines, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("text"), F.explode("lines").alias("s")).select(
+    found = docs.join(lines.hint("merge"), "doc_id").select("doc_id", F.split("text", "\n", -1).alias("text"), F.explode("lines").alias("s")).select(
         F.struct("doc_id", c("s.line_no").alias("line_no")).alias("first"), "s.sel", normal(F.get("text", c("s.line_no"))).alias("line"))
     found = store(found.distinct(), "near_candidates")
     keys = found.select("first", F.inline(_variants(c("line"), F.char_length("line"), c("sel")))).distinct()
@@ -120,7 +120,7 @@ def without_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
     left = bind(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), c("__gone")), lambda i: F.get(x, i)), "\n"))
     count = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    return docs.join(gone, c(f"`{id_col}`") == c("__id"), "left").withColumns({
+    return docs.join(gone.hint("merge"), c(f"`{id_col}`") == c("__id"), "left").withColumns({
         text_col: F.when(c("__gone").isNull(), text).otherwise(left),
         "n_removed": count(F.when(c("__gone").isNotNull(), F.size("__gone"))), "n_near": count(c("__near"))}).drop("__gone", "__near", "__id")
 

@@ -223,7 +223,8 @@ def _verified(docs: DataFrame, classes: DataFrame, near: DataFrame, threshold: f
     sized = store(sized, "members")
     sums = sized.groupBy("component").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    rows = sized.join(sums, "component").join(docs, c("copy_id") == c("doc_id"))
+    # texts are shuffled at every size: members grow with the documents, so no plan rests on their being few
+    rows = sized.join(sums, "component").hint("merge").join(docs, c("copy_id") == c("doc_id"))
     pairs = _block_pairs(rows, "component", c("parts"), ["copy_id", "n_copies", "text"])
     return pairs.mapInArrow(_Verify(threshold), "copy_id long, links long, linked_docs long, root long, whole boolean")
 

@@ -34,8 +34,8 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = _LOWER[data]
     for i, j in tb.blocks(at):
         words, counts, *short = tb.hash_words(data, at[i:j + 1], _GAP, PREFIXES)
-        kinds = np.stack([(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS) for k, h in
-                          enumerate(tb.mix(v + np.uint64(k)) for k, v in enumerate((words, *short)))], 1)
+        # each kind is hashed in its own way, so a short word and its prefix do not meet
+        kinds = np.stack([tb.mix(v + np.uint64(k)) >> np.uint64(64 - BITS) for k, v in enumerate((words, *short))], 1)
         yield np.repeat(np.arange(i, j), counts), kinds.astype(np.int64)
 
 
