@@ -86,18 +86,18 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies with mathematics injected by document number."""
-    d = F.col("doc_id").cast("string")
+    """Model replies: whole documents with mathematics put before or around them by document number."""
+    d, text = F.col("doc_id").cast("string"), F.col("text")
     kind = F.col("doc_id") % 8
     reply = (
-        F.when(kind == 0, F.concat(F.lit("```latex\n\\frac{a}{b} + "), d, F.lit("\n```")))
-        .when(kind == 1, F.concat(F.lit("$$x^2 + y^2 = "), d, F.lit("$$")))
-        .when(kind == 2, F.lit("text $\\alpha_{i}$ text"))
-        .when(kind == 3, F.lit("Sorry, the image is blurry"))
-        .when(kind == 4, F.lit("∫ f ≤ ∞ · π"))
-        .when(kind == 5, F.lit("\\begin{matrix} a"))
-        .when(kind == 6, F.lit("{a_1}^{2"))
-        .otherwise(F.col("text"))
+        F.when(kind == 0, F.concat(F.lit("```latex\n\\frac{a}{b} + "), d, F.lit(" "), text, F.lit("\n```")))
+        .when(kind == 1, F.concat(F.lit("$$x^2 + y^2 = "), d, F.lit(" "), text, F.lit("$$")))
+        .when(kind == 2, F.concat(F.lit("text $\\alpha_{i}$ "), text))
+        .when(kind == 3, F.concat(F.lit("Sorry, the image is blurry "), text))
+        .when(kind == 4, F.concat(F.lit("∫ f ≤ ∞ · π "), text))
+        .when(kind == 5, F.concat(F.lit("\\begin{matrix} a "), text))
+        .when(kind == 6, F.concat(F.lit("{a_1}^{2 "), text))
+        .otherwise(text)
     )
     provider = F.element_at(
         F.array(F.lit("backend"), F.lit("zhipu"), F.lit("gemini"), F.lit("local")), (F.col("doc_id") % 4 + 1).cast("int"))

@@ -135,9 +135,9 @@ def errors_by_message(df: DataFrame) -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """Per file and in all (file is null): time, pages, formulas, time per page."""
-    per = runs.groupBy("file").agg(F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("pages").alias("pages"),
-                                   F.sum("formulas").alias("formulas"))
+    """Per file and in all (``overall``, file is null): time, pages, formulas, time per page."""
+    per = runs.rollup("file").agg(F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("pages").alias("pages"),
+                                  F.sum("formulas").alias("formulas"), (F.grouping("file") == 1).alias("overall"))
     return per.withColumn("per_page_ms", F.try_divide(c("elapsed_ms"), c("pages")))
 
 
@@ -147,11 +147,17 @@ def provider_rank(provider: Column, priority: Sequence[str] = PROVIDER_PRIORITY)
 
 
 def provider_fallback(replies: DataFrame, valid: Column, excluded: Sequence[str] = (),
-                      priority: Sequence[str] = PROVIDER_PRIORITY) -> DataFrame:
-    """Per item the valid reply of the first provider in priority; items without one keep a null reply."""
-    usable = valid & (provider_rank(c("provider"), priority) > 0) & ~c("provider").isin(*excluded) if excluded else (
-        valid & (provider_rank(c("provider"), priority) > 0))
-    best = F.min(F.when(usable, F.struct(provider_rank(c("provider"), priority).alias("rank"), "provider", "reply")))
+                      priority: Sequence[str] = PROVIDER_PRIORITY, active: str = "backend") -> DataFrame:
+    """Per item the valid reply of the active provider, else of the first other one in priority.
+
+    Providers outside the priority answer only where they are the active one; excluded ones are never substitutes.  Items
+    without a usable reply keep a null one.
+    """
+    rank = F.when(c("provider") == active, 0).otherwise(F.nullif(provider_rank(c("provider"), priority), F.lit(0)))
+    usable = F.coalesce(valid, F.lit(False)) & rank.isNotNull()
+    if excluded:
+        usable = usable & ((c("provider") == active) | ~c("provider").isin(*excluded))
+    best = F.min(F.when(usable, F.struct(rank.alias("rank"), "provider", "reply")))
     return replies.groupBy("id").agg(best.alias("b")).select("id", "b.provider", "b.reply")
 
 
@@ -165,18 +171,23 @@ def dedupe_images(crops: DataFrame, data: str = "data") -> tuple[DataFrame, Data
     return unique, keyed.select("id", "content_hash")
 
 
-Recognizer = Callable[[pd.DataFrame], list]
 _RESULT = "id string, success boolean, latex string, error string, attempts int"
 
 
 def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], str]], max_attempts: int = 3,
-              likely: bool = True) -> DataFrame:
+              valid: Callable[[str], bool] | None = None, delay_seconds: float = 1.0,
+              timeout_seconds: float | None = None) -> DataFrame:
     """Run a user's recogniser over crops; a failure becomes a row with its error.
 
-    ``make_recognizer`` is called once per task and returns a function from a row (dict) to text.
+    ``make_recognizer`` is called once per task and returns a function from a row (dict) to text.  A failed try, or a text
+    that ``valid`` refuses, is repeated after a pause that doubles each time; a time-out, by ``timeout_seconds`` or raised
+    by the recogniser, ends the tries.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+        from concurrent.futures import ThreadPoolExecutor
+
         fn = make_recognizer()
         for pdf in batches:
             rows = []
@@ -184,11 +195,24 @@ def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], s
                 text = error = None
                 tries = 0
                 while tries < max_attempts and text is None:
+                    if tries:
+                        time.sleep(delay_seconds * 2 ** (tries - 1))
                     tries += 1
+                    pool = ThreadPoolExecutor(1) if timeout_seconds else None
                     try:
-                        text = fn(row)
+                        got = fn(row) if pool is None else pool.submit(fn, row).result(timeout_seconds)
+                        if valid is None or valid(got):
+                            text = got
+                        else:
+                            error = "invalid"
+                    except TimeoutError:
+                        error = "timeout"
+                        break
                     except Exception as ex:  # a failed crop must not fail the job
                         error = str(ex) or type(ex).__name__
+                    finally:
+                        if pool is not None:  # a call that hangs is left behind
+                            pool.shutdown(wait=False)
                 rows.append((str(row["id"]), text is not None, text, None if text is not None else error, tries))
             yield pd.DataFrame(rows, columns=["id", "success", "latex", "error", "attempts"])
 
@@ -210,11 +234,13 @@ def map_tiles(tiles: DataFrame, fn, schema) -> DataFrame:
 def with_fallback(df: DataFrame, methods: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], key: str = "id") -> DataFrame:
     """D3: each method sees the rows that no earlier one solved; results carry the method's name.
 
-    A method's results are written before they decide what the next one sees, so no method runs twice.
+    A method's results are written before they decide what the next one sees, so no method runs twice.  Rows that no method
+    solves come last, with their key, a null method and the error "unsolved".
     """
     left, out = df, None
     for name, method in methods:
         got = cut(method(left).withColumn("method", F.lit(name)))
         out = got if out is None else out.unionByName(got)
         left = left.join(got.select(key), key, "left_anti")
-    return out
+    rest = left.select(key, F.lit(None).cast("string").alias("method"), F.lit("unsolved").alias("error"))
+    return rest if out is None else out.withColumn("error", F.lit(None).cast("string")).unionByName(rest, allowMissingColumns=True)

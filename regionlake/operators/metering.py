@@ -50,12 +50,13 @@ def usage_by_period(events: DataFrame) -> DataFrame:
 
 
 def effective_tier(now: Column) -> Column:
-    """Admin unless simulating, then paid until expiry, then registered with a verified address; simulation last."""
+    """Admin unless simulating (no mode is no simulation), then paid until expiry, then registered with a verified address."""
+    simulating = F.coalesce(c("simulate_mode"), F.lit("none")) != "none"
     base = (
-        F.when(c("is_admin") & (c("simulate_mode") == "none"), "admin")
+        F.when(c("is_admin") & ~simulating, "admin")
         .when(c("expires_at") > now, "paid")
         .when(c("email").isNotNull() & c("email_verified"), "registered").otherwise("anonymous"))
-    return F.when(c("is_admin") & (c("simulate_mode") != "none"), c("simulate_mode")).otherwise(base)
+    return F.when(c("is_admin") & simulating, c("simulate_mode")).otherwise(base)
 
 
 def tier_limit(tier: Column, which: int) -> Column:
@@ -63,15 +64,15 @@ def tier_limit(tier: Column, which: int) -> Column:
 
 
 def quota_status(events: DataFrame, users: DataFrame, now: datetime) -> DataFrame:
-    """Usage today and this month against the limits of the user's tier."""
+    """Usage today and this month against the limits of the user's tier; users known from events alone are anonymous."""
     at = F.lit(now)
     month = F.date_trunc("month", at)
     used = events.filter(c("ts") >= month).filter(c("ts") < F.add_months(month, 1)).groupBy("user_id").agg(
         F.count_if(F.to_date("ts") == F.to_date(at)).alias("today_usage"), F.count(F.lit(1)).alias("month_usage"))
-    rows = users.join(used, "user_id", "left").withColumns({
+    rows = users.join(used, "user_id", "full_outer").withColumn("is_admin", F.coalesce("is_admin", F.lit(False))).withColumns({
         "tier": effective_tier(at), "today_usage": F.coalesce("today_usage", F.lit(0).cast("bigint")),
         "month_usage": F.coalesce("month_usage", F.lit(0).cast("bigint")),
-        "is_paid": F.coalesce(c("expires_at") > at, F.lit(False)) & ~(c("is_admin") & (c("simulate_mode") == "none")),
+        "is_paid": F.coalesce(c("expires_at") > at, F.lit(False)) & ~(c("is_admin") & (F.coalesce(c("simulate_mode"), F.lit("none")) == "none")),
     })
     left = lambda which, used_: F.greatest(F.lit(0).cast("bigint"), tier_limit(c("tier"), which) - c(used_))
     rows = rows.withColumns({"_today": left(0, "today_usage"), "_month": left(1, "month_usage")})
@@ -120,26 +121,37 @@ def email_conflicts(claims: DataFrame, order: Sequence[str] = ("user_id",)) -> D
 
 
 # ---------------------------------------------------------------- J9
-def verify_codes(sends: DataFrame, attempts: DataFrame, ttl_seconds: int = 600) -> DataFrame:
+def verify_codes(sends: DataFrame, attempts: DataFrame, ttl_seconds: int = 600, bound: DataFrame | None = None) -> DataFrame:
     """Outcome of each attempt against the latest code sent for its address; a code works once.
 
-    One pass along time per address carries the latest send to the attempts after it.
+    One pass along time per address carries the latest send to the attempts after it.  Sends with ``accepted`` false
+    (see `send_rate_limit`) replace no code.  With ``bound`` (email, user_id), a right code for an address that belongs to
+    another account than the attempt's ``user_id`` is "bound" and stays unused.
     """
-    shape = lambda df, is_try: df.select("email", "ts", "event_id", "code", F.lit(is_try).alias("is_try"))
+    if "accepted" in sends.columns:
+        sends = sends.filter(F.coalesce("accepted", F.lit(False)))
+    user = "cast(null as bigint)" if bound is None else "user_id"
+    shape = lambda df, is_try: df.select("email", "ts", "event_id", "code", F.lit(is_try).alias("is_try"), (
+        F.expr(user) if is_try else F.lit(None).cast("bigint")).alias("_user"))
     both = shape(sends, False).unionByName(shape(attempts, True))
     both = both.withColumn("_sent", F.when(~c("is_try"), F.struct("ts", "event_id", "code")))
     rows = scan(both, ["email"], ["ts", "event_id", "is_try"], maxs={"_last": "_sent"}).filter("is_try")
+    if bound is None:
+        rows = rows.withColumn("_taken", F.lit(False))
+    else:
+        owner = bound.groupBy("email").agg(F.min("user_id").alias("_owner"))
+        rows = rows.join(owner, "email", "left").withColumn("_taken", c("_owner").isNotNull() & ~c("_owner").eqNullSafe(c("_user")))
     live = c("_last").isNotNull() & (c("ts") < c("_last.ts") + F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
     good_form = F.coalesce(c("code"), F.lit("")).rlike(r"^.{6}\z")
     rows = rows.withColumns({
         "send_id": F.when(live, c("_last.event_id")), "_form": good_form, "_mail": valid_email(c("email")),
         "_match": live & good_form & (c("code") == c("_last.code"))})
-    first = rows.filter("_match").groupBy("email", "send_id").agg(F.min(F.struct("ts", "event_id")).alias("_used"))
+    first = rows.filter("_match AND NOT _taken").groupBy("email", "send_id").agg(F.min(F.struct("ts", "event_id")).alias("_used"))
     rows = rows.join(first, ["email", "send_id"], "left")
     spent = F.coalesce(F.struct("ts", "event_id") > c("_used"), F.lit(False))
     outcome = (
         F.when(~c("_mail"), "invalid_email").when(~c("_form"), "invalid_code")
-        .when(c("send_id").isNull() | spent, "missing").when(~c("_match"), "mismatch").otherwise("ok"))
+        .when(c("send_id").isNull() | spent, "missing").when(~c("_match"), "mismatch").when(c("_taken"), "bound").otherwise("ok"))
     return rows.select("event_id", "email", "ts", "send_id", outcome.alias("outcome"))
 
 

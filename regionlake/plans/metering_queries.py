@@ -205,7 +205,7 @@ def cache_stats(spark, sf):
 
 
 @query("provider_fallback", f"""WITH {REPLIES}, p AS (SELECT id // 4 AS id, provider, reply FROM replies_fx),
-  v AS (SELECT *, list_position(['zhipu', 'gemini', 'simpletex', 'siliconflow', 'qwen', 'local', 'anthropic', 'openai'], provider) AS rank FROM p),
+  v AS (SELECT *, CASE WHEN provider = 'backend' THEN 0 ELSE list_position(['zhipu', 'gemini', 'simpletex', 'siliconflow', 'qwen', 'local', 'anthropic', 'openai'], provider) END AS rank FROM p),
   k AS (SELECT id, min((rank, provider, reply)) FILTER (rank IS NOT NULL AND provider <> 'gemini' AND length(reply) > 12) AS b FROM v GROUP BY id)
   SELECT id, b[2] AS provider, b[3] AS reply FROM k""")
 def provider_fallback(spark, sf):
@@ -219,12 +219,12 @@ def fallback_methods(spark, sf):
     keep = lambda fn: lambda df: corpus.valid_results(df.withColumn("latex", fn(c("reply")))).select("id", "latex")
     out = lifecycle.with_fallback(fx.replies(spark, sf).select("id", "reply"), [
         ("extract", keep(lx.extract_latex)), ("spans", keep(lx.extract_all_math)), ("plain", keep(lx.normalize_latex))])
-    return out.select("id", "method", "latex")
+    return out.select("id", "method", "latex", "error")
 
 
 @query("run_summary", """SELECT f_name AS file, CAST(sum(ms) AS BIGINT) AS elapsed_ms, CAST(sum(p) AS BIGINT) AS pages, CAST(sum(f) AS BIGINT) AS formulas,
-  round(sum(ms) / sum(p), 6) AS per_page_ms FROM (SELECT concat('file-', CAST(l_suppkey AS VARCHAR)) AS f_name, l_partkey % 900 AS ms, l_linenumber AS p,
-    CAST(l_quantity AS BIGINT) AS f FROM lineitem) GROUP BY f_name""")
+  grouping(f_name) = 1 AS overall, round(sum(ms) / sum(p), 6) AS per_page_ms FROM (SELECT concat('file-', CAST(l_suppkey AS VARCHAR)) AS f_name, l_partkey % 900 AS ms, l_linenumber AS p,
+    CAST(l_quantity AS BIGINT) AS f FROM lineitem) GROUP BY ROLLUP (f_name)""")
 def run_summary(spark, sf):
     runs = fx.table(spark, sf, "lineitem").select(
         F.concat(F.lit("file-"), c("l_suppkey").cast("string")).alias("file"), (c("l_partkey") % 900).alias("elapsed_ms"),

@@ -89,13 +89,13 @@ REPLIES = r"""
 replies_fx AS (
   SELECT doc_id AS id, ['backend', 'zhipu', 'gemini', 'local'][CAST(doc_id % 4 + 1 AS INT)] AS provider, source,
     CASE doc_id % 8
-      WHEN 0 THEN concat('```latex', chr(10), '\frac{a}{b} + ', CAST(doc_id AS VARCHAR), chr(10), '```')
-      WHEN 1 THEN concat('$$x^2 + y^2 = ', CAST(doc_id AS VARCHAR), '$$')
-      WHEN 2 THEN 'text $\alpha_{i}$ text'
-      WHEN 3 THEN 'Sorry, the image is blurry'
-      WHEN 4 THEN '∫ f ≤ ∞ · π'
-      WHEN 5 THEN '\begin{matrix} a'
-      WHEN 6 THEN '{a_1}^{2'
+      WHEN 0 THEN concat('```latex', chr(10), '\frac{a}{b} + ', CAST(doc_id AS VARCHAR), ' ', text, chr(10), '```')
+      WHEN 1 THEN concat('$$x^2 + y^2 = ', CAST(doc_id AS VARCHAR), ' ', text, '$$')
+      WHEN 2 THEN concat('text $\alpha_{i}$ ', text)
+      WHEN 3 THEN concat('Sorry, the image is blurry ', text)
+      WHEN 4 THEN concat('∫ f ≤ ∞ · π ', text)
+      WHEN 5 THEN concat('\begin{matrix} a ', text)
+      WHEN 6 THEN concat('{a_1}^{2 ', text)
       ELSE text END AS reply
   FROM documents)"""
 

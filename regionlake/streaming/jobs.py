@@ -1,11 +1,15 @@
 """Structured Streaming forms of metering, codes, entitlements and recognition.
 
-Stateful steps keep a few numbers per user or address and walk their new rows in time order, one Arrow chunk at a
-time.  Set ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` on the source: it bounds what one key can bring at once.  Each job has a batch twin that gives the same answer.
+Stateful steps keep a few numbers per user or address and walk the rows that a trigger brings for it in time order.  The rows
+of one key in one trigger are a few numbers each and are sorted in one worker; ``maxFilesPerTrigger`` or
+``maxBytesPerTrigger`` on the source bounds them.  Rows older than the watermark are not decided (``late_rows`` counts
+them); rows that come out of order but within it are decided by the state they find for their own day, month or code.  Where
+triggers come in time order each job gives the same answer as its batch twin, whatever the order within a trigger.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
@@ -24,20 +28,14 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 # ---------------------------------------------------------------- T1
-def stream_usage(events: DataFrame, period: str = "day", watermark: str | None = None) -> DataFrame:
-    """Uses per user and day (kept 2 days) or calendar month (kept 35 days); run it in update mode.
+def stream_usage(events: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """Uses per user and day, in update mode; a day's state goes when the watermark has passed its end.
 
-    A month is not a fixed window, so its first day is the event-time key and the watermark clears old ones.
+    Months are not windows of one length, so `latest_counts` adds them up from the days.
     """
-    keep = watermark or {"day": "2 days", "month": "35 days"}[period]
-    rows = events.withWatermark("ts", keep)
-    if period == "day":
-        at = F.window("ts", "1 day")
-        return rows.groupBy(at.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(
-            "user_id", c("w.start").alias("period_start"), "n")
-    start = F.date_trunc("month", c("ts"))
-    return rows.groupBy(start.alias("period_start"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(
-        "user_id", "period_start", "n")
+    at = F.window("ts", "1 day")
+    return events.withWatermark("ts", watermark).groupBy(at.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "user_id", c("w.start").alias("period_start"), "n")
 
 
 def upsert_counts(updates: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -50,54 +48,95 @@ def upsert_counts(updates: DataFrame, path: str, checkpoint: str, **options) ->
         "checkpointLocation", checkpoint).trigger(availableNow=True).start(**options)
 
 
-def latest_counts(spark, path: str, keys: Sequence[str] = ("user_id", "period_start")) -> DataFrame:
+def latest_counts(spark, path: str, period: str = "day") -> DataFrame:
+    """Counts per user and day or calendar month, from the newest version of each day."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
-    return rows.groupBy(*keys).agg(F.max_by("n", "version").alias("n"))
+    days = rows.groupBy("user_id", "period_start").agg(F.max_by("n", "version").alias("n"))
+    if period == "day":
+        return days
+    return days.groupBy("user_id", F.date_trunc("month", "period_start").alias("period_start")).agg(F.sum("n").alias("n"))
+
+
+def compact_counts(spark, path: str, to: str) -> None:
+    """Write the newest version of each day as the only one, below a new path."""
+    latest_counts(spark, path).withColumn("version", F.lit(0)).write.parquet(f"{to}/version=0")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were left out, over the triggers that the query still remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
-# ---------------------------------------------------------------- T2, T3, T5
-def _in_order(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
+# ---------------------------------------------------------------- T2-T5
+def _in_order(chunks: Iterator[pd.DataFrame], *more: str) -> pd.DataFrame:
     """Rows of one key in one trigger, by time and event."""
     rows = pd.concat(list(chunks), ignore_index=True)
-    return rows.sort_values(["t", "event_id"], kind="stable")
+    return rows.sort_values(["t", "event_id", *more], kind="stable")
+
+
+def _forget_at(state: GroupState, millis: int) -> None:
+    """Drop the state when the watermark has reached this time."""
+    state.setTimeoutTimestamp(max(int(millis), state.getCurrentWatermarkMs() + 1))
+
+
+def _next_month(micros: int) -> int:
+    at = datetime.fromtimestamp(micros / 1_000_000, timezone.utc)
+    year, month = divmod(at.year * 12 + at.month, 12)
+    return int(datetime(year, month + 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
+
 
+def stream_quota_decisions(events: DataFrame, users: DataFrame, now: datetime, lateness: str = "2 days") -> DataFrame:
+    """Allow or deny each event against the limits of its user; denied events are not counted.
 
-def stream_quota_decisions(events: DataFrame, users: DataFrame, now: datetime) -> DataFrame:
-    """Allow or deny each event against the limits of its user; denied events are not counted."""
+    State holds the uses of each day and month that rows can still come for, so an event of an earlier day changes that day
+    and its month only.
+    """
     tiers = users.select("user_id", "is_admin", metering.effective_tier(F.lit(now)).alias("tier"))
-    rows = events.join(tiers, "user_id", "left").select(
-        "user_id", "event_id", F.unix_micros("ts").alias("t"), F.date_format("ts", "yyyyMM").cast("int").alias("month"),
-        metering.tier_limit(F.coalesce("tier", F.lit("anonymous")), 0).alias("day_limit"),
-        metering.tier_limit(F.coalesce("tier", F.lit("anonymous")), 1).alias("month_limit"),
-        F.coalesce("is_admin", F.lit(False)).alias("is_admin"))
+    limit = lambda which: metering.tier_limit(F.coalesce("tier", F.lit("anonymous")), which)
+    rows = events.withWatermark("ts", lateness).join(tiers, "user_id", "left").select(
+        "user_id", "event_id", "ts", F.unix_micros("ts").alias("t"), F.date_format("ts", "yyyyMM").cast("int").alias("month"),
+        limit(0).alias("day_limit"), limit(1).alias("month_limit"), F.coalesce("is_admin", F.lit(False)).alias("is_admin"))
 
     def decide(key, chunks: Iterator[pd.DataFrame], state: GroupState):
-        day, month, in_day, in_month = state.get if state.exists else (-1, -1, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
         rows = _in_order(chunks)
         allowed = []
         for t, m, day_limit, month_limit, admin in zip(
                 rows["t"], rows["month"], rows["day_limit"], rows["month_limit"], rows["is_admin"]):
-            if m != month:
-                month, in_month = int(m), 0
-            if t // MICROS_PER_DAY != day:
-                day, in_day = int(t // MICROS_PER_DAY), 0
-            room = in_day < day_limit and in_month < month_limit
-            in_day, in_month = in_day + room, in_month + room
+            day, month = f"d{t // MICROS_PER_DAY}", f"m{m}"
+            room = used.get(day, 0) < day_limit and used.get(month, 0) < month_limit
+            for k in (day, month):
+                used[k] = used.get(k, 0) + int(room)
             allowed.append(bool(admin or room))
-        state.update((day, month, int(in_day), int(in_month)))
+            last = max(last, int(t))
+        # no row can come any more for days and months that end before the watermark
+        mark = state.getCurrentWatermarkMs()
+        first = datetime.fromtimestamp(mark / 1000, timezone.utc)
+        oldest = {"d": mark * 1000 // MICROS_PER_DAY, "m": first.year * 100 + first.month}
+        state.update((json.dumps({k: n for k, n in used.items() if int(k[1:]) >= oldest[k[0]]}), last))
+        _forget_at(state, _next_month(last))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
 
     return rows.groupBy("user_id").applyInPandasWithState(
-        decide, "user_id bigint, event_id bigint, allowed boolean", "day bigint, month bigint, in_day bigint, in_month bigint",
-        "append", GroupStateTimeout.NoTimeout)
+        decide, "user_id bigint, event_id bigint, allowed boolean", "used string, last bigint", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
 
+def stream_rate_limit(sends: DataFrame, seconds: int = 60, lateness: str = "10 minutes") -> DataFrame:
+    """Accept a send unless one was accepted for its address less than ``seconds`` before.
 
-def stream_rate_limit(sends: DataFrame, seconds: int = 60) -> DataFrame:
-    """Accept a send unless one was accepted for its address less than ``seconds`` before."""
+    A send older than the last accepted one is rejected.  State goes once no send can be too soon after it.
+    """
     micros = seconds * 1_000_000
-    rows = sends.select("email", "event_id", F.unix_micros("ts").alias("t"))
+    rows = sends.withWatermark("ts", lateness).select("email", "event_id", "ts", F.unix_micros("ts").alias("t"))
 
     def decide(key, chunks: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = _in_order(chunks)
         accepted = []
@@ -106,17 +145,22 @@ def stream_rate_limit(sends: DataFrame, seconds: int = 60) -> DataFrame:
             last = int(t) if ok else last
             accepted.append(ok)
         state.update((last,))
+        _forget_at(state, (last + micros) // 1000 + 1)
         yield pd.DataFrame({"email": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": accepted})
 
     return rows.groupBy("email").applyInPandasWithState(
-        decide, "email string, event_id bigint, accepted boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
+        decide, "email string, event_id bigint, accepted boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_entitlements(redeemed: DataFrame) -> DataFrame:
-    """T5: expiry after each redemption (user_id, event_id, ts, days)."""
-    rows = redeemed.filter(c("days").isNotNull()).select("user_id", "event_id", F.unix_micros("ts").alias("t"), "days")
+def stream_entitlements(redeemed: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """T5: expiry after each redemption (user_id, event_id, ts, days).  An expiry that has passed is forgotten."""
+    rows = redeemed.withWatermark("ts", lateness).filter(c("days").isNotNull()).select(
+        "user_id", "event_id", "ts", F.unix_micros("ts").alias("t"), "days")
 
     def extend(key, chunks: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         expiry = state.get[0] if state.exists else 0
         rows = _in_order(chunks)
         out = []
@@ -124,23 +168,58 @@ def stream_entitlements(redeemed: DataFrame) -> DataFrame:
             expiry = int(max(expiry, t) + days * MICROS_PER_DAY)
             out.append(datetime.fromtimestamp(expiry / 1_000_000, timezone.utc))
         state.update((expiry,))
+        _forget_at(state, expiry // 1000 + 1)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "expires_at": out})
 
     return rows.groupBy("user_id").applyInPandasWithState(
         extend, "user_id bigint, event_id bigint, expires_at timestamp", "expiry bigint", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-# ---------------------------------------------------------------- T4
-def stream_code_verification(sends: DataFrame, attempts: DataFrame, ttl_seconds: int = 600, lateness: str = "1 minute") -> DataFrame:
-    """T4: attempts joined to the codes sent for the address within the time limit; a code is used once."""
-    s = sends.select(c("email").alias("s_email"), c("ts").alias("sent_at"), c("event_id").alias("send_id"),
-                     c("code").alias("s_code")).withWatermark("sent_at", lateness)
-    a = attempts.select("email", "ts", "event_id", "code").withWatermark("ts", lateness)
-    limit = F.expr(f"INTERVAL {ttl_seconds} SECONDS")
-    hits = a.join(s, (c("email") == c("s_email")) & (c("code") == c("s_code")) & (c("ts") >= c("sent_at"))
-                  & (c("ts") < c("sent_at") + limit))
-    return hits.select("email", "send_id", "event_id", "ts").dropDuplicatesWithinWatermark(["email", "send_id"])
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_code_verification(sends: DataFrame, attempts: DataFrame, ttl_seconds: int = 600, lateness: str = "10 minutes") -> DataFrame:
+    """T4: the outcome of each attempt, as in `metering.verify_codes`: against the latest code sent before it, used once.
+
+    State holds the sends of an address that can still be meant, each with a mark when it is used.
+    """
+    shape = lambda df, is_try: df.select("email", "ts", "event_id", "code", F.lit(is_try).alias("is_try"))
+    both = shape(sends, False).union(shape(attempts, True)).withWatermark("ts", lateness)
+    rows = both.withColumns({"t": F.unix_micros("ts"), "code": F.coalesce("code", F.lit("")), "good_mail": F.coalesce(
+        metering.valid_email(c("email")), F.lit(False))})
+    ttl = ttl_seconds * 1_000_000
+
+    def verify(key, chunks: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = json.loads(state.get[0]) if state.exists else []
+        rows = _in_order(chunks, "is_try")
+        out = []
+        # sends first: an attempt is held against all that came up to this trigger
+        known += [[int(t), int(e), code, False] for t, e, code, is_try in zip(
+            rows["t"], rows["event_id"], rows["code"], rows["is_try"]) if not is_try]
+        known.sort(key=lambda s: (s[0], s[1]))
+        for t, e, code, is_try, good_mail in zip(rows["t"], rows["event_id"], rows["code"], rows["is_try"], rows["good_mail"]):
+            if not is_try:
+                continue
+            before = [s for s in known if (s[0], s[1]) <= (t, e)]
+            sent = before[-1] if before and t < before[-1][0] + ttl else None
+            good = len(code) == 6
+            outcome = ("invalid_email" if not good_mail else "invalid_code" if not good else
+                       "missing" if sent is None or sent[3] else "mismatch" if code != sent[2] else "ok")
+            # a code is used even where the address turns out to be malformed, as in the batch twin
+            if sent is not None and good and code == sent[2]:
+                sent[3] = True
+            out.append((key[0], int(e), None if sent is None else sent[1], outcome))
+        mark = state.getCurrentWatermarkMs() * 1000
+        live = [s for s in known if s[0] + ttl > mark]
+        # a send that is out of time still hides the ones before it
+        state.update((json.dumps(live or known[-1:]),))
+        _forget_at(state, (known[-1][0] + ttl) // 1000 + 1 if known else 0)
+        yield pd.DataFrame(out, columns=["email", "event_id", "send_id", "outcome"]).astype({"send_id": "Int64"})
+
+    return rows.groupBy("email").applyInPandasWithState(
+        verify, "email string, event_id bigint, send_id bigint, outcome string", "sends string", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- T6, T7
