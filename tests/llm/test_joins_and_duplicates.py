@@ -239,7 +239,7 @@ def test_passages(frame):
     docs = []
     for i in range(30):
         s = [sentence() for _ in range(6)]
-        text = " ".join(s[:3]) + " and then " + (passage + " " if i % 3 == 0 else "") + "it went on. " + "\n".join(s[3:]) + "\nThe usual end."
+        text = " ".join(s[:3]) + f" and{i} then " + (passage + " " if i % 3 == 0 else "") + f"it{i} went on. " + "\n".join(s[3:]) + "\nThe usual end."
         docs.append((i, text))
     found = repeated_passages(frame(docs)).collect()
     assert {r.doc_id for r in found} == {i for i in range(3, 30, 3)}
