@@ -20,7 +20,7 @@ class DetectionParams:
     enhance_contrast: bool = True
     binarization: str = "adaptive"
     fixed_threshold: int = 180
-    max_adaptive_pixels: int = 2_000_000
+    max_adaptive_pixels: int | None = None  # pages above it are cut by Otsu's threshold without denoising; off
     max_detection_pixels: int = 4_000_000
     min_detection_dpi: float = 96.0
     min_height: float = 12.0
@@ -48,9 +48,10 @@ class TileParams:
 @dataclass(frozen=True)
 class PageParams:
     confidence_threshold: float = 0.75
-    max_regions: int = 100
+    max_regions: int | None = None  # no limit
     page_type: str = "general"
     text_quality: float = 0.8
+    policy: str = "both"  # text and pixel detections of a tile; "by_size" chooses one of them by large_tile_pixels
     large_tile_pixels: int = 1_200_000
 
 

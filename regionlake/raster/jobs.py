@@ -74,7 +74,7 @@ def _ink(gray: np.ndarray, row: dict, p: DetectionParams) -> tuple[np.ndarray, n
     if resized:
         h, w = gray.shape
         gray = k.resize(gray, max(1, int(k.round_half_up(w * scale))), max(1, int(k.round_half_up(h * scale))))
-    large = gray.size > p.max_adaptive_pixels
+    large = p.max_adaptive_pixels is not None and gray.size > p.max_adaptive_pixels
     if p.denoise and not large:
         gray = k.median3(gray)
     if p.enhance_contrast and not large:
@@ -286,7 +286,8 @@ def whole_page_regions(pages: DataFrame, items: DataFrame, keys: Sequence[str] =
     """
     keys = list(keys)
     tile = [*keys, "tile_no"]
-    sizes = pages.select(*keys, c("width").cast("bigint").alias("width"), c("height").cast("bigint").alias("height"))
+    # sizes are read once, boxes written once: pages are decoded for their sizes, for tiles and for refining, no more
+    sizes = cut(pages.select(*keys, c("width").cast("bigint").alias("width"), c("height").cast("bigint").alias("height")))
     grid = region_ops.tile_grid(sizes, t).select(*tile, "tile_x", "tile_y", "tile_w", "tile_h")
     page_id = F.concat_ws("-", *keys)
     placed = region_ops.assign_to_tiles(
@@ -301,8 +302,10 @@ def whole_page_regions(pages: DataFrame, items: DataFrame, keys: Sequence[str] =
         {"x": c("x") + c("tile_x"), "y": c("y") + c("tile_y"), "id": F.concat_ws("-", *tile, F.lit("p"), "idx")})
     typed = lambda df: df.select(*[c(n).cast("int") if n in ("math_symbols", "greek_count") else c(n) for n in cols])
     # regions without pixels are small: each pixel stage is written once, so later steps never repeat it
-    both = region_ops.text_or_pixel(typed(text), cut(typed(found)), grid, p.large_tile_pixels, tile)
-    good = filters.validate_regions(both)
+    pixel = cut(typed(found))
+    both = typed(text).unionByName(pixel) if p.policy == "both" else region_ops.text_or_pixel(
+        typed(text), pixel, grid, p.large_tile_pixels, tile)
+    good = cut(filters.validate_regions(both))
     refined = cut(refine_boundaries(good, pages, keys).withColumn("complexity", scoring.complexity()))
     kept = greedy.nms(refined, keys)
     context = region_ops.page_context(kept.join(sizes, keys), F.lit(1.0), keys)
@@ -311,18 +314,20 @@ def whole_page_regions(pages: DataFrame, items: DataFrame, keys: Sequence[str] =
     ranked = kept.withColumn("_first", c("confidence"))
     scored = corpus.score_text_regions(ranked, context, keys, p.page_type, p.text_quality)
     passed = scored.filter(c("confidence") >= p.confidence_threshold)
-    # the cap keeps the order the duplicates were removed in
+    if p.max_regions is None:
+        return passed.drop("_first", "formula_density")
+    # a limit keeps the order the duplicates were removed in
     capped = region_ops.top_k(passed.withColumnRenamed("confidence", "_score").withColumnRenamed("_first", "confidence"),
                               p.max_regions, keys)
     return capped.drop("confidence", "formula_density").withColumnRenamed("_score", "confidence")
 
 
-def row_profiles(pages: DataFrame, keys: Sequence[str] = ("page_no",), max_side: int = 2000, dark: float = 200.0) -> DataFrame:
-    """R10, first half: ink count, first and last ink column of each sampled row."""
+def row_profiles(pages: DataFrame, keys: Sequence[str] = ("page_no",), max_side: int | None = None, dark: float = 200.0) -> DataFrame:
+    """R10, first half: ink count, first and last ink column of each row (of sampled rows where ``max_side`` is given)."""
 
     def one(gray, row):
         h, w = gray.shape
-        scale = min(1.0, max_side / max(w, h))
+        scale = min(1.0, max_side / max(w, h)) if max_side else 1.0
         sw, sh = int(w * scale), int(h * scale)
         ys, xs = (np.arange(sh) / scale).astype(int), (np.arange(sw) / scale).astype(int)
         ink = gray[np.minimum(ys, h - 1)][:, np.minimum(xs, w - 1)] < dark
