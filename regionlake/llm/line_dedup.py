@@ -12,7 +12,7 @@ joined:
 
 Every key needs only the earliest line on either side, so a key that many lines share gives one row for each of them and
 never a pair for each two.  The edit distance to that earliest line is verified.  To keep the number of variants low, a line
-is cut into pieces of up to 256 characters (two at least): one edit touches one piece, so lines within one edit agree in all
+is cut into pieces of up to 512 characters (two at least): one edit touches one piece, so lines within one edit agree in all
 the rest.  Only lines that share such a rest with another one emit variants, and only for places in that piece.
 """
 
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .tables import SPACE, bind, store, texts
 
 c = F.col
-PIECE = 256
+PIECE = 512
+HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
+    spaced = F.when(line.rlike("[\\x09-\\x0D]|\\x20\\x20"), F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    return F.lower(F.trim(spaced))
 
 
 def _pieces(m: Column) -> Column:
@@ -70,9 +72,10 @@ def _variants(line: Column, n: Column, sel: Column) -> Column:
 def removed_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """(doc_id, line_no, near) of each occurrence to remove; ``docs`` has doc_id and text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", normal(c("raw")).alias("line")).filter("line <> ''")
-    n = F.char_length("line")
-    gates = F.when(n >= min_chars, _gates(c("line"), n))
+    # the filter reads the raw line, and the length is a column of its own, so that neither is computed again for each use
+    lines = lines.filter(c("raw").rlike(HAS_WORD)).select("doc_id", "line_no", normal(c("raw")).alias("line")).withColumn(
+        "n", F.char_length("line"))
+    gates = F.when(c("n") >= min_chars, _gates(c("line"), c("n")))
     place = F.struct("doc_id", "line_no")
     lines = store(lines.select(place.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
                                gates.alias("gates")), "lines")
@@ -93,8 +96,8 @@ def _near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     lines = store(lines, "gated_lines")  # a document's own lines only
     found = docs.join(lines.hint("merge"), "doc_id").select("doc_id", F.split("text", "\n", -1).alias("text"), F.explode("lines").alias("s")).select(
         F.struct("doc_id", c("s.line_no").alias("line_no")).alias("first"), "s.sel", normal(F.get("text", c("s.line_no"))).alias("line"))
-    found = store(found.distinct(), "near_candidates")
-    keys = found.select("first", F.inline(_variants(c("line"), F.char_length("line"), c("sel")))).distinct()
+    found = store(found.distinct().withColumn("n", F.char_length("line")), "near_candidates")
+    keys = found.select("first", F.inline(_variants(c("line"), c("n"), c("sel")))).distinct()
     keys = store(keys, "variants")
     of = lambda role: F.min(F.when(c("role") == role, c("first")))
     least = keys.groupBy("key").agg(of(0).alias("own"), of(1).alias("left_out"), of(2).alias("same"))
@@ -128,5 +131,5 @@ def without_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
 def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines (that hold a word and are left), n_removed, n_near, text; see
     ``without_lines``.  A null text is empty."""
-    left = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    left = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD)))
     return without_lines(texts(docs, id_col, text_col), min_chars).select("doc_id", left.cast("long").alias("n_lines"), "n_removed", "n_near", "text")

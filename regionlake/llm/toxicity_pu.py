@@ -91,8 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, pos
     return ids, *fit(x, table["positive"].to_numpy(bool), prior)
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05,
-        ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 100, batch: int = 512, rate: float = 0.1,
+        ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the least non-negative risk, by Adam over batches of both kinds."""
     rng = np.random.Generator(np.random.PCG64(3))
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
