@@ -54,7 +54,7 @@ def _block(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.column_stack([
         np.log1p(count), (length - kinds[:, 0] - kinds[:, 7]) / w, share[:, 2:9], share[:, 0],
         tb.distinct(words, count) / w, tb.distinct(windows, n_windows) / np.maximum(n_windows, 1),
-        np.bincount(whose[1:][same], minlength=n) / w, 1 - tb.distinct(lines, n_lines) / np.maximum(n_lines, 1),
+        np.bincount(whose[1:][same], minlength=n) / w, (n_lines - tb.distinct(lines, n_lines)) / np.maximum(n_lines, 1),
         np.log1p(count / np.maximum(n_lines, 1)), np.log1p(count / (stops + 1))])
 
 

@@ -158,6 +158,8 @@ def token_counts(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
+    if not docs.limit(1).count():  # no documents leave no files to read
+        return spark.createDataFrame([], "doc_id long, n_tokens long, file_no int, doc_no long, start long")
     write_token_files(docs, path, tokenizer, id_col, text_col)
     found = scan(spark, f"{path}/kind=tokens")
     return found.join(document_ids(spark, f"{path}/kind=ids"), ["file_no", "doc_no"]).select(

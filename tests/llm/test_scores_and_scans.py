@@ -54,11 +54,11 @@ def test_secret_rules(frame):
 def test_secret_models(spark, frame):
     rng = random.Random(2)
     alphabet = secret_scan.ALPHABET[:62]
-    random_tokens = ["".join(rng.choices(alphabet, k=32)) for _ in range(400)]
+    random_tokens = ["".join(rng.choices(alphabet, k=32)) for _ in range(2100)]
     plain = ["".join(rng.choices(WORDS, k=4)) for _ in range(300)] + ["_".join(rng.choices(WORDS, k=4)).upper() for _ in range(300)]
-    rows = [(x, True) for x in random_tokens[:300]] + [(x, False) for x in plain[::2]] + [(None, True), ("x", False)]
+    rows = [(x, True) for x in random_tokens[:2000]] + [(x, False) for x in plain[::2]] + [(None, True), ("x", False)]
     model = secret_scan.train_markov(spark.createDataFrame(rows, "token string, random boolean"))
-    docs = [(i, f"see {x}.") for i, x in enumerate(random_tokens[300:] + plain[1::2])]
+    docs = [(i, f"see {x}.") for i, x in enumerate(random_tokens[2000:] + plain[1::2])]
     got = {r.doc_id: r.spans for r in secret_scan.secret_scan(frame(docs), model).collect()}
     caught = [i for i, s in got.items() if s]
     assert sum(i < 100 for i in caught) >= 98 and sum(i >= 100 for i in caught) <= 3
