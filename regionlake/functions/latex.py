@@ -12,38 +12,55 @@ SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 RARE_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # fixed values: symbol and the command it stands for
-SYMBOL_COMMANDS = """
-· cdot  × times  ÷ div  ± pm  ∓ mp  ≤ leq  ≥ geq  ≠ neq  ≈ approx  ∞ infty
-∫ int  ∬ iint  ∭ iiint  ∮ oint  ∑ sum  ∏ prod  √ sqrt  ∂ partial  ∇ nabla
-α alpha  β beta  γ gamma  δ delta  ε varepsilon  ζ zeta  η eta  θ theta  ι iota  κ kappa  λ lambda  μ mu
-ν nu  ξ xi  π pi  ρ rho  σ sigma  τ tau  υ upsilon  φ varphi  χ chi  ψ psi  ω omega
-Γ Gamma  Δ Delta  Θ Theta  Λ Lambda  Ξ Xi  Π Pi  Σ Sigma  Φ Phi  Ψ Psi  Ω Omega
-→ rightarrow  ← leftarrow  ↔ leftrightarrow  ⇒ Rightarrow  ⇐ Leftarrow  ⇔ Leftrightarrow
-∈ in  ∉ notin  ⊂ subset  ⊃ supset  ⊆ subseteq  ⊇ supseteq  ∪ cup  ∩ cap  ∅ emptyset
-∀ forall  ∃ exists  ¬ neg  ∧ land  ∨ lor  ⊥ perp  ∥ parallel
-"""
+SYMBOL_COMMANDS = {
+    "·": "cdot", "×": "times", "÷": "div", "±": "pm", "∓": "mp", "≤": "leq", "≥": "geq", "≠": "neq", "≈": "approx",
+    "∞": "infty",
+    "∫": "int", "∬": "iint", "∭": "iiint", "∮": "oint", "∑": "sum", "∏": "prod", "√": "sqrt", "∂": "partial",
+    "∇": "nabla",
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "varepsilon", "ζ": "zeta", "η": "eta", "θ": "theta",
+    "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu",
+    "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "varphi", "χ": "chi",
+    "ψ": "psi", "ω": "omega",
+    "Γ": "Gamma", "Δ": "Delta", "Θ": "Theta", "Λ": "Lambda", "Ξ": "Xi", "Π": "Pi", "Σ": "Sigma", "Φ": "Phi",
+    "Ψ": "Psi", "Ω": "Omega",
+    "→": "rightarrow", "←": "leftarrow", "↔": "leftrightarrow", "⇒": "Rightarrow", "⇐": "Leftarrow",
+    "⇔": "Leftrightarrow",
+    "∈": "in", "∉": "notin", "⊂": "subset", "⊃": "supset", "⊆": "subseteq", "⊇": "supseteq", "∪": "cup", "∩": "cap",
+    "∅": "emptyset",
+    "∀": "forall", "∃": "exists", "¬": "neg", "∧": "land", "∨": "lor", "⊥": "perp", "∥": "parallel",
+}
 # fixed values: symbols written without spaces around them
 SYMBOL_TEXT = {"°": r"^{\circ}", "′": "'", "″": "''"}
 
 # fixed values: the short list used for plain text
-TEXT_COMMANDS = """
-× times  ÷ div  ± pm  ≤ leq  ≥ geq  ≠ neq  ≈ approx  ∞ infty  ∑ sum  ∫ int  ∏ prod  √ sqrt
-α alpha  β beta  γ gamma  δ delta  ε epsilon  θ theta  λ lambda  μ mu  π pi  σ sigma  φ phi  ω omega
-"""
+TEXT_COMMANDS = {
+    "×": "times", "÷": "div", "±": "pm", "≤": "leq", "≥": "geq", "≠": "neq", "≈": "approx", "∞": "infty", "∑": "sum",
+    "∫": "int", "∏": "prod", "√": "sqrt",
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "θ": "theta", "λ": "lambda", "μ": "mu",
+    "π": "pi", "σ": "sigma", "φ": "phi", "ω": "omega",
+}
 
 # fixed values: command and the character that approximates it
-COMMAND_CHARS = """
-alpha α  beta β  gamma γ  delta δ  epsilon ε  zeta ζ  eta η  theta θ  iota ι  kappa κ  lambda λ  mu μ
-nu ν  xi ξ  pi π  rho ρ  sigma σ  tau τ  upsilon υ  phi φ  chi χ  psi ψ  omega ω
-Alpha Α  Beta Β  Gamma Γ  Delta Δ  Theta Θ  Lambda Λ  Xi Ξ  Pi Π  Sigma Σ  Phi Φ  Psi Ψ  Omega Ω
-times ×  div ÷  pm ±  mp ∓  cdot ·  ast ∗  star ⋆  leq ≤  geq ≥  neq ≠  approx ≈  equiv ≡  sim ∼  simeq ≃
-ll ≪  gg ≫  subset ⊂  supset ⊃  subseteq ⊆  supseteq ⊇  in ∈  notin ∉  cup ∪  cap ∩  setminus ∖
-land ∧  lor ∨  neg ¬  lnot ¬  forall ∀  exists ∃  nexists ∄
-to →  rightarrow →  leftarrow ←  Rightarrow ⇒  Leftarrow ⇐  Leftrightarrow ⇔  mapsto ↦  uparrow ↑  downarrow ↓
-infty ∞  partial ∂  nabla ∇  sum ∑  prod ∏  int ∫  oint ∮  sqrt √  angle ∠  perp ⊥  parallel ∥  therefore ∴
-because ∵  emptyset ∅  varnothing ∅  prime ′  circ ∘  bullet •  ldots …  cdots ⋯  vdots ⋮  ddots ⋱
-langle ⟨  rangle ⟩  lceil ⌈  rceil ⌉  lfloor ⌊  rfloor ⌋
-"""
+COMMAND_CHARS = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ",
+    "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ",
+    "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "φ", "chi": "χ",
+    "psi": "ψ", "omega": "ω",
+    "Alpha": "Α", "Beta": "Β", "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π",
+    "Sigma": "Σ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+    "times": "×", "div": "÷", "pm": "±", "mp": "∓", "cdot": "·", "ast": "∗", "star": "⋆", "leq": "≤", "geq": "≥",
+    "neq": "≠", "approx": "≈", "equiv": "≡", "sim": "∼", "simeq": "≃",
+    "ll": "≪", "gg": "≫", "subset": "⊂", "supset": "⊃", "subseteq": "⊆", "supseteq": "⊇", "in": "∈", "notin": "∉",
+    "cup": "∪", "cap": "∩", "setminus": "∖",
+    "land": "∧", "lor": "∨", "neg": "¬", "lnot": "¬", "forall": "∀", "exists": "∃", "nexists": "∄",
+    "to": "→", "rightarrow": "→", "leftarrow": "←", "Rightarrow": "⇒", "Leftarrow": "⇐", "Leftrightarrow": "⇔",
+    "mapsto": "↦", "uparrow": "↑", "downarrow": "↓",
+    "infty": "∞", "partial": "∂", "nabla": "∇", "sum": "∑", "prod": "∏", "int": "∫", "oint": "∮", "sqrt": "√",
+    "angle": "∠", "perp": "⊥", "parallel": "∥", "therefore": "∴",
+    "because": "∵", "emptyset": "∅", "varnothing": "∅", "prime": "′", "circ": "∘", "bullet": "•", "ldots": "…",
+    "cdots": "⋯", "vdots": "⋮", "ddots": "⋱",
+    "langle": "⟨", "rangle": "⟩", "lceil": "⌈", "rceil": "⌉", "lfloor": "⌊", "rfloor": "⌋",
+}
 # fixed values: characters that have raised and lowered forms
 RAISED = ("0123456789+-=()ni", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ")
 LOWERED = ("0123456789+-=()aeoxijnm", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₒₓᵢⱼₙₘ")
@@ -53,11 +70,6 @@ REFUSALS = ("image", "blurry", "cannot", "can't", "unable", "please", "sorry", "
             "无法", "不能", "看不清", "模糊", "请提供", "无法识别")
 
 
-def _pairs(table: str) -> list[tuple[str, str]]:
-    words = table.split()
-    return list(zip(words[::2], words[1::2]))
-
-
 def _ascii(s: Column) -> Column:
     return F.octet_length(s) == F.char_length(s)
 
@@ -125,14 +137,14 @@ def unwrap_model_output(s: Column) -> Column:
 def normalize_latex(s: Column) -> Column:
     """Strip dollars, write symbols as commands, collapse white space."""
     bare = F.when(s.startswith("$") | s.endswith("$"), F.regexp_replace(s, r"^\$+|\$+$(?![\s\S])", "")).otherwise(s)
-    table = [(sym, f" \\{cmd} ") for sym, cmd in _pairs(SYMBOL_COMMANDS)] + list(SYMBOL_TEXT.items())
+    table = [(sym, f" \\{cmd} ") for sym, cmd in SYMBOL_COMMANDS.items()] + list(SYMBOL_TEXT.items())
     spelled = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), table, bare)
     return collapse_spaces(F.when(_ascii(bare), bare).otherwise(spelled))
 
 
 def text_to_latex(s: Column) -> Column:
     """Plain recognised text: short symbol list and a/b as a fraction."""
-    spelled = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit("\\" + kv[1])), _pairs(TEXT_COMMANDS), s)
+    spelled = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit("\\" + kv[1])), TEXT_COMMANDS.items(), s)
     return F.regexp_replace(spelled, r"(\w+)/(\w+)", r"\\frac{$1}{$2}")
 
 
@@ -185,7 +197,7 @@ def _per_token(s: Column, pattern: str, fn) -> Column:
 
 
 def _known_commands() -> Column:
-    return F.create_map(*[F.lit(x) for cmd, ch in _pairs(COMMAND_CHARS) for x in ("\\" + cmd, ch)])
+    return F.create_map(*[F.lit(x) for cmd, ch in COMMAND_CHARS.items() for x in ("\\" + cmd, ch)])
 
 
 def _shift(s: Column, mark: str, table: tuple[str, str]) -> Column:
@@ -211,7 +223,7 @@ def convert(s: Column, fmt: str) -> Column:
 
 def unknown_commands(s: Column) -> Column:
     """Commands that the approximation does not know."""
-    known = [F.lit("\\" + cmd) for cmd, _ in _pairs(COMMAND_CHARS)] + [F.lit("\\frac")]
+    known = [F.lit("\\" + cmd) for cmd, _ in COMMAND_CHARS.items()] + [F.lit("\\frac")]
     return F.array_except(F.regexp_extract_all(s, F.lit(r"\\[a-zA-Z]+"), F.lit(0)), F.array(*known))
 
 

@@ -65,7 +65,7 @@ def _sql_strip(e: str) -> str:
 
 def _sql_normalize(e: str) -> str:
     out = f"regexp_replace({e}, '^\\$+|\\$+\\z', '', 'g')"
-    for sym, cmd in lx._pairs(lx.SYMBOL_COMMANDS):
+    for sym, cmd in lx.SYMBOL_COMMANDS.items():
         out = f"replace({out}, '{sym}', ' \\{cmd} ')"
     for sym, text in lx.SYMBOL_TEXT.items():
         out = "replace(" + out + f", '{sym}', '" + text.replace("'", "''") + "')"
@@ -98,7 +98,7 @@ def normalize_latex(spark, sf):
 
 
 def _sql_text_to_latex(e: str) -> str:
-    for sym, cmd in lx._pairs(lx.TEXT_COMMANDS):
+    for sym, cmd in lx.TEXT_COMMANDS.items():
         e = f"replace({e}, '{sym}', '\\{cmd}')"
     return f"regexp_replace({e}, '(\\w+)/(\\w+)', '\\\\frac{{\\1}}{{\\2}}', 'g')"
 
@@ -161,7 +161,7 @@ def reject_non_latex(spark, sf):
 
 
 _UNKNOWN = ("list_filter(list_distinct(regexp_extract_all(latex, '\\\\[a-zA-Z]+')), lambda k: NOT list_contains(["
-            + ", ".join("'\\" + cmd + "'" for cmd, _ in lx._pairs(lx.COMMAND_CHARS)) + ", '\\frac'], k))")
+            + ", ".join("'\\" + cmd + "'" for cmd, _ in lx.COMMAND_CHARS.items()) + ", '\\frac'], k))")
 
 
 @query("corpus_report", f"""WITH {REPLIES}, {_CLEAN},

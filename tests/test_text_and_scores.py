@@ -2,7 +2,8 @@
 
 import random
 import re
-
+from functools import cache
+from functools import cache
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,39 +51,45 @@ def test_likely(spark):
         True, False, False, True, False, False]
 
 
-def _lcs(a, b):
-    dp = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            dp[i][j] = dp[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(dp[i - 1][j], dp[i][j - 1])
-    out, i, j = "", len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out, i, j = a[i - 1] + out, i - 1, j - 1
-        elif dp[i - 1][j] > dp[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out
+def longest_common(a, b):
+    """By definition: drop a character of either text, or keep one that both begin with."""
+    @cache
+    def best(a, b):
+        if not a or not b:
+            return 0
+        return 1 + best(a[1:], b[1:]) if a[0] == b[0] else max(best(a[1:], b), best(a, b[1:]))
+
+    return best(a, b)
 
 
 def test_differences(spark):
     rnd = random.Random(3)
     pairs = [("".join(rnd.choices("abc", k=rnd.randint(0, 12))), "".join(rnd.choices("abcd", k=rnd.randint(0, 12)))) for _ in range(300)]
     for a, b in pairs:
-        common = _lcs(a, b)
-        assert corpus.common_length(a, b) == len(common)
+        most = longest_common(a, b)
+        assert corpus.common_length(a, b) == most
         seg = corpus.segments(a, b)
         assert "".join(t for k, t in seg if k != "added") == a and "".join(t for k, t in seg if k != "removed") == b
-        if a and b and a != b:
-            assert "".join(t for k, t in seg if k == "unchanged") == common
+        assert sum(len(t) for k, t in seg if k == "unchanged") == most
         assert all(x[0] != y[0] for x, y in zip(seg, seg[1:]))
     df = spark.createDataFrame(pairs[:50], "original string, modified string")
     for r in corpus.diff_stats(df).collect():
-        n = len(r.original) if r.original == r.modified else len(_lcs(r.original, r.modified))
+        n = longest_common(r.original, r.modified)
         assert (r.unchanged, r.removed, r.added) == (n, len(r.original) - n, len(r.modified) - n)
 
 
+def test_every_command_of_the_tables(spark):
+    """Entries as literals of their own, so that a wrong one in the tables shows."""
+    symbols = "·×÷±∓≤≥≠≈∞∫∑∏√∂∇αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΦΨΩ→←↔⇒⇐⇔∈∉⊂⊃⊆⊇∪∩∅∀∃¬∧∨⊥∥"
+    names = ("cdot times div pm mp leq geq neq approx infty int sum prod sqrt partial nabla alpha beta gamma delta varepsilon zeta eta "
+             "theta iota kappa lambda mu nu xi pi rho sigma tau upsilon varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Phi "
+             "Psi Omega rightarrow leftarrow leftrightarrow Rightarrow Leftarrow Leftrightarrow in notin subset supset subseteq "
+             "supseteq cup cap emptyset forall exists neg land lor perp parallel").split()
+    assert len(symbols) == len(names)
+    got = apply(spark, lx.normalize_latex, [f"a {s} b" for s in symbols])
+    assert [g.split() for g in got] == [["a", "\\" + n, "b"] for n in names]
+
+
 @pytest.mark.parametrize("limit", [1000, 3])
 def test_math_hint(spark, limit):
     rnd = random.Random(5)
