@@ -3,7 +3,7 @@
 import random
 import re
 from functools import cache
-from functools import cache
+
 import pytest
 from pyspark.sql import functions as F
 
