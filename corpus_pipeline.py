@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from regionlake.deploy import ship
 from regionlake.llm.decontamination import contained_items
-from regionlake.llm.line_dedup import without_lines
+from regionlake.llm.line_dedup import HAS_WORD, without_lines
 from regionlake.llm.ngram_join import ngram_jaccard_join
 from regionlake.llm.pareto_mix import n_words, pareto_mix
 from regionlake.llm.quality_gam import score_column, train
@@ -32,10 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document all of whose words stood in them goes with them.  n_chars follows the text."""
     names = docs.columns
-    rows = without_lines(docs)
-    has_word = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    rows = rows.filter((F.col("n_removed") == 0) | has_word)
-    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    rows = without_lines(docs, counts=("__removed", "__near"))
+    untouched = F.col("__removed") == 0
+    rows = rows.filter(untouched | F.col("text").rlike(HAS_WORD))
+    chars = F.when(untouched, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
     return rows.withColumn("n_chars", chars).select(*names)
 
 
@@ -52,12 +52,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their sizes, the target of their source, copies and words taken."""
+    """The documents that the mix takes, with their sizes, the target of their source, copies and words taken.
+
+    These replace columns of the same names.
+    """
+    numbers = ("source_size", "target", "copies")
     chosen = pareto_mix(docs).filter("copies > 0").select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "source_size", "target", "copies").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *(F.col(n).alias(f"__{n}") for n in numbers)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
     size = n_words(F.col("text"))
-    return docs.join(chosen, same).select(*docs.columns, size.alias("size"), "source_size", "target", "copies", (size * F.col("copies")).alias("taken"))
+    own = [n for n in docs.columns if n not in (*numbers, "size", "taken")]
+    return docs.join(chosen, same).select(*own, size.alias("size"), *(F.col(f"__{n}").alias(n) for n in numbers),
+                                          (size * F.col("__copies")).alias("taken"))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),

@@ -108,9 +108,10 @@ def _near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.filter(F.levenshtein("line", "other", 1).between(0, 1)).select("first").distinct()
 
 
-def without_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with what is left of each text (lines joined as they were), and n_removed and n_near: the lines removed, and
-    how many of these for a near line.  A text from which nothing is removed stays as it is.
+def without_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text",
+                  counts: tuple[str, str] = ("n_removed", "n_near")) -> DataFrame:
+    """``docs`` with what is left of each text (lines joined as they were), and two ``counts``: the lines removed, and how many
+    of these for a near line.  A text from which nothing is removed stays as it is.
 
     Lines without a word stay.  Rows with the same id are one document: what is removed from one is removed from all at the
     same line.  A row without an id keeps all its lines, and other documents' lines may be removed for it, as it comes first.
@@ -125,7 +126,7 @@ def without_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
     count = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     return docs.join(gone.hint("merge"), c(f"`{id_col}`") == c("__id"), "left").withColumns({
         text_col: F.when(c("__gone").isNull(), text).otherwise(left),
-        "n_removed": count(F.when(c("__gone").isNotNull(), F.size("__gone"))), "n_near": count(c("__near"))}).drop("__gone", "__near", "__id")
+        counts[0]: count(F.when(c("__gone").isNotNull(), F.size("__gone"))), counts[1]: count(c("__near"))}).drop("__gone", "__near", "__id")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
