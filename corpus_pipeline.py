@@ -62,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
     size = n_words(F.col("text"))
     own = [n for n in docs.columns if n not in (*numbers, "size", "taken")]
-    return docs.join(chosen, same).select(*own, size.alias("size"), *(F.col(f"__{n}").alias(n) for n in numbers),
+    return docs.join(chosen.hint("merge"), same).select(*own, size.alias("size"), *(F.col(f"__{n}").alias(n) for n in numbers),
                                           (size * F.col("__copies")).alias("taken"))
 
 
