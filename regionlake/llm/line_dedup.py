@@ -97,8 +97,8 @@ def _near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     found = docs.join(lines.hint("merge"), "doc_id").select("doc_id", F.split("text", "\n", -1).alias("text"), F.explode("lines").alias("s")).select(
         F.struct("doc_id", c("s.line_no").alias("line_no")).alias("first"), "s.sel", normal(F.get("text", c("s.line_no"))).alias("line"))
     found = store(found.distinct().withColumn("n", F.char_length("line")), "near_candidates")
-    keys = found.select("first", F.inline(_variants(c("line"), c("n"), c("sel")))).distinct()
-    keys = store(keys, "variants")
+    # a key that a line has twice does no harm: only the earliest line of a key counts
+    keys = store(found.select("first", F.inline(_variants(c("line"), c("n"), c("sel")))), "variants")
     of = lambda role: F.min(F.when(c("role") == role, c("first")))
     least = keys.groupBy("key").agg(of(0).alias("own"), of(1).alias("left_out"), of(2).alias("same"))
     earlier = F.when(c("role") == 0, c("left_out")).when(c("role") == 1, c("own")).otherwise(c("same"))
