@@ -1,6 +1,7 @@
 """All named queries; importing the modules registers them."""
 
-from . import export_queries, metering_queries, raster_queries, region_queries, stream_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    export_queries, metering_queries, raster_queries, region_queries, store_queries, stream_queries, text_queries)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -76,10 +76,9 @@ def export_numbered(spark, sf):
     return exports.assemble(exports.export_numbered(rows, "markdown", order="id"))
 
 
-@query("page_groups", _BASE + """ SELECT page_no, string_agg(id, ',' ORDER BY pos) AS ids FROM o GROUP BY page_no""")
+@query("page_groups", _BASE + """ SELECT page_no, CAST(0 AS BIGINT) AS part_no, string_agg(id, ',' ORDER BY pos) AS ids FROM o GROUP BY page_no""")
 def page_groups(spark, sf):
     """Ordered list of the formulas of a page, in parts of bounded length."""
     rows = ops.reading_order(_recognised(spark, sf))
-    return rows.groupBy("page_no", F.floor((c("position") - 1) / 10_000).alias("_part")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda r: r["id"]), ",").alias("ids")
-    ).drop("_part")
+    return rows.groupBy("page_no", F.floor((c("position") - 1) / 10_000).alias("part_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda r: r["id"]), ",").alias("ids"))

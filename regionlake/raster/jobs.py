@@ -303,7 +303,8 @@ def whole_page_regions(pages: DataFrame, items: DataFrame, keys: Sequence[str] =
     typed = lambda df: df.select(*[c(n).cast("int") if n in ("math_symbols", "greek_count") else c(n) for n in cols])
     # regions without pixels are small: each pixel stage is written once, so later steps never repeat it
     pixel = cut(typed(found))
-    both = typed(text).unionByName(pixel) if p.policy == "both" else region_ops.text_or_pixel(
+    by = lambda df, name: df.withColumn("detected_by", F.lit(name))
+    both = by(typed(text), "text").unionByName(by(pixel, "pixel")) if p.policy == "both" else region_ops.text_or_pixel(
         typed(text), pixel, grid, p.large_tile_pixels, tile)
     good = cut(filters.validate_regions(both))
     refined = cut(refine_boundaries(good, pages, keys).withColumn("complexity", scoring.complexity()))
