@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regionlake.params import DetectionParams, TileParams
+from regionlake.params import DetectionParams, PageParams, TileParams
 from regionlake.operators import lifecycle
 from regionlake.raster import features, jobs
 from regionlake.raster import kernels as k
@@ -171,12 +171,25 @@ def test_tiles_cover_page(spark):
 
 
 def test_whole_page(spark):
+    """A box drawn on the page and two lines of mathematics in its text layer, with exact boxes; blank paper gives nothing."""
     page = np.full((200, 400), 255)
+    page[120:150, 200:330] = 0
+    page[130:140, 220:300] = 255
     items = spark.createDataFrame(
         [(0, i, s, 20.0, 40.0 + 50 * i, 90.0, 14.0, i == 1) for i, s in enumerate(["E = mc^2 + α", "∫ f √x", "plain words"])],
         "page_no int, line_no int, str string, x double, y double, width double, height double, is_math_font boolean")
-    out = jobs.whole_page_regions(spark.createDataFrame(page_rows(page), PAGES), items, d=NATIVE).collect()
-    assert {r.detected_by for r in out} <= {"text"} and all(r.confidence >= 0.75 for r in out)
+    df = spark.createDataFrame(page_rows(page), PAGES)
+    found = lambda **kw: {(r.detected_by, r.x, r.y, r.w, r.h) for r in jobs.whole_page_regions(df, items, d=NATIVE, **kw).collect()}
+    drawn = ("pixel", 198.0, 118.0, 133.0, 33.0)
+    assert found() == {drawn}
+    low = PageParams(confidence_threshold=0.3)
+    written = {("text", -2.0, 13.0, 145.0, 39.0), ("text", -2.0, 63.0, 145.0, 39.0)}
+    assert found(p=low) == {drawn} | written
+    assert found(p=replace(low, policy="by_size")) == {drawn}
+    # a region that several tiles see whole is reported once
+    assert len([x for x in found(t=TileParams(tile_size=200, margin=150, threshold_area=1)) if x[0] == "pixel"]) == 1
+    blank = spark.createDataFrame(page_rows(np.full((200, 400), 255)), PAGES)
+    assert jobs.whole_page_regions(blank, items.filter("line_no = 2"), d=NATIVE, p=low).count() == 0
 
 
 def png(path, array):
@@ -286,12 +299,12 @@ def test_recognition_stream_and_fallback(spark, tmp_path):
 
     rows = spark.createDataFrame([("a", bytearray(b"1"), 0.9), ("b", bytearray(b"1"), 0.9), ("c", bytearray(b"bad"), 0.9), ("d", bytearray(b"2"), 0.1)],
                                  "id string, data binary, confidence double")
-    got = {r.id: (r.success, r.attempts, r.error) for r in lifecycle.recognize_unique(rows, make).collect()}
+    got = {r.id: (r.success, r.attempts, r.error) for r in lifecycle.recognize_unique(rows, make, delay_seconds=0.0).collect()}
     assert got["a"] == got["b"] == (True, 2, None) and got["c"] == (False, 3, "no")
     rows.write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):
-        stream.stream_recognitions(src, str(tmp_path / "store"), str(tmp_path / "cp"), make).awaitTermination()
+        stream.stream_recognitions(src, str(tmp_path / "store"), str(tmp_path / "cp"), make, delay_seconds=0.0).awaitTermination()
     out = {r.id: r.success for r in stream.recognised(spark, str(tmp_path / "store")).collect()}
     assert out == {"a": True, "b": True, "c": False}
 
@@ -337,3 +350,49 @@ def test_merge_tables_and_edits(spark):
     assert got == {1: ("a", True), 2: ("b", False), 4: (None, False)}
     e = lifecycle.apply_edit(spark.createDataFrame([("x", "$x$", "\\frac{a}{b}"), ("x", "$x$", "plain")], "latex string, markdown string, edit string")).collect()
     assert [(r.latex, r.markdown) for r in e] == [("\\frac{a}{b}", "$\\frac{a}{b}$"), ("x", "plain")]
+
+
+def test_recogniser_tries(spark):
+    """Refused replies are tried again, time-outs end the tries, unsolved rows stay."""
+    import time
+
+    def make():
+        calls = {}
+
+        def run(row):
+            n = calls[row["id"]] = calls.get(row["id"], 0) + 1
+            if row["id"] == "slow":
+                time.sleep(3)
+            if row["id"] == "late":
+                raise TimeoutError
+            return "x=1" if n == 2 else "sorry"
+        return run
+
+    rows = spark.createDataFrame([("good",), ("slow",), ("late",)], "id string")
+    got = {r.id: (r.success, r.error, r.attempts) for r in lifecycle.recognize(
+        rows, make, valid=lambda t: "=" in t, delay_seconds=0.01, timeout_seconds=0.5).collect()}
+    assert got == {"good": (True, None, 2), "slow": (False, "timeout", 1), "late": (False, "timeout", 1)}
+    only = lambda name: lambda df: df.filter(F.col("id") == name).select("id", F.lit("x").alias("latex"))
+    out = {r.id: (r.method, r.latex, r.error) for r in lifecycle.with_fallback(rows, [("a", only("good")), ("b", only("late"))]).collect()}
+    assert out == {"good": ("a", "x", None), "late": ("b", "x", None), "slow": (None, None, "unsolved")}
+
+
+def test_active_provider(spark):
+    rows = spark.createDataFrame([(1, "backend", "x=1"), (1, "zhipu", "y=1"), (2, "backend", "no"), (2, "gemini", "z=1"), (2, "local", "w=1"),
+                                  (3, "backend", None), (4, "own", "v=1")], "id int, provider string, reply string")
+    pick = lambda **kw: {r.id: r.provider for r in lifecycle.provider_fallback(rows, F.col("reply").contains("="), **kw).collect()}
+    assert pick() == {1: "backend", 2: "gemini", 3: None, 4: None}
+    assert pick(active="own", excluded=["gemini"]) == {1: "zhipu", 2: "local", 3: None, 4: "own"}
+
+
+def test_default_resolution(spark):
+    """At the default enlargement a page above the former limit of two million pixels is binarised like a small one."""
+    page = np.full((300, 420), 255)
+    page[100:140, 50:300] = 0
+    df = spark.createDataFrame(page_rows(page), PAGES)
+    row = jobs.binarize_pages(df).first()
+    assert row.ink_w * row.ink_h > 2_000_000 and row.n_ink > 0
+    limited = jobs.binarize_pages(df, p=DetectionParams(max_adaptive_pixels=2_000_000)).first()
+    assert bytes(limited.bits) != bytes(row.bits)
+    profiles = jobs.row_profiles(spark.createDataFrame(page_rows(np.full((2500, 30), 255)), PAGES))
+    assert profiles.count() == 2500
