@@ -16,16 +16,11 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..params import MAX_WINDOW_ROWS
 
-_probes: dict[tuple, bool] = {}
-
 
 def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """True when some group has more than ``limit`` rows (one pruned, map-side combined count)."""
-    probe = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
-    if probe not in _probes:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-        _probes[probe] = not counts.isEmpty()
-    return _probes[probe]
+    """True when some group has more than ``limit`` rows (one pruned, map-side combined count of the rows as they are now)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    return not counts.isEmpty()
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:

@@ -18,6 +18,7 @@ MIME_TYPES = {
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
     "text/markdown": "markdown", "text/x-markdown": "markdown",
 }
+BROADCAST_PATHS = 100_000
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "md": "markdown", "markdown": "markdown"}
 
 
@@ -39,7 +40,8 @@ def page_pixels(images: DataFrame) -> DataFrame:
 def read_page_images(spark: SparkSession, path: str, limits: DocumentLimits = DocumentLimits()) -> tuple[DataFrame, DataFrame]:
     """(pages with pixels, rejected files with a reason).
 
-    Size and type come from file metadata, so rejected files are never decoded into the pages table.
+    Size and type come from file metadata.  Files of other types are not opened; Spark's image source decodes a file that is
+    too large before it is dropped here.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     ext = extension(c("path"))
@@ -51,8 +53,11 @@ def read_page_images(spark: SparkSession, path: str, limits: DocumentLimits = Do
     images = page_pixels(spark.read.format("image").option("dropInvalid", False).option(
         "pathGlobFilter", f"*.{{{any_case}}}").load(path))
     key = lambda col: F.regexp_replace(col, "^file:/+", "/")
-    admitted = checked.filter("reason IS NULL").select(key(c("path")).alias("_k"))
-    pages = images.withColumn("_k", key(c("path"))).join(admitted, "_k", "left_semi").drop("_k")
+    # the few files that are dropped go to the pixels, not the pixels through a shuffle to a list of all files
+    dropped = checked.filter("reason IS NOT NULL").filter(ext.isin(*DECODABLE)).select(key(c("path")).alias("_k"))
+    if dropped.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+        dropped = F.broadcast(dropped)
+    pages = images.withColumn("_k", key(c("path"))).join(dropped, "_k", "left_anti").drop("_k")
     broken = pages.filter("width < 0").select("path", F.lit("unreadable").alias("reason"))
     return pages.filter("width > 0"), checked.filter("reason IS NOT NULL").select("path", "reason").unionByName(broken)
 
