@@ -4,7 +4,8 @@ A text is cut into units: at line ends, after full stops and before words with a
 into lines or paragraphs only.  A unit's digest is that of its words in lower case.  Digests are grouped globally, and of each
 the earliest unit (by document id, then offset) is kept.  A repeat is a run of neighbouring units that all have an earlier
 occurrence and together hold ``min_words`` words or more; so a short sentence or heading that many texts share stays, and a
-passage is found wherever in a line it stands.
+passage is found wherever in a line it stands.  Where a passage begins or ends within a sentence, that unit differs from text
+to text and does not count: 40 words in whole units stand for a passage of over 50.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ class _Cut:
                                           [x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, units: str = "sentence", id_col: str = "doc_id",
+def repeated_passages(docs: DataFrame, min_words: int = 40, units: str = "sentence", id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_words, n_units, first_doc_id, first_start) of each passage to remove.
 
