@@ -171,7 +171,7 @@ def dedupe_images(crops: DataFrame, data: str = "data") -> tuple[DataFrame, Data
     return unique, keyed.select("id", "content_hash")
 
 
-_RESULT = "id string, success boolean, latex string, error string, attempts int"
+RESULT = "id string, success boolean, latex string, error string, attempts int"
 
 
 def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], str]], max_attempts: int = 3,
@@ -216,7 +216,7 @@ def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], s
                 rows.append((str(row["id"]), text is not None, text, None if text is not None else error, tries))
             yield pd.DataFrame(rows, columns=["id", "success", "latex", "error", "attempts"])
 
-    return crops.withColumn("id", c("id").cast("string")).mapInPandas(run, _RESULT)
+    return crops.withColumn("id", c("id").cast("string")).mapInPandas(run, RESULT)
 
 
 def recognize_unique(crops: DataFrame, make_recognizer, data: str = "data", **kw) -> DataFrame:

@@ -231,20 +231,17 @@ def stream_recognitions(crops: DataFrame, store_path: str, checkpoint: str, make
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         keyed = batch.filter(c("confidence") >= min_confidence).withColumn("content_hash", lifecycle.content_hash(c("data")))
         unique, _ = lifecycle.dedupe_images(keyed.drop("content_hash"))
-        try:
-            known = spark.read.option("basePath", store_path).parquet(f"{store_path}/version=*").filter(
-                c("version") != batch_id)
-            unique = unique.join(known.select("content_hash"), "content_hash", "left_anti")
-        except Exception as ex:  # the first trigger finds no store
-            if "PATH_NOT_FOUND" not in str(ex):
-                raise
+        known = batch.sparkSession.read.option("basePath", store_path).parquet(f"{store_path}/version=*")
+        unique = unique.join(known.filter(c("version") != batch_id).select("content_hash"), "content_hash", "left_anti")
         fresh = lifecycle.recognize(unique.drop("id").withColumnRenamed("content_hash", "id"), make_recognizer, **kw)
         fresh.withColumnRenamed("id", "content_hash").write.mode("overwrite").parquet(f"{store_path}/version={batch_id}")
         keyed.select("id", "content_hash").write.mode("overwrite").parquet(f"{store_path}/ids/version={batch_id}")
 
+    # an empty version, so that the first trigger finds a store
+    crops.sparkSession.createDataFrame([], lifecycle.RESULT).withColumnRenamed("id", "content_hash").write.mode("ignore").parquet(
+        f"{store_path}/version=-1")
     return crops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
