@@ -53,7 +53,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def labelled_tokens(docs: DataFrame, bound: int = 4_000) -> DataFrame:
     """(token, random): what the rules find and digests written as base64 are random; words of eight and more of at most
     ``bound`` documents, without what the rules find there, are ordinary."""
-    some = sample(docs.filter("doc_id IS NOT NULL"), bound)
+    ids = F.broadcast(sample(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct(), bound))  # at most bound ids
+    some = docs.join(ids, "doc_id")
     found = base_spans(some).select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select(c("s.match").alias("token"))
     digests = some.select(F.base64(F.unhex(F.sha2(c("doc_id").cast("string"), 256))).alias("token"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
