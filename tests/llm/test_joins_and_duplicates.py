@@ -266,3 +266,42 @@ def test_passages_odd(odd, empty):
     assert got == {(5, 4), (7, 1)} or got == {(7, 1)}
     assert without_passages(odd, repeated_passages(odd, min_words=20)).count() == 10
     assert repeated_passages(empty).count() == 0
+
+
+def test_passages_begin_and_end_anywhere(frame):
+    """Runs that start and end within sentences, in one line without full stop or capital, and none that is a word too short."""
+    rng = random.Random(9)
+    fill = lambda n: " ".join(f"z{rng.random()}" for _ in range(n))
+    shared = {n: " ".join(rng.choices(VOCAB, k=n)) for n in (50, 51, 60, 79)}
+    docs, want = [], set()
+    for n, (i, words) in enumerate(shared.items()):
+        for copy in range(3):
+            a, b = fill(20 + 7 * n + copy) + f" É{copy} ", " " + fill(30)
+            docs.append((10 * i + copy, a + (words.upper() if copy == 2 else words) + b))
+            if copy and i > 50:
+                want.add((10 * i + copy, len(a), len(a) + len(words), i, 10 * i))
+    # the first document shares only the middle of what the later two share
+    middle, around = " ".join(rng.choices(VOCAB, k=40)), [" ".join(rng.choices(VOCAB, k=15)) for _ in range(2)]
+    docs += [(1, middle), (2, fill(60) + " " + " ".join([around[0], middle, around[1]])), (3, " ".join([around[0], middle, around[1]]) + " " + fill(60))]
+    want.add((3, 0, len(" ".join([around[0], middle, around[1]])), 70, 2))
+    found = repeated_passages(frame(docs)).collect()
+    assert {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in found} == want
+    for r in found:
+        assert dict(docs)[r.first_doc_id][r.first_start:].lower().startswith(dict(docs)[r.doc_id][r.start:r.end].lower())
+    # every window of 51 words that a plain search finds, and no other
+    rng, docs = random.Random(10), []
+    pool = [" ".join(rng.choices(VOCAB[:60], k=rng.randrange(30, 90))) for _ in range(12)]
+    for i in range(60):
+        docs.append((i, " ".join(" ".join(p[rng.randrange(8):]) for p in (x.split() for x in rng.sample(pool, 3)))))
+    seen, want = {}, set()
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - 50):
+            if seen.setdefault(tuple(w[k:k + 51]), (i, k)) != (i, k):
+                want |= {(i, x) for x in range(k, k + 51)}
+    got = set()
+    for r in repeated_passages(frame(docs)).collect():
+        at = len(dict(docs)[r.doc_id][:r.start].split())
+        got |= {(r.doc_id, x) for x in range(at, at + r.n_words)}
+    trimmed = want - got
+    assert got <= want and want and not trimmed
