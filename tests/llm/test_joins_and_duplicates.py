@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from regionlake.llm import ngram_join, textblocks
@@ -81,6 +82,23 @@ def test_jaccard_join_dense_group(frame, monkeypatch):
     assert got == expected_groups(rows)
 
 
+@pytest.mark.parametrize(("n", "shingles_a_block"), [(2, 150), (5, 100)])
+def test_jaccard_join_empty_blocks(frame, monkeypatch, n, shingles_a_block):
+    """Few texts over several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles_a_block)
+    base = random.Random(6).choices(VOCAB, k=150)
+    rows = [(i, " ".join([*base[:-1], f"own{i}"])) for i in range(n)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_linked_docs) for r in ngram_jaccard_join(frame(rows)).collect()}
+    assert got == expected_groups(rows)
+
+
+def test_links_of_a_pair_with_an_empty_block():
+    text = " ".join(VOCAB[:150])
+    rows = {"key": [0, 0], "i": [0, 0], "j": [0, 0], "block": [0, 0], "n_blocks": [2, 2], "copy_id": [0, 1], "n_copies": [1, 1], "text": [text + " a", text + " b"]}
+    count = lambda **change: next(ngram_join._Verify(0.8)([pa.RecordBatch.from_pydict(rows | change)])).column("links").to_pylist()
+    assert count() == [1, 1] and count(j=[1, 1]) == [0, 0]
+
+
 def test_jaccard_join_odd(odd, empty):
     rows = ngram_jaccard_join(odd).collect()
     assert len(rows) == 10
