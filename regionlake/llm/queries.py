@@ -18,6 +18,7 @@ from .passage_dedup import repeated_passages
 from .quality_gam import quality_scores
 from .secret_scan import labelled_tokens, secret_scan, train_markov, written
 from .separator_scan import token_counts
+from .substring_dedup import without_repeats
 from .tables import table, texts
 from .toxicity_pu import toxicity_scores
 
@@ -93,3 +94,9 @@ def _op9(spark, sf_dir):
 @query("op10_toxicity_pu")
 def _op10(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_substring_dedup", sql.SUBSTRING_DEDUP)
+def _op12(spark, sf_dir):
+    rows = without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -135,3 +135,27 @@ SELECT doc_id, source, size, source_size, target,
   CAST(whole AS BIGINT) + CASE WHEN need > 0 AND up_to - alike / 2 <= need THEN 1 ELSE 0 END AS copies,
   size * (CAST(whole AS BIGINT) + CASE WHEN need > 0 AND up_to - alike / 2 <= need THEN 1 ELSE 0 END) AS taken
 FROM ranked"""
+
+SUBSTRING_DEDUP = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+pieces AS (SELECT doc_id, n, at, substr(h, 2 * at + 1, 2 * (1024 + 49)) AS h FROM (
+  SELECT doc_id, n, h, unnest(range(0, n, 1024)) AS at FROM bytes)),
+windows AS (SELECT doc_id, at + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (
+  SELECT doc_id, at, h, unnest(range(0, least(1024, n - at - 49))) AS i FROM pieces)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+again AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i - 50 <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM again))
+  GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (
+    SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, -1, 0 FROM bytes)),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * g.a + 1, 2 * (coalesce(g.b, n) - g.a)), '' ORDER BY g.a) AS h
+  FROM gaps g JOIN bytes USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(kept.h)) AS kept_sha256
+FROM bytes JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
