@@ -138,10 +138,10 @@ FROM ranked"""
 
 SUBSTRING_DEDUP = r"""
 WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-pieces AS (SELECT doc_id, n, at, substr(h, 2 * at + 1, 2 * (1024 + 49)) AS h FROM (
-  SELECT doc_id, n, h, unnest(range(0, n, 1024)) AS at FROM bytes)),
-windows AS (SELECT doc_id, at + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (
-  SELECT doc_id, at, h, unnest(range(0, least(1024, n - at - 49))) AS i FROM pieces)),
+pieces AS (SELECT doc_id, n, lo, substr(h, 2 * lo + 1, 2 * (1024 + 49)) AS h FROM (
+  SELECT doc_id, n, h, unnest(range(0, n, 1024)) AS lo FROM bytes)),
+windows AS (SELECT doc_id, lo + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (
+  SELECT doc_id, lo, h, unnest(range(0, least(1024, n - lo - 49))) AS i FROM pieces)),
 firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
 again AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE first < doc_id),
 runs AS (
