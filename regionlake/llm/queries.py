@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from . import sql
+from .collocations import collocations
 from .decontamination import contained_items
+from .hard_negatives import hard_negatives
 from .host_rules import host_rules
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
@@ -96,7 +98,19 @@ def _op10(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_collocations", sql.COLLOCATIONS)
+def _op11(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_substring_dedup", sql.SUBSTRING_DEDUP)
 def _op12(spark, sf_dir):
     rows = without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_hard_negatives", sql.HARD_NEGATIVES)
+def _op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label))
