@@ -1,14 +1,15 @@
 """Operator 12: strings of bytes that repeat in a later document, from suffix arrays of shards made by content.
 
-1. Whole texts are packed into blocks.  Of each ``min_bytes`` window the least hash of its ``min_bytes // 3``-byte runs is
-   its mark; neighbouring windows share theirs, and equal windows have equal marks wherever they stand.
+1. Whole texts are packed into blocks.  Of each ``min_bytes`` window the least hash of its ``min_bytes // 2``-byte runs is
+   its mark; neighbouring windows share theirs (a stretch), and equal windows have equal marks wherever they stand.
 2. Marks are added up over all blocks.  A window whose mark stands in one document only is not repeated.
-3. The other stretches of text (the windows of one mark) go to the shard of their mark, once a block and with the least id
-   of the block's documents that have them.  Stretches of a mark that is very frequent are cut into their windows, and each
-   goes to a shard of its own, so no shard grows with a frequent phrase.
-4. A shard sorts the suffixes of its different stretches by induced sorting: suffixes are classified, the leftmost smaller
-   ones sorted by names that are paired recursively, all others induced from them in linear passes.  Where the permuted
-   common prefix is ``min_bytes`` or longer, suffixes begin with one window; the least id of such a run is its first document.
+3. Of the other stretches each block sends a digest and the least id of its documents that have them to the shard of their
+   mark.  If all stretches of a mark are equal, the least id of all is the first document of their windows.  Stretches of a
+   very frequent mark are cut into their windows, and each goes to a shard of its own, so no shard grows with a phrase.
+4. Stretches that share a mark with different ones send their bytes.  A shard sorts their suffixes by induced sorting:
+   suffixes are classified, the leftmost smaller ones sorted by names that are paired recursively, all others induced from
+   them in linear passes.  Where the permuted common prefix is ``min_bytes`` or longer, suffixes begin with one window;
+   the least id of such a run is its first document.
 5. Each block is told the first document of every window that it sent, and cuts those that have a smaller one than their own.
 """
 
@@ -27,15 +28,17 @@ from .suffix_array import common_prefixes, suffix_array
 from .tables import store
 
 c = F.col
-BLOCK = 8 << 20
-#: bytes of stretches a shard gets, as an estimate, before equal ones are put together
-SHARD = 8 << 20
+BLOCK = 4 << 20
+#: digests and, in the second step, bytes a shard gets, as estimates
+SHARD = 400_000, 4 << 20
 #: stretches of one mark (in all blocks, or 256 blocks) above which they are sent window by window
 FREQUENT = 16_384
 #: what a block adds to the count of a mark, twice where several of its documents have it
 _SEEN = 1 << 23
 _PACKED = "block long, n_bytes long, ids binary, known binary, sizes binary, data binary"
-_PIECES = "shard int, block long, data binary, sizes binary, first binary"
+_PIECES = "shard int, block long, pieces binary"
+_DIGEST = np.dtype([("route", "<u4"), ("digest", "<u8")])
+_FIRST = np.dtype([("first", "<i8"), ("met", "?")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -91,57 +94,81 @@ class _Block:
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def _piece(self, a: int, b: int):
-        n, k = self.least, max(1, self.least // 3)
+        n, k = self.least, max(1, self.least // 2)
         runs = _run_hashes(self.data[a:b], k)
-        marks, place = _least_of(runs, n - k + 1)
-        window = np.arange(a, b - n + 1)
-        doc = np.searchsorted(self.ends, window, "right")
-        good = np.flatnonzero((self.ends[doc] - window >= n) & self.known[doc])
+        place = _least_of(runs, n - k + 1)
+        good = np.ones(len(place), bool)
+        i, j = np.searchsorted(self.ends, [a, b - 1], "right")
+        ends = self.ends[i:j + 1] - a
+        # windows that run over the end of a document, and documents without an id
+        over = (ends[:, None] - 1 - np.arange(n - 1)).ravel()
+        good[over[(over >= 0) & (over < len(good))]] = False
+        for d in (np.flatnonzero(~self.known[i:j + 1]) + i).tolist():
+            good[max(0, self.ends[d] - self.sizes[d] - a):max(0, self.ends[d] - a)] = False
+        good = np.flatnonzero(good)
         if not len(good):
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-        cut = np.flatnonzero((np.diff(place[good]) != 0) | (np.diff(good) != 1)) + 1
-        first = good[np.append(0, cut)]
-        return marks[first], a + first, np.diff(np.append(np.append(0, cut), len(good))), doc[first]
-
-    def shared(self, total: np.ndarray):
-        """Stretches to compare, given the totals of the block's marks: the different ones in the order in which they are
-        sent (bytes, sizes, route), and which of them each occurrence is, with its place, windows and document."""
+        place = place[good]
+        cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(good) != 1)) + 1
+        head = np.append(0, cut)
+        first = good[head]
+        return runs[place[head]], a + first, np.diff(np.append(head, len(good))), np.searchsorted(self.ends, a + first, "right")
+
+    def shared(self, total: np.ndarray) -> _Stretches:
+        """Stretches to compare, given the totals of the block's marks."""
         mark, place, n, doc = self.stretches()
         total = total[np.unique(mark, return_inverse=True)[1]]
         both = total >= 2 * _SEEN
         often = both & ((total % _SEEN > self.frequent) | (total >= 256 * _SEEN))
         once = both & ~often
-        route = [mark[once]]
-        rows = [(place[once], n[once], doc[once])]
-        if often.any():
-            whole = np.repeat(place[often], n[often]) + _up_to(n[often])
-            rows.append((whole, np.ones(len(whole), np.int64), np.repeat(doc[often], n[often])))
-            route.append(None)
-        place, n, doc = (np.concatenate(x) for x in zip(*rows))
-        texts, routes, single = [], [], 0
-        for part, keys in zip(rows, route):
-            for i in range(0, len(part[0]), 65_536):
-                texts.append(self._texts(part[0][i:i + 65_536], part[1][i:i + 65_536] + self.least - 1).dictionary_encode())
-                routes.append(self._window_hash(part[0][i:i + 65_536]) if keys is None else keys[i:i + 65_536])
-        if not texts:
-            return pa.array([], pa.large_binary()), np.zeros(0, np.uint64), np.zeros(0, np.int64), place, n, doc
-        merged = pa.chunked_array(texts).unify_dictionaries()
-        which = np.concatenate([x.indices.to_numpy() for x in merged.chunks])
-        routes = np.concatenate(routes)
-        first = np.zeros(len(merged.chunk(0).dictionary), np.int64)
-        first[which[::-1]] = np.arange(len(which))[::-1]
-        return merged.chunk(0).dictionary, routes[first], which, place, n, doc
-
-    def _texts(self, place: np.ndarray, size: np.ndarray) -> pa.Array:
-        at = np.append(0, np.cumsum(size))
-        data = self.data[np.repeat(place - at[:-1], size) + np.arange(at[-1])]
-        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
-
-    def _window_hash(self, place: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(place), np.uint64)
-        for k in range(self.least):
-            value = value * np.uint64(_BASE) + self.data[place + k]
-        return tb.mix(value)
+        single = np.repeat(place[often], n[often]) + _up_to(n[often])
+        digests = self._digests(place[once], n[once] + self.least - 1), self._digests(single, np.full(len(single), self.least))
+        join = lambda a, b: np.concatenate([a[once], b])
+        return _Stretches(self, join(mark, digests[1]), np.concatenate(digests), join(place, single), join(n, np.ones(len(single), np.int64)),
+                          join(doc, np.repeat(doc[often], n[often])))
+
+    def _digests(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes that begin in ascending order."""
+        out = [np.zeros(0, np.uint64)]
+        for i in range(0, len(place), 16_384):
+            a, n = place[i:i + 16_384], size[i:i + 16_384]
+            low = a[0]
+            data = self.data[low:(a + n).max()].astype(np.uint64) + np.uint64(1)
+            steps = lambda base: np.multiply.accumulate(np.append(np.uint64(1), np.full(len(data), base, np.uint64)))
+            sums = np.append(np.uint64(0), np.cumsum(data * steps(_BASE)[:-1], dtype=np.uint64))
+            value = (sums[a - low + n] - sums[a - low]) * steps(pow(_BASE, -1, 1 << 64))[a - low]
+            out.append(tb.mix(value + n.astype(np.uint64)))
+        return np.concatenate(out)
+
+
+class _Stretches:
+    """Occurrences (place, n windows, document) and the different stretches among them, each with one of its places."""
+
+    def __init__(self, block: _Block, mark, digest, place, n, doc):
+        self.block, self.place, self.n, self.doc = block, place, n, doc
+        order = np.lexsort((digest, mark))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (mark[order[1:]] != mark[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(fresh) - 1
+        one = order[fresh]
+        self.mark, self.digest, self.at, self.windows = mark[one], digest[one], place[one], n[one]
+
+    def first(self) -> np.ndarray:
+        out = np.full(len(self.mark), np.iinfo(np.int64).max)
+        np.minimum.at(out, self.which, self.block.ids[self.doc])
+        return out
+
+    def texts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.windows[some] + self.block.least - 1
+        return size, self.block.data[np.repeat(self.at[some], size) + _up_to(size)]
+
+    def by_shard(self, shards: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches in order of their shards, and where each shard begins."""
+        some = np.arange(len(self.mark)) if some is None else some
+        shard = (tb.mix(self.mark[some]) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return some[order], np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def _up_to(n: np.ndarray) -> np.ndarray:
@@ -163,15 +190,14 @@ def _run_hashes(data: np.ndarray, k: int) -> np.ndarray:
         run, size = run[:-size] + run[size:] * power(size), 2 * size
 
 
-def _least_of(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least of each w values in a row, and its last place."""
-    at, span = np.arange(len(x)), 1
+def _least_of(x: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of each w values in a row, the first one of those with equal upper bits."""
+    bits = np.uint64(max(1, len(x) - 1).bit_length())
+    x, span = x >> bits << bits | np.arange(len(x), dtype=np.uint64), 1
     while span < w:
         step = min(span, w - span)
-        right = x[step:] <= x[:-step]
-        x, at = np.where(right, x[step:], x[:-step]), np.where(right, at[step:], at[:-step])
-        span += step
-    return x, at
+        x, span = np.minimum(x[step:], x[:-step]), span + step
+    return (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def _marks(min_bytes: int, frequent: int, parts: int):
@@ -190,65 +216,123 @@ def _marks(min_bytes: int, frequent: int, parts: int):
     return ask
 
 
-def _send(min_bytes: int, frequent: int, shards: int):
+def _sender(min_bytes: int, frequent: int, shards: int, body):
+    """Rows of ``_PIECES``: for each shard what ``body`` says of the block's stretches that go there."""
     def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("shard", "block", "data", "sizes", "first")}
+        out = [], [], []
         for row in rows.to_pylist():
             block = _Block(row, min_bytes, frequent)
-            texts, route, which, _, _, doc = block.shared(bl.answered(answers, np.uint32))
-            if not len(texts):
-                continue
-            first = np.full(len(texts), np.iinfo(np.int64).max)
-            np.minimum.at(first, which, block.ids[doc])
-            order, cuts = _by_shard(route, shards)
+            x = block.shared(bl.answered(_about(answers, 0), np.uint32))
+            order, cuts, pack = body(x, answers)
             for s in np.flatnonzero(np.diff(cuts)):
-                some = order[cuts[s]:cuts[s + 1]]
-                part = texts.take(pa.array(some))
-                at = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1)
-                out["shard"].append(int(s))
-                out["block"].append(block.number)
-                for name, value in (("data", np.frombuffer(part.buffers()[2], np.uint8)[at[0]:at[-1]]),
-                                    ("sizes", np.diff(at).astype(np.uint16)), ("first", first[some])):
-                    out[name].append(bl.squeeze(value))
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
+                for column, value in zip(out, (int(s), block.number, pack(order[cuts[s]:cuts[s + 1]]))):
+                    column.append(value)
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int32(), pa.int64(), pa.binary()))],
+                                    ["shard", "block", "pieces"])
 
     return send
 
 
-def _by_shard(route: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    shard = (tb.mix(route) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+def _about(answers: pa.Table, step: int) -> pa.Table:
+    return answers.filter(pa.array(np.asarray(answers["step"]) == step))
+
+
+def _ids(first: np.ndarray) -> bytes:
+    """Ids as differences from the least one, in four bytes each if they fit."""
+    low = first.min()
+    apart = (first - low).astype(np.uint64)
+    short = int(apart.max()) < 1 << 32
+    return int(low).to_bytes(8, "little", signed=True) + bytes([short]) + apart.astype("<u4" if short else "<u8").tobytes()
+
+
+def _read_ids(data: pa.Buffer, n: int) -> tuple[np.ndarray, int]:
+    head = data[:9].to_pybytes()
+    kind = np.dtype("<u4" if head[8] else "<u8")
+    apart = np.frombuffer(data, kind, n, 9).astype(np.int64)
+    return apart + int.from_bytes(head[:8], "little", signed=True), 9 + n * kind.itemsize
+
+
+def _digests(shards: int):
+    def body(x: _Stretches, answers: pa.Table):
+        first = x.first()
+
+        def pack(some: np.ndarray) -> bytes:
+            head = np.empty(len(some), _DIGEST)
+            head["route"], head["digest"] = x.mark[some].astype(np.uint32), x.digest[some]
+            # not compressed here: small runs would compress the worse the more shards there are
+            return len(some).to_bytes(4, "little") + head.tobytes() + _ids(first[some])
+
+        return *x.by_shard(shards), pack
+
+    return body
 
 
-def _first_documents(min_bytes: int):
-    """Of a shard's stretches the first document of each window, answered to each block."""
+def _texts(shards: int, shards2: int):
+    def body(x: _Stretches, answers: pa.Table):
+        first, met = x.first(), _met(x, answers, shards)
+
+        def pack(some: np.ndarray) -> bytes:
+            size, data = x.texts(some)
+            return len(some).to_bytes(4, "little") + size.astype("<u4").tobytes() + _ids(first[some]) + data.tobytes()
+
+        return *x.by_shard(shards2, np.flatnonzero(met["met"])), pack
+
+    return body
+
+
+def _met(x: _Stretches, answers: pa.Table, shards: int) -> np.ndarray:
+    """Per stretch the answer of the first step: the least id, and whether its mark has other stretches."""
+    order, _ = x.by_shard(shards)
+    out = np.empty(len(order), _FIRST)
+    out[order] = bl.answered(_about(answers, 1), _FIRST)
+    return out
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """The least id of equal stretches, and whether their mark has others; answered to each block."""
+    sizes, heads, firsts = [], [], []
+    for x in rows["pieces"]:
+        data = x.as_buffer()
+        n = int.from_bytes(data[:4].to_pybytes(), "little")
+        heads.append(np.frombuffer(data, _DIGEST, n, 4))
+        firsts.append(_read_ids(data[4 + heads[-1].nbytes:], n)[0])
+        sizes.append(n)
+    head, first = np.concatenate(heads), np.concatenate(firsts)
+    order = np.lexsort((head["digest"], head["route"]))
+    route, digest = head["route"][order], head["digest"][order]
+    fresh_mark = np.append(True, route[1:] != route[:-1])
+    fresh = fresh_mark | np.append(True, digest[1:] != digest[:-1])
+    group, starts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    mark = np.cumsum(fresh_mark) - 1
+    ways = np.bincount(mark[starts])
+    out = np.empty(len(order), _FIRST)
+    out["first"][order] = np.minimum.reduceat(first[order], starts)[group]
+    out["met"][order] = ways[mark] > 1
+    answers = [bl.squeeze(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
+    return pa.Table.from_arrays([rows["block"], rows["shard"], pa.array(answers, pa.binary())], schema=bl.ANSWERS)
+
+
+def _sort(min_bytes: int):
+    """The first document of each window of stretches that share a mark, answered to each block."""
     def sort(rows: pa.Table) -> pa.Table:
-        sizes = [bl.expand(x.as_py(), np.uint16).astype(np.int64) for x in rows["sizes"]]
-        size = np.concatenate(sizes)
-        data = np.concatenate([bl.expand(x.as_py(), np.uint8) for x in rows["data"]])
-        first = np.concatenate([bl.expand(x.as_py(), np.int64) for x in rows["first"]])
+        sizes, firsts, texts = [], [], []
+        for x in rows["pieces"]:
+            data = x.as_buffer()
+            n = int.from_bytes(data[:4].to_pybytes(), "little")
+            sizes.append(np.frombuffer(data, "<u4", n, 4).astype(np.int64))
+            data = data[4 + 4 * n:]
+            first, after = _read_ids(data, n)
+            firsts.append(first)
+            texts.append(np.frombuffer(data, np.uint8, offset=after))
+        size, first = np.concatenate(sizes), np.concatenate(firsts)
         at = np.append(0, np.cumsum(size))
-        coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        which, texts = coded.indices.to_numpy(), coded.dictionary
-        least = np.full(len(texts), np.iinfo(np.int64).max)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(texts))]).dictionary_encode()
+        which, own = coded.indices.to_numpy(), coded.dictionary
+        least = np.full(len(own), np.iinfo(np.int64).max)
         np.minimum.at(least, which, first)
-        off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
-        own = np.diff(off)
-        # texts in a row, each behind a 1; bytes are numbered from 2
-        line = np.ones(off[-1] + len(texts) + 1, np.uint16)
-        start = off[:-1] + np.arange(len(texts)) + 1
-        line[np.repeat(start, own) + _up_to(own)] = np.frombuffer(texts.buffers()[2], np.uint8, off[-1]).astype(np.uint16) + np.uint16(2)
-        line = np.append(line[1:], [0]).astype(np.uint16)
-        line[-2] = 1
-        start -= 1
-        array = suffix_array(line)
-        fresh = common_prefixes(line, array)[array] < min_bytes
-        owner = np.append(np.repeat(least, own + 1), [np.iinfo(np.int64).max] * (len(line) - len(texts) - off[-1]))
-        group = np.minimum.reduceat(owner[array], np.flatnonzero(fresh))
-        place = np.empty(len(line), np.int64)
-        place[array] = group[np.cumsum(fresh) - 1]
+        windows = np.diff(np.frombuffer(own.buffers()[1], np.int64, len(own) + 1)) - min_bytes + 1
+        start = np.cumsum(windows) - windows
+        place = _least_by_suffix(own, least, min_bytes)
         answers, i = [], 0
         for s in sizes:
             n = s - min_bytes + 1
@@ -259,42 +343,62 @@ def _first_documents(min_bytes: int):
     return sort
 
 
-def _cut(min_bytes: int, frequent: int, shards: int):
+def _least_by_suffix(texts: pa.Array, least: np.ndarray, min_bytes: int) -> np.ndarray:
+    """For each window of each text the smallest ``least`` of the texts that have it, from their suffix array."""
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
+    size, bytes_ = np.diff(at), np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]]
+    # texts in a row, a 1 behind each and a 0 behind all; bytes are numbered from 2
+    line = np.ones(len(bytes_) + len(texts) + 1, np.uint16)
+    start = np.cumsum(size + 1) - size - 1
+    line[np.repeat(start, size) + _up_to(size)] = bytes_.astype(np.uint16) + np.uint16(2)
+    line[-1] = 0
+    array = suffix_array(line)
+    fresh = common_prefixes(line, array)[array] < min_bytes
+    owner = np.append(np.repeat(least, size + 1), np.iinfo(np.int64).max)
+    group = np.minimum.reduceat(owner[array], np.flatnonzero(fresh))
+    out = np.empty(len(line), np.int64)
+    out[array] = group[np.cumsum(fresh) - 1]
+    n = size - min_bytes + 1
+    return out[np.repeat(start, n) + _up_to(n)]
+
+
+def _cut(min_bytes: int, frequent: int, shards: int, shards2: int):
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in rows.to_pylist():
             block = _Block(row, min_bytes, frequent)
-            about = np.asarray(answers["marks"])
-            total, first = (bl.answered(answers.filter(pa.array(x)), kind) for x, kind in ((about, np.uint32), (~about, np.int64)))
-            out.append(_result(block, _removed(block, total, first, shards)))
+            x = block.shared(bl.answered(_about(answers, 0), np.uint32))
+            out.append(_result(block, _removed(x, answers, shards, shards2)))
         return pa.concat_tables(out)
 
     return cut
 
 
-def _removed(block: _Block, total: np.ndarray, first: np.ndarray, shards: int) -> np.ndarray:
+def _removed(x: _Stretches, answers: pa.Table, shards: int, shards2: int) -> np.ndarray:
     """Which of the block's bytes go."""
+    block = x.block
     cover = np.zeros(len(block.data) + 1, np.int32)
-    if len(first):
-        texts, route, which, place, n, doc = block.shared(total)
-        order, _ = _by_shard(route, shards)
-        windows = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)) - block.least + 1
-        at = np.empty(len(texts), np.int64)
-        at[order] = np.cumsum(windows[order]) - windows[order]
-        step = 1 << 18
-        for i in range(0, len(n), step):  # a few million windows at a time
-            k, up = n[i:i + step], _up_to(n[i:i + step])
-            gone = first[np.repeat(at[which[i:i + step]], k) + up] < np.repeat(block.ids[doc[i:i + step]], k)
-            window = (np.repeat(place[i:i + step], k) + up)[gone]
+    if len(x.mark):
+        met = _met(x, answers, shards)
+        at = np.cumsum(x.windows) - x.windows
+        first = np.repeat(met["first"], x.windows)
+        order, _ = x.by_shard(shards2, np.flatnonzero(met["met"]))
+        n = x.windows[order]
+        first[np.repeat(at[order], n) + _up_to(n)] = bl.answered(_about(answers, 2), np.int64)
+        step = 1 << 15
+        for i in range(0, len(x.n), step):  # half a million windows at a time
+            n, up = x.n[i:i + step], _up_to(x.n[i:i + step])
+            gone = first[np.repeat(at[x.which[i:i + step]], n) + up] < np.repeat(block.ids[x.doc[i:i + step]], n)
+            window = (np.repeat(x.place[i:i + step], n) + up)[gone]
             cover[window] += 1
             cover[window + block.least] -= 1
-    return np.cumsum(cover[:-1]) > 0
+    return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
 def _result(block: _Block, gone: np.ndarray) -> pa.Table:
     at = np.append(0, block.ends)
-    taken = np.append(0, np.cumsum(gone))
-    n_removed = taken[at[1:]] - taken[at[:-1]]
+    taken = np.append(np.int32(0), np.cumsum(gone, dtype=np.int32))
+    n_removed = (taken[at[1:]] - taken[at[:-1]]).astype(np.int64)
     edge = gone.copy()
     edge[1:] &= ~gone[:-1]
     starts = at[:-1][block.sizes > 0]
@@ -326,19 +430,21 @@ def without_repeats(docs: DataFrame, min_bytes: int = 50, frequent: int = FREQUE
     total = bl.text_bytes(docs, text_col)
     rows = docs.select(c(f"`{id_col}`").cast("long").alias("id"), F.coalesce(c(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     packed = bl.store_blocks(rows.mapInArrow(_pack, _PACKED), "blocks", total)
-    parts = 1 + total * 3 // min_bytes // bl.PART
-    marks = store(bl.totals(packed.mapInArrow(_marks(min_bytes, frequent, parts), bl.SENT)), "marks")
-    shards = 1 + _sent_bytes(marks, min_bytes) // SHARD
-    pieces = bl.with_answers(packed, marks, _send(min_bytes, frequent, shards), _PIECES)
-    firsts = store(pieces.groupBy("shard").applyInArrow(_first_documents(min_bytes), bl.ANSWER), "firsts")
-    both = marks.withColumn("marks", F.lit(True)).union(firsts.withColumn("marks", F.lit(False)))
-    return bl.with_answers(packed, both, _cut(min_bytes, frequent, shards), RESULT)
-
-
-def _sent_bytes(marks: DataFrame, min_bytes: int) -> int:
-    """About how many bytes of stretches all blocks together send."""
+    parts = 1 + total * 4 // min_bytes // bl.PART
+    marks = store(bl.totals(packed.mapInArrow(_marks(min_bytes, frequent, parts), bl.SENT)).withColumn("step", F.lit(0)), "marks")
+    shards = 1 + _number(marks, np.uint32, lambda x: x >= 2 * _SEEN) // SHARD[0]
+    pieces = bl.with_answers(packed, marks, _sender(min_bytes, frequent, shards, _digests(shards)), _PIECES)
+    equal = store(pieces.groupBy("shard").applyInArrow(_compare, bl.ANSWER).withColumn("step", F.lit(1)), "equal")
+    shards2 = 1 + _number(equal, _FIRST, lambda x: x["met"]) * min_bytes * 3 // 2 // SHARD[1]
+    known = marks.union(equal)
+    pieces = bl.with_answers(packed, known, _sender(min_bytes, frequent, shards2, _texts(shards, shards2)), _PIECES)
+    firsts = store(pieces.groupBy("shard").applyInArrow(_sort(min_bytes), bl.ANSWER).withColumn("step", F.lit(2)), "firsts")
+    return bl.with_answers(packed, known.union(firsts), _cut(min_bytes, frequent, shards, shards2), RESULT)
+
+
+def _number(answers: DataFrame, kind, which) -> int:
+    """How many of all answers are of some kind."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int((bl.expand(x.as_py(), np.uint32) >= 2 * _SEEN).sum()) for batch in batches for x in batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([sum(int(which(bl.expand(x.as_py(), kind)).sum()) for b in batches for x in b.column(0))])], ["n"])
 
-    return (marks.select("answer").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0) * min_bytes * 4 // 3
+    return answers.select("answer").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
