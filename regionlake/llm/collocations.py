@@ -234,7 +234,10 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, share
         F.sequence(F.lit(1), c("words") - n + 1), lambda i: joined(i, n))))).alias("phrase"))
     longer = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * c("longer") < share * c("a"), F.lit(True)))
-    order = W.partitionBy("lang").orderBy(c("score").desc(), c("a").desc(), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "m.l", "m.r", "m.score").withColumn("rank", F.row_number().over(order)).filter(c("rank") <= top)
+    # first the best of each of 32 parts of a language, so that no task ranks all its phrases
+    ranked = kept.select("lang", "phrase", "a", "m.l", "m.r", "m.score", F.pmod(F.xxhash64("phrase"), F.lit(32)).alias("part"))
+    best_order = [c("score").desc(), c("a").desc(), c("phrase")]
+    for keys in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*best_order))).filter(c("rank") <= top)
     words = counts.filter("words = 0").select("lang", "n")
     return ranked.join(words, "lang").select("lang", c("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
