@@ -1,8 +1,9 @@
 """Operator 3: quality rules per document and per host.
 
 Each document has counts from its whole text and rules over them.  Failures are summed per host, and the host's rate is
-shrunk to the mean of all hosts by a beta prior fitted to the hosts' rates (moments), so that a host with few documents
-is not judged by them alone.  A host whose shrunk rate is above ``max_rate`` is turned down with all its documents.
+shrunk to the mean of all documents by a beta prior.  The prior is fitted by beta-binomial moments: the spread of the hosts'
+rates, weighted by their documents, less what chance gives to hosts of their sizes.  So a host with few documents is not
+judged by them alone.  A host whose shrunk rate is above ``max_rate`` is turned down with all its documents.
 """
 
 from __future__ import annotations
@@ -63,19 +64,29 @@ def host_rules(docs: DataFrame, max_rate: float = 0.5, id_col: str = "doc_id", t
     rows = store(rows.withColumn("base_failed", base).withColumn("failed", base | more), "counts")
     hosts = rows.filter("host IS NOT NULL").groupBy("host").agg(
         F.count("*").alias("n"), F.count(F.when(c("failed"), 1)).alias("f"))
-    m, v = hosts.agg(F.avg(c("f") / c("n")), F.var_samp(c("f") / c("n"))).first()
-    a, b = beta_prior(m, v)
+    a, b = beta_prior(*hosts.agg(F.count("*"), *(F.sum(x) for x in (c("n"), c("f"), c("n") * c("n"), c("f") * c("f") / c("n")))).first())
     bad = hosts.filter((c("f") + a) / (c("n") + a + b) > max_rate).select("host", F.lit(True).alias("host_failed"))
     verdict = F.coalesce("host_failed", F.lit(False))
-    return rows.join(bad, "host", "left").select(
+    # documents without a host match nothing, so they do not meet in a join
+    judged = rows.filter("host IS NOT NULL").join(bad, "host", "left").unionByName(
+        rows.filter("host IS NULL").withColumn("host_failed", F.lit(False)))
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed",
         verdict.alias("host_failed"), (~c("base_failed") & ~verdict).alias("kept"))
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """The beta distribution with these moments; one pseudo document at the mean where the rates do not spread."""
-    if mean is None:
+def beta_prior(k: int, n: int | None, f: int | None, nn: int | None, ff: float | None) -> tuple[float, float]:
+    """The beta prior of k hosts, of the sums of documents n, failures f, n * n and f * f / n over hosts.
+
+    With the mean m = f / n and the spread s = sum(n_i (f_i / n_i - m)^2), the correlation within hosts is
+    (s / (m (1 - m)) - (k - 1)) / (n - nn / n - (k - 1)); the prior has (1 - it) / it documents.  Hosts that spread no more
+    than chance has it are shrunk by as many documents as there are; with no hosts the prior is even.
+    """
+    if not k:
         return 0.5, 0.5
-    size = mean * (1 - mean) / variance - 1 if variance else 1.0
-    size = size if size > 0 else 1.0
+    mean = f / n
+    spread, room = ff - f * f / n, n - nn / n - (k - 1)
+    inner = (spread / (mean * (1 - mean)) - (k - 1)) / room if 0 < mean < 1 and room > 0 else 0.0
+    inner = min(max(inner, 1 / (n + 1)), 0.999)
+    size = (1 - inner) / inner
     return mean * size, (1 - mean) * size
