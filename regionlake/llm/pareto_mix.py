@@ -4,8 +4,9 @@ A source's target is its share of all words by weight, at most ``cap`` times its
 the others by weight until none is above (the level that solves this is found with running sums over sources in the order
 in which they reach their caps).  A source of ``size`` words with a target of ``(whole + f) * size`` words gives every
 document ``whole`` certain copies, and one more copy to a Pareto sample: documents are ranked by the odds of a uniform
-number divided by the odds of their inclusion probability f, and taken from the front while that brings the words of the
-sample nearer to f * size.
+number divided by the odds of their inclusion probability, and taken from the front while that brings the words of the
+sample nearer to f * size.  A document's probability is proportional to its words, so that the expected words are
+f * size; where it would reach 1 the document is certain and ranks first.  (``odds="equal"`` gives all documents f.)
 
 The place where a source's sample ends is found in histograms of the rank: 4096 bins, 4096 bins of the bin it falls into,
 then the few ranks left.  So no source is ever ordered or gathered in one task, however large it is.
@@ -42,10 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
         F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))))
     level = F.max(F.when(c("ratio") >= c("level"), c("level"))).over(everything)
     return full.withColumn("level", level).select(
-        "source", "source_size", F.least(most.cast("double"), c("w") * c("level")).alias("target"))
+        *sizes.columns, F.least(most.cast("double"), c("w") * c("level")).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", id_col: str = "doc_id",
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", odds: str = "size", id_col: str = "doc_id",
                text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size (words), source_size, target, copies, taken (size * copies).
 
@@ -53,13 +54,17 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     share their rank, so they are taken together.  Runs with the same seed agree.
     """
     rows = store(docs.select(c(f"`{id_col}`").alias("doc_id"), c(f"`{source_col}`").alias("source"), n_words(c(f"`{text_col}`")).alias("size")), "sizes")
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    # squares add up exactly, whatever the order
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(
+        c("size").cast("decimal(19,0)") * c("size").cast("decimal(19,0)")).cast("double").alias("squares"))
+    plan = targets(sizes, weights, cap)
     rate = F.when(c("source_size") > 0, c("target") / c("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(rate)).withColumn("f", rate - c("whole")).withColumn(
         "need", F.greatest(c("target") - c("whole") * c("source_size"), F.lit(0.0)))
     plan = store(plan.withColumn("key", _key(c("source"))).drop("source"), "plan")
+    chance = c("f") if odds == "equal" else F.when(c("squares") > 0, c("need") / c("squares") * c("size")).otherwise(0.0)
     # a few numbers a source; Spark broadcasts the table if its files are small and splits large keys if not
-    drawn = rows.withColumn("key", _key(c("source"))).join(plan, "key").withColumn("rank", _rank(c("doc_id"), c("f"), seed))
+    drawn = rows.withColumn("key", _key(c("source"))).join(plan, "key").withColumn("rank", _rank(c("doc_id"), chance, seed))
     some = drawn.filter("need > 0").select("key", "need", "size", "rank")
     first = _crossing(some, F.shiftright("rank", BITS - BIN))
     inside = some.join(first, "key").filter(F.shiftright("rank", BITS - BIN) == c("bin")).select(
@@ -86,11 +91,11 @@ def _key(source: Column) -> Column:
 
 
 def _rank(doc_id: Column, f: Column, seed: str) -> Column:
-    """Pareto rank as a 52-bit number: q / (1 + q) for q the odds of the draw over the odds of inclusion."""
+    """Pareto rank as a 52-bit number: the logarithm of the odds of the draw over the odds of inclusion, 0 if certain."""
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
     u = (drawn.cast("long") + 0.5) / float(1 << BITS)
-    q = u / (1 - u) * (1 - f) / F.greatest(f, F.lit(1e-12))
-    return F.least((q / (1 + q) * float(1 << BITS)).cast("long"), F.lit((1 << BITS) - 1))
+    f = F.least(F.lit(1.0), F.greatest(f, F.lit(1e-12)))
+    return F.when(f >= 1, 0).otherwise(F.floor((F.log(u / (1 - u) * (1 - f) / f) + 128) / 256 * float(1 << BITS))).cast("long")
 
 
 def _crossing(rows: DataFrame, bin_of: Column) -> DataFrame:

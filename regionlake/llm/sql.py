@@ -61,8 +61,14 @@ judged AS (
   FROM based),
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
-moments AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts),
-sized AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v > 1 THEN m * (1 - m) / v - 1 ELSE 1 END AS k FROM moments),
+sums AS (
+  SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(f) AS DOUBLE) AS f, CAST(sum(n * n) AS DOUBLE) AS nn, sum(f * f / n) AS ff
+  FROM hosts),
+moments AS (SELECT *, f / n AS m, ff - f * f / n AS spread, n - nn / n - (k - 1) AS room FROM sums),
+fitted AS (
+  SELECT m, least(0.999::DOUBLE, greatest(1 / (n + 1), CASE WHEN m > 0 AND m < 1 AND room > 0
+    THEN (spread / (m * (1 - m)) - (k - 1)) / room ELSE 0 END)) AS inside FROM moments),
+sized AS (SELECT m, (1 - inside) / inside AS k FROM fitted),
 bad AS (SELECT source FROM hosts, sized WHERE (f + m * k) / (n + k) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed,
   b.source IS NOT NULL AS host_failed, NOT base_failed AND b.source IS NULL AS kept
@@ -109,7 +115,7 @@ PARETO_MIX = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size::HUGEINT * size) AS DOUBLE) AS squares,
     [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
   FROM sizes GROUP BY source),
 ratios AS (SELECT *, 3 * source_size / w AS ratio FROM sources),
@@ -118,19 +124,24 @@ levels AS (
     sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
   FROM ratios WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(3.0::DOUBLE * source_size, w * (SELECT max(level) FROM levels WHERE ratio >= level)) AS target
+  SELECT source, source_size, squares, least(3.0::DOUBLE * source_size, w * (SELECT max(level) FROM levels WHERE ratio >= level)) AS target
   FROM levels),
 plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
     CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
 drawn AS (
-  SELECT doc_id, s.source, size, source_size, target, whole, greatest(target - whole * source_size, 0) AS need,
+  SELECT doc_id, s.source, size, source_size, target, whole, greatest(target - whole * source_size, 0) AS need, squares,
     (CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
   FROM sizes s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
+odds AS (
+  SELECT *, least(1.0::DOUBLE, greatest(CASE WHEN squares > 0 THEN need / squares * size ELSE 0 END, 1e-12::DOUBLE)) AS f FROM drawn),
+placed AS (
+  SELECT *, CASE WHEN f >= 1 THEN 0 ELSE CAST(floor((ln(u / (1 - u) * (1 - f) / f) + 128) / 256 * 4503599627370496) AS BIGINT) END AS place
+  FROM odds),
 ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to,
-    sum(size) OVER (PARTITION BY source, u) AS alike
-  FROM drawn)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to,
+    sum(size) OVER (PARTITION BY source, place) AS alike
+  FROM placed)
 SELECT doc_id, source, size, source_size, target,
   CAST(whole AS BIGINT) + CASE WHEN need > 0 AND up_to - alike / 2 <= need THEN 1 ELSE 0 END AS copies,
   size * (CAST(whole AS BIGINT) + CASE WHEN need > 0 AND up_to - alike / 2 <= need THEN 1 ELSE 0 END) AS taken
