@@ -66,6 +66,45 @@ def test_secret_models(spark, frame):
     assert dict(docs)[i][got[i][0].start:got[i][0].end] == got[i][0].match and got[i][0].kind == 3
 
 
+def plain_secret_spans(text, model, least=10.0):
+    """Base spans and the tokens that overlap none and whose pairs add up to more than ``least``."""
+    base = [(int(x.split(":")[1]), x.split(":")[0], int(x.split(":")[2])) for x in base_spans(text)]
+    out = [(a, list(PATTERNS).index(k), b) for a, k, b in base]
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text or ""):
+        if not any(a < m.end() and b > m.start() for a, _, b in base):
+            at = [secret_scan.ALPHABET.index(x) for x in m.group()]
+            if sum(model[x * 67 + y] for x, y in zip(at, at[1:])) > least:
+                out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_secret_spans_of_the_models(frame):
+    rng = random.Random(9)
+    model = [round(rng.gauss(0, 1.5), 6) for _ in range(67 * 67)]
+    tokens = ["".join(rng.choices(secret_scan.ALPHABET, k=rng.randrange(14, 40))) for _ in range(40)]
+    bits = tokens + ["password=abc12345", "AKIA" + "Z" * 14, "0123456789abcdef" * 3, "é🙂", "plain", "token=" + tokens[0]]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice([" ", " ", ".", "\n", ""]) for _ in range(rng.randrange(0, 400)))) for i in range(25)]
+    got = secret_scan.secret_scan(frame(rows), model)
+    for r in got.collect():
+        assert [(s.start, s.kind, s.end) for s in r.spans] == plain_secret_spans(dict(rows)[r.doc_id], model)
+    # no column that is left out makes the rules run again
+    assert sum(r.n_random for r in got.select("n_random").collect()) == sum(
+        sum(k == 3 for _, k, _ in plain_secret_spans(t, model)) for _, t in rows)
+
+
+def test_secret_scan_is_linear_in_a_text(frame):
+    import time
+
+    rng = random.Random(10)
+    long = "".join(rng.choices(secret_scan.ALPHABET, k=1_000_000))
+    many = " ".join("".join(rng.choices(secret_scan.ALPHABET[:62], k=20)) for _ in range(100_000)) + " token=abcdefgh1" * 2000
+    for text in (long, many):
+        start = time.time()
+        r = secret_scan.secret_scan(frame([(1, text)]), [0.1] * 67 * 67, 1.0).select("n_assign", F.size("spans").alias("n")).first()
+        assert time.time() - start < 20
+        assert r.n == (1 if text is long else 100_000 + 2000)
+
+
 def test_secret_odd(odd, empty):
     assert secret_scan.secret_scan(odd, [0.0] * 67 * 67).count() == 10
     assert secret_scan.secret_scan(empty, [0.0] * 67 * 67).count() == 0
@@ -105,13 +144,37 @@ def test_host_rules(frame):
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
         assert r.kept == (not r.base_failed and not r.host_failed)
     n, f = Counter(host[r.doc_id] for r in got), Counter(host[r.doc_id] for r in got if r.failed)
-    rates = np.array([f[h] / n[h] for h in n if h])
-    a, b = beta_prior(rates.mean(), rates.var(ddof=1))
+    hosts = [h for h in n if h]
+    a, b = beta_prior(len(hosts), sum(n[h] for h in hosts), sum(f[h] for h in hosts), sum(n[h] ** 2 for h in hosts), sum(
+        f[h] ** 2 / n[h] for h in hosts))
     verdict = {h: (f[h] + a) / (n[h] + a + b) > 0.5 for h in n if h}
     assert {r.doc_id: r.host_failed for r in got} == {r.doc_id: verdict.get(host[r.doc_id], False) for r in got}
     assert verdict["bad"] and not verdict["good"]
 
 
+def test_small_hosts_are_shrunk(frame):
+    good, bad = " ".join(WORDS), "x"
+    rows = [(i, bad if i % 10 == 0 else good, None, f"host{i}") for i in range(200)]
+    assert not any(r.host_failed for r in host_rules(frame(rows)).collect())
+    # hosts that differ: a large one that fails is turned down, a small one that fails once is not
+    rows = [(i, good, None, f"fine{i % 5}") for i in range(300)] + [(1000 + i, bad, None, "worst") for i in range(60)]
+    rows += [(2000, bad, None, "small"), (2001, good, None, "small")]
+    failed = {r.doc_id for r in host_rules(frame(rows)).collect() if r.host_failed}
+    assert failed == {1000 + i for i in range(60)}
+
+
+def test_beta_prior_finds_its_parameters():
+    rng = np.random.default_rng(8)
+    n = rng.integers(2, 40, 4000)
+    f = rng.binomial(n, rng.beta(2, 6, len(n)))
+    a, b = beta_prior(len(n), n.sum(), f.sum(), (n * n).sum(), (f * f / n).sum())
+    assert a == pytest.approx(2, rel=0.15) and b == pytest.approx(6, rel=0.15)
+    f = rng.binomial(n, 0.2)
+    a, b = beta_prior(len(n), n.sum(), f.sum(), (n * n).sum(), (f * f / n).sum())
+    assert a + b > 500 and a / (a + b) == pytest.approx(0.2, abs=0.02)
+    assert beta_prior(0, None, None, None, None) == (0.5, 0.5)
+
+
 def test_host_rules_odd(odd, empty):
     rows = host_rules(odd).collect()
     assert len(rows) == 10 and not any(r.kept for r in rows if r.doc_id in (2, 3, 6, 8))
@@ -270,6 +333,19 @@ def test_mix(frame, spread):
     assert {(r.doc_id, r.taken) for r in other} != {(r.doc_id, r.taken) for r in got}
 
 
+def test_mix_prefers_long_documents(frame):
+    rows = [(i, " ".join(["w"] * (10 if i % 2 else 40)), None, "a" if i < 3000 else "b") for i in range(6000)]
+    for odds in ("size", "equal"):
+        got = [r for r in mixing.pareto_mix(frame(rows), odds=odds, seed="7").collect() if r.source == "b"]
+        f = got[0].target / got[0].source_size
+        whole = int(f)
+        extra = {n: np.mean([r.copies - whole for r in got if r.size == n]) for n in (10, 40)}
+        need = got[0].target - whole * got[0].source_size
+        square = sum(r.size ** 2 for r in got)
+        for n in (10, 40):
+            assert extra[n] == pytest.approx(f - whole if odds == "equal" else min(1, need * n / square), abs=0.08)
+
+
 def test_mix_odd(odd, empty):
     rows = mixing.pareto_mix(odd).collect()
     assert len(rows) == 10 and all(0 <= r.taken <= 3 * r.size for r in rows)
