@@ -174,6 +174,36 @@ def dedupe_images(crops: DataFrame, data: str = "data") -> tuple[DataFrame, Data
 RESULT = "id string, success boolean, latex string, error string, attempts int"
 
 
+def attempt(fn: Callable[[dict], str], row: dict, max_attempts: int = 3, valid: Callable[[str], bool] | None = None,
+            delay_seconds: float = 1.0, timeout_seconds: float | None = None) -> tuple[bool, str | None, str | None, int]:
+    """(success, text, error, tries) of a recogniser on one crop."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    text = error = None
+    tries = 0
+    while tries < max_attempts and text is None:
+        if tries:
+            time.sleep(delay_seconds * 2 ** (tries - 1))
+        tries += 1
+        pool = ThreadPoolExecutor(1) if timeout_seconds else None
+        try:
+            got = fn(row) if pool is None else pool.submit(fn, row).result(timeout_seconds)
+            if valid is None or valid(got):
+                text = got
+            else:
+                error = "invalid"
+        except TimeoutError:
+            error = "timeout"
+            break
+        except Exception as ex:  # a failed crop must not fail the job
+            error = str(ex) or type(ex).__name__
+        finally:
+            if pool is not None:  # a call that hangs is left behind
+                pool.shutdown(wait=False)
+    return text is not None, text, None if text is not None else error, tries
+
+
 def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], str]], max_attempts: int = 3,
               valid: Callable[[str], bool] | None = None, delay_seconds: float = 1.0,
               timeout_seconds: float | None = None) -> DataFrame:
@@ -185,35 +215,9 @@ def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], s
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-        from concurrent.futures import ThreadPoolExecutor
-
         fn = make_recognizer()
         for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                text = error = None
-                tries = 0
-                while tries < max_attempts and text is None:
-                    if tries:
-                        time.sleep(delay_seconds * 2 ** (tries - 1))
-                    tries += 1
-                    pool = ThreadPoolExecutor(1) if timeout_seconds else None
-                    try:
-                        got = fn(row) if pool is None else pool.submit(fn, row).result(timeout_seconds)
-                        if valid is None or valid(got):
-                            text = got
-                        else:
-                            error = "invalid"
-                    except TimeoutError:
-                        error = "timeout"
-                        break
-                    except Exception as ex:  # a failed crop must not fail the job
-                        error = str(ex) or type(ex).__name__
-                    finally:
-                        if pool is not None:  # a call that hangs is left behind
-                            pool.shutdown(wait=False)
-                rows.append((str(row["id"]), text is not None, text, None if text is not None else error, tries))
+            rows = [(str(row["id"]), *attempt(fn, row, max_attempts, valid, delay_seconds, timeout_seconds)) for row in pdf.to_dict("records")]
             yield pd.DataFrame(rows, columns=["id", "success", "latex", "error", "attempts"])
 
     return crops.withColumn("id", c("id").cast("string")).mapInPandas(run, RESULT)

@@ -315,12 +315,11 @@ def whole_page_regions(pages: DataFrame, items: DataFrame, keys: Sequence[str] =
     ranked = kept.withColumn("_first", c("confidence"))
     scored = corpus.score_text_regions(ranked, context, keys, p.page_type, p.text_quality)
     passed = scored.filter(c("confidence") >= p.confidence_threshold)
-    if p.max_regions is None:
-        return passed.drop("_first", "formula_density")
-    # a limit keeps the order the duplicates were removed in
-    capped = region_ops.top_k(passed.withColumnRenamed("confidence", "_score").withColumnRenamed("_first", "confidence"),
-                              p.max_regions, keys)
-    return capped.drop("confidence", "formula_density").withColumnRenamed("_score", "confidence")
+    # the rank follows the order the duplicates were removed in
+    numbered = scan(passed, keys, [c("_first").desc(), "id"], number="rank")
+    if p.max_regions is not None:
+        numbered = numbered.filter(c("rank") <= p.max_regions)
+    return numbered.drop("_first", "formula_density")
 
 
 def row_profiles(pages: DataFrame, keys: Sequence[str] = ("page_no",), max_side: int | None = None, dark: float = 200.0) -> DataFrame:

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..lineage import cut
 from ..operators import corpus, lifecycle, metering
 from ..params import DetectionParams
 from ..raster import jobs as raster
@@ -223,33 +225,122 @@ def stream_code_verification(sends: DataFrame, attempts: DataFrame, ttl_seconds:
 
 
 # ---------------------------------------------------------------- T6, T7
+# state by key lives in the RocksDB store; a step with a processing-time clock asks for one more empty trigger forever
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+SEEN = "success boolean, latex string, error string, attempts int"
+
+
+class _RecogniseOnce(StatefulProcessor):
+    """The result of each content, kept until its time to live has passed; a content without one is recognised."""
+
+    def __init__(self, make_recognizer: Callable, ttl_seconds: float, options: dict):
+        self.make, self.ttl, self.options = make_recognizer, int(ttl_seconds * 1000), options
+
+    def init(self, handle) -> None:
+        self.fn = None
+        self.seen = handle.getValueState("seen", SEEN, self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        result = tuple(self.seen.get()) if self.seen.exists() else None
+        fresh = result is None
+        for pdf in rows:
+            if result is None:
+                self.fn = self.fn or self.make()
+                result = lifecycle.attempt(self.fn, {"id": key[0], "data": pdf["data"].iloc[0]}, **self.options)
+                self.seen.update(result)
+            out = pd.DataFrame({"id": pdf["id"].astype(str), "content_hash": key[0]})
+            for name, value in zip(("success", "latex", "error", "attempts"), result):
+                out[name] = value
+            out["fresh"] = False
+            out.loc[out.index[:1], "fresh"] = fresh
+            fresh = False
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def recognise_stream(crops: DataFrame, make_recognizer: Callable, min_confidence: float = 0.5, ttl_seconds: float = 7 * 86_400, **options) -> DataFrame:
+    """T6 as rows: (id, content_hash, success, latex, error, attempts, fresh) of each crop above the threshold.
+
+    State is one result per content, dropped ``ttl_seconds`` after it was made; ``fresh`` marks the crop whose content was
+    recognised just now.  ``options`` go to `lifecycle.attempt`.  The query needs the settings of KEYED_STATE.
+    """
+    keyed = crops.filter(c("confidence") >= min_confidence).select(c("id").cast("string").alias("id"), "data", lifecycle.content_hash(c("data")).alias("content_hash"))
+    return keyed.groupBy("content_hash").transformWithStateInPandas(
+        _RecogniseOnce(make_recognizer, ttl_seconds, options), "id string, content_hash string, " + SEEN + ", fresh boolean", "append", "ProcessingTime")
+
+
 def stream_recognitions(crops: DataFrame, store_path: str, checkpoint: str, make_recognizer: Callable, min_confidence: float = 0.5,
-                        **kw) -> StreamingQuery:
-    """Per trigger, crops above the threshold whose content is not stored yet are recognised once per content.
+                        ttl_seconds: float = 7 * 86_400, **options) -> StreamingQuery:
+    """Crops as they arrive, each content recognised once while its state lives; results are written by version.
 
-    The store holds one row per content, added by version; a repeated trigger overwrites its own version.
+    A repeated trigger overwrites its own version, and `recognised` reads the newest result of each crop.  Nothing that was
+    written is read again.
     """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store_path}/version={batch_id}")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.filter(c("confidence") >= min_confidence).withColumn("content_hash", lifecycle.content_hash(c("data")))
-        unique, _ = lifecycle.dedupe_images(keyed.drop("content_hash"))
-        known = batch.sparkSession.read.option("basePath", store_path).parquet(f"{store_path}/version=*")
-        unique = unique.join(known.filter(c("version") != batch_id).select("content_hash"), "content_hash", "left_anti")
-        fresh = lifecycle.recognize(unique.drop("id").withColumnRenamed("content_hash", "id"), make_recognizer, **kw)
-        fresh.withColumnRenamed("id", "content_hash").write.mode("overwrite").parquet(f"{store_path}/version={batch_id}")
-        keyed.select("id", "content_hash").write.mode("overwrite").parquet(f"{store_path}/ids/version={batch_id}")
-
-    # an empty version, so that the first trigger finds a store
-    crops.sparkSession.createDataFrame([], lifecycle.RESULT).withColumnRenamed("id", "content_hash").write.mode("ignore").parquet(
-        f"{store_path}/version=-1")
-    return crops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = crops.sparkSession.conf
+    before = {k: conf.get(k) for k in KEYED_STATE}
+    rows = recognise_stream(crops, make_recognizer, min_confidence, ttl_seconds, **options)
+    try:
+        for k, v in KEYED_STATE.items():
+            conf.set(k, v)  # a query takes its settings when it starts
+        return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def recognised(spark, store_path: str) -> DataFrame:
-    """Results of `stream_recognitions` for every crop."""
-    ids = spark.read.option("basePath", f"{store_path}/ids").parquet(f"{store_path}/ids/version=*").select("id", "content_hash")
-    results = spark.read.option("basePath", store_path).parquet(f"{store_path}/version=*").drop("version")
-    return ids.join(results, "content_hash")
+    """The newest result of `stream_recognitions` for every crop."""
+    names = ("content_hash", "success", "latex", "error", "attempts")
+    rows = spark.read.option("basePath", store_path).parquet(f"{store_path}/version=*")
+    return rows.groupBy("id").agg(F.max_by(F.struct(*names), "version").alias("r")).select("id", *(c(f"r.{n}") for n in names))
+
+
+def pages_with_hints(pages: DataFrame, hints: DataFrame, keys: Sequence[str] = ("path",), lateness: str = "10 minutes") -> DataFrame:
+    """Pages (keys, ts) with what their text says (keys, ts, hint): a page waits for its hint, and passes with a null one
+    when the watermark shows that none can come any more.
+
+    Both streams can be late by ``lateness``, and a hint counts if it is stamped within that time of its page.  State holds
+    keys and times only.
+    """
+    keys = list(keys)
+    left = pages.select(*keys, "ts").withWatermark("ts", lateness)
+    right = hints.select(*(c(k).alias(f"_{k}") for k in keys), c("ts").alias("_ts"), "hint").withWatermark("_ts", lateness)
+    near = F.expr(f"_ts BETWEEN ts - INTERVAL {lateness} AND ts + INTERVAL {lateness}")
+    same = [c(k) == c(f"_{k}") for k in keys]
+    for condition in same:
+        near = near & condition
+    return left.join(right, near, "left_outer").select(*keys, "ts", "hint")
+
+
+def stream_page_results(pages: DataFrame, hints: DataFrame, load: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                        keys: Sequence[str] = ("path",), lateness: str = "10 minutes", p: DetectionParams = DetectionParams()) -> StreamingQuery:
+    """T7 with late text: regions of pages whose text shows mathematics or never came, and one result row for every page.
+
+    ``load`` gives the pixels of some keys, so pixels never wait in state.  ``path/regions`` gets the regions, ``path/pages``
+    (keys, hint, skipped, n_regions), by version; a page without mathematics has an empty result.
+    """
+    keys = list(keys)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = cut(batch.dropDuplicates(keys))  # used twice below
+        todo = batch.filter(F.coalesce("hint", F.lit(True))).select(*keys)
+        found = raster.detect_regions(load(todo), keys, p=p)
+        found.write.mode("overwrite").parquet(f"{path}/regions/version={batch_id}")
+        n = batch.sparkSession.read.parquet(f"{path}/regions/version={batch_id}").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_regions"))
+        rows = batch.join(n, keys, "left").select(*keys, "hint", (~F.coalesce("hint", F.lit(True))).alias("skipped"),
+                                                  F.coalesce("n_regions", F.lit(0)).alias("n_regions"))
+        rows.write.mode("overwrite").parquet(f"{path}/pages/version={batch_id}")
+
+    return pages_with_hints(pages, hints, keys, lateness).writeStream.foreachBatch(step).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_pages(pages: DataFrame, hints: DataFrame | None = None, keys: Sequence[str] = ("path",),

@@ -157,3 +157,62 @@ def test_quota_of_users_known_from_events_only(spark):
     users = spark.createDataFrame([(6, None, False, None, True, None)], USERS)
     got = {r.user_id: (r.tier, r.today_usage, r.can_use) for r in metering.quota_status(rows, users, START).collect()}
     assert got == {5: ("anonymous", 1, False), 6: ("admin", 1, True)}
+
+
+def test_recognition_state(spark, tmp_path):
+    """Over three triggers each content is recognised once, as in batch; after its time to live it is recognised again."""
+    import time
+
+    def make():
+        def run(row):
+            if bytes(row["data"]) == b"bad":
+                raise ValueError("no")
+            return "x" + bytes(row["data"]).decode()
+
+        return run
+
+    schema = "id string, data binary, confidence double"
+    row = lambda i, data, sure=0.9: (i, bytearray(data), sure)
+    parts = [[row("a", b"1"), row("b", b"1"), row("c", b"bad")], [row("d", b"1"), row("e", b"2"), row("f", b"3", 0.1)], [row("g", b"2"), row("h", b"bad")]]
+    src = source(spark, tmp_path / "in", parts, schema)
+    run = lambda: jobs.stream_recognitions(src, str(tmp_path / "store"), str(tmp_path / "cp"), make, ttl_seconds=8, delay_seconds=0.0)
+    query = run()
+    query.awaitTermination()
+    rows = [r for k in range(3) for r in spark.read.parquet(str(tmp_path / "store" / f"version={k}")).collect()]
+    assert sorted((r.content_hash for r in rows if r.fresh)) == sorted({r.content_hash for r in rows})
+    batch = spark.createDataFrame([r for p in parts for r in p], schema).filter("confidence >= 0.5")
+    from regionlake.operators import lifecycle
+
+    want = {(r.id, r.success, r.latex, r.error) for r in lifecycle.recognize_unique(batch, make, delay_seconds=0.0).collect()}
+    assert {(r.id, r.success, r.latex, r.error) for r in jobs.recognised(spark, str(tmp_path / "store")).collect()} == want
+    time.sleep(9)
+    spark.createDataFrame([row("z", b"1")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = run()
+    query.awaitTermination()
+    again = [r for r in spark.read.parquet(str(tmp_path / "store" / "version=3")).collect()]
+    assert [(r.id, r.latex, r.fresh) for r in again] == [("z", "x1", True)]
+
+
+def test_pages_wait_for_their_text(spark, tmp_path):
+    """Hints that come with their page, in a later trigger, before it, or never."""
+    import numpy as np
+
+    from regionlake.params import DetectionParams
+
+    blank = np.full((100, 120), 255, np.uint8)
+    drawn = blank.copy()
+    drawn[40:60, 20:100] = 0
+    pixels = {"with": drawn, "late": drawn, "never": drawn, "plain": drawn, "plain late": drawn, "empty": blank, "end": blank}
+    schema = "path string, width int, height int, channels int, data binary"
+    images = spark.createDataFrame([(k, 120, 100, 1, bytearray(v.tobytes())) for k, v in pixels.items()], schema)
+    at = lambda m: START + timedelta(minutes=m)
+    pages = source(spark, tmp_path / "pages", [[("with", at(0)), ("late", at(1)), ("plain", at(1))], [("never", at(2)), ("plain late", at(3)), ("empty", at(3))],
+                                               [("end", at(300))], [("end", at(301))]], "path string, ts timestamp")
+    hints = source(spark, tmp_path / "hints", [[("with", at(0), True), ("plain", at(1), False)], [("late", at(2), True), ("empty", at(3), True)],
+                                               [("plain late", at(4), False), ("other", at(300), True)], [("other", at(301), True)]], "path string, ts timestamp, hint boolean")
+    p = DetectionParams(target_dpi=72.0, source_dpi=72.0)
+    jobs.stream_page_results(pages, hints, lambda keys: images.join(keys, "path"), str(tmp_path / "out"), str(tmp_path / "cp"), p=p).awaitTermination()
+    rows = {r.path: (r.hint, r.skipped, r.n_regions > 0) for r in spark.read.parquet(str(tmp_path / "out" / "pages" / "version=*")).collect()}
+    rows.pop("end", None)
+    assert rows == {"with": (True, False, True), "late": (True, False, True), "plain": (False, True, False), "never": (None, False, True),
+                    "plain late": (False, True, False), "empty": (True, False, False)}
