@@ -58,7 +58,13 @@ def filter_by_size(df: DataFrame, pages: DataFrame | None = None, p: DetectionPa
 
 def search_history(df: DataFrame, query: str | None = None, start: datetime | None = None,
                    end: datetime | None = None, favorites_only: bool = False) -> DataFrame:
-    """inclusive dates, favourites, case-insensitive substring of the LaTeX or the source."""
+    """inclusive dates, favourites, case-insensitive substring of the LaTeX or the source.
+
+    A table with the column ``day`` (files of a history are partitioned by it) is bounded by day too, so other days are not read.
+    """
+    if "day" in df.columns:
+        for bound, keep in ((start, c("day") >= F.to_date(F.lit(start))), (end, c("day") <= F.to_date(F.lit(end)))):
+            df = df if bound is None else df.filter(keep)
     if start is not None:
         df = df.filter(c("created_at") >= F.lit(start))
     if end is not None:

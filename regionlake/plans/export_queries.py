@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..lineage import scratch_path
 from ..operators import regions as ops
 from ..sources import exports
 from .registry import RECOGNITIONS, query
@@ -62,10 +63,30 @@ def export_text(spark, sf):
     return exports.assemble(exports.export_text(df, generated="2024-01-20"), source=df)
 
 
-@query("export_json")
+@query("export_json", _DONE + """, h AS (SELECT doc_id, count(*) FILTER (status = 'done') AS valid FROM j GROUP BY doc_id),
+  pc AS (SELECT doc_id, string_agg(concat('{"id":"', id, '","pageNumber":', page_no, ',"type":"', kind, '","boundingBox":{"x":', x::DOUBLE, ',"y":', y::DOUBLE,
+      ',"width":', w::DOUBLE, ',"height":', h::DOUBLE, '},"latexContent":"', latex, '","markdownContent":"', CASE WHEN kind = 'inline' THEN concat('$', latex, '$')
+      ELSE concat('$$\\n', latex, '\\n$$') END, '","recognitionSuccess":true,"confidence":', confidence::DOUBLE, ',"recognitionTime":', elapsed_ms, '}'),
+      concat(',', chr(10)) ORDER BY num) AS body FROM n GROUP BY doc_id)
+  SELECT doc_id, CAST(0 AS BIGINT) AS part_no, concat_ws(chr(10), concat('{"metadata":{"exportDate":"2024-01-20","totalFormulas":', valid,
+    ',"generator":"regionlake","version":"2.0"},"formulas":['), body, ']}') AS content FROM h LEFT JOIN pc USING (doc_id)""")
 def export_json(spark, sf):
     df = _recognised(spark, sf)
-    return exports.assemble(exports.export_json(df, include_metadata=True, generated="2024-01-20"), source=df)
+    return exports.assemble(exports.export_json(df, include_metadata=True, generated="2024-01-20"), source=df, json=True)
+
+
+@query("export_json_parts", _DONE + """ SELECT doc_id, count(*) AS n_formulas, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms, true AS valid FROM n GROUP BY doc_id""")
+def export_json_parts(spark, sf):
+    """S9 in parts of fifty pieces: every part is a document of its own, and together they have each formula once."""
+    df = _recognised(spark, sf)
+    parts = exports.assemble(exports.export_json(df, include_metadata=True), rows_per_part=50, source=df, json=True)
+    path = scratch_path(spark, "json")
+    exports.write_export(parts.withColumn("content", F.regexp_replace("content", "\n", " ")), path)
+    shape = "metadata struct<totalFormulas:bigint>, formulas array<struct<id:string,pageNumber:bigint,recognitionTime:bigint>>"
+    read = spark.read.text(path).select(F.from_json("value", shape).alias("d"))
+    rows = read.select(c("d.formulas").isNotNull().alias("valid"), F.explode_outer("d.formulas").alias("f"))
+    return rows.groupBy(F.floor(c("f.pageNumber") / 100).alias("doc_id")).agg(
+        F.count("f.id").alias("n_formulas"), F.sum("f.recognitionTime").alias("elapsed_ms"), F.bool_and("valid").alias("valid")).filter("doc_id IS NOT NULL")
 
 
 @query("export_numbered", _DONE + """ SELECT doc_id, CAST(0 AS BIGINT) AS part_no,

@@ -60,7 +60,16 @@ def row_segments(spark, sf):
     return jobs.row_segments(rows, ["vec_id"], 1, 1, 1).withColumn("confidence", r6(c("confidence")))
 
 
-@query("heuristic_score")
+@query("heuristic_score", f"""WITH {_ROWS},
+  a AS (SELECT vec_id, list(n ORDER BY row) AS r, avg(n) AS mean FROM rw GROUP BY vec_id),
+  b AS (SELECT vec_id, var_pop(n) > avg(n) * 0.5::DOUBLE AS spread FROM cl GROUP BY vec_id),
+  s AS (SELECT vec_id, r, mean, spread, (r[1] + r[2]) / 2 AS t, (r[3] + r[4] + r[5]) / 3 AS m, (r[6] + r[7] + r[8]) / 3 AS e FROM a JOIN b USING (vec_id)),
+  f AS (SELECT vec_id, spread,
+      len(list_filter(range(2, 8), lambda i: r[i] > mean * 2 AND r[i] > 2.4 AND r[i - 1] < r[i] * 0.5 AND r[i + 1] < r[i] * 0.5)) > 0 AS line,
+      (t > m * 0.3::DOUBLE OR e > m * 0.3::DOUBLE) AND abs(t - e) > m * 0.2::DOUBLE AS uneven,
+      len(list_filter(range(1, 9), lambda i: r[i] > mean * 0.1::DOUBLE AND (i = 1 OR r[i - 1] <= mean * 0.1::DOUBLE))) >= 2 AS parts FROM s)
+  SELECT vec_id, least(100, 40 * line::INT + 40 + 15 * spread::INT + 20 * uneven::INT + 15 * parts::INT)::DOUBLE AS score, true AS is_formula,
+    'display' AS region_type FROM f""")
 def heuristic_score(spark, sf):
     return features.heuristic_score(fx.bitmaps(spark, sf), 0.2).select("vec_id", "score", "is_formula", "region_type")
 

@@ -26,6 +26,17 @@ def region_store(spark, sf):
     return tables.read_regions(spark, path, pages).select("doc_id", "page_no", "id", "x", "y", "w", "h", "confidence", "kind")
 
 
+@query("stored_viewport", f"""WITH {REGIONS}, d AS (SELECT max(page_no) AS p FROM regions_fx)
+  SELECT page_no, id, x, y, w, h FROM regions_fx, d WHERE page_no = p AND x <= 85 AND x + w >= 25 AND y <= 55 AND y + h >= 15""")
+def stored_viewport(spark, sf):
+    """F6 on the stored regions of the last page, by key intervals."""
+    path = scratch_path(spark, "regions")
+    rows = fx.regions(spark, sf).withColumn("doc_id", F.floor(c("page_no") / 100).cast("string"))
+    tables.write_regions(rows.withColumns({n: c(n).cast("double") for n in ("w", "h", "confidence")}), path)
+    page = rows.agg(F.max("page_no")).first()[0]
+    return tables.read_viewport(spark, path, str(page // 100), page, 30.0, 20.0, 50.0, 30.0, 5.0).select("page_no", "id", "x", "y", "w", "h")
+
+
 @query("history_store", f"""WITH {HISTORY} SELECT latex, source, TIMESTAMP '2024-01-20 12:00:00' AS created_at, false AS is_favorite FROM history_fx""")
 def history_store(spark, sf):
     """S5."""

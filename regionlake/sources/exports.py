@@ -147,21 +147,34 @@ def export_numbered(df: DataFrame, fmt: str = "latex", include_numbers: bool = T
                        c("_n").cast("int").alias("position"), body.alias("piece"))
 
 
-def assemble(pieces: DataFrame, doc: str = "doc_id", rows_per_part: int = 10_000, source: DataFrame | None = None) -> DataFrame:
+def assemble(pieces: DataFrame, doc: str = "doc_id", rows_per_part: int = 10_000, source: DataFrame | None = None,
+             json: bool = False) -> DataFrame:
     """Documents as (doc, part_no, content).
 
+    With ``json`` every part is valid JSON by itself: parts after the first begin with their number and a list of formulas
+    of their own, and each part closes its list.
     ``source`` is the table the pieces were made from; a document has at most two pieces more than rows there, so asking
     it for huge documents is cheaper than asking the pieces.
     """
     hot = None if source is None else has_hot_group(source, [doc], MAX_WINDOW_ROWS)
     rows = scan(pieces, [doc], ["section", "page_no", "position"], number="_n", hot=hot)
     return rows.groupBy(doc, F.floor((c("_n") - 1) / rows_per_part).alias("part_no")).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_l")).select(
-        doc, "part_no", F.array_join(F.transform("_l", lambda r: r["piece"]), "\n").alias("content"))
+        F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_l"), F.max("section").alias("_last")).select(
+        doc, "part_no", "_last", F.array_join(F.transform("_l", lambda r: r["piece"]), "\n").alias("content")).transform(
+        _closed if json else lambda parts: parts.drop("_last"))
 
 
-def write_export(documents: DataFrame, path: str, doc: str = "doc_id", buckets: int = 64) -> None:
-    """Text files by document bucket; parts of a document keep their order within a file."""
-    rows = documents.withColumn("doc_bucket", F.pmod(F.hash(doc), F.lit(buckets)))
-    rows.repartition("doc_bucket").sortWithinPartitions("doc_bucket", doc, "part_no").select(
-        "content", "doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").text(path)
+def _closed(parts: DataFrame) -> DataFrame:
+    """Parts of a JSON document, each closed."""
+    head = F.when(c("part_no") > 0, F.concat(F.lit('{"part":'), c("part_no"), F.lit(',"formulas":[')))
+    last = c("_last") == 2
+    body = F.when(last, F.regexp_replace("content", r",\n(?=\]\}$)", "\n")).otherwise(F.regexp_replace("content", ",$", ""))
+    return parts.withColumn("content", F.concat_ws("\n", head, body, F.when(~last, F.lit("]}")))).drop("_last")
+
+
+def write_export(documents: DataFrame, path: str, doc: str = "doc_id") -> None:
+    """Text files in order of documents and parts, from file to file and within each.
+
+    Files are ranges of (document, part), as many as the size asks for, so a huge document is written by several tasks.
+    """
+    documents.repartitionByRange(doc, "part_no").sortWithinPartitions(doc, "part_no").select("content").write.mode("overwrite").text(path)

@@ -1,5 +1,6 @@
 """Pixel steps against slow restatements, and files in and out."""
 
+import re
 import struct
 import zlib
 from dataclasses import replace
@@ -278,12 +279,81 @@ def test_exports(spark, tmp_path):
     assert "Position: (5, 50)" in text(exports.export_text(df))
     data = json.loads(text(exports.export_json(df, include_failures=True)))
     assert data["metadata"]["totalFormulas"] == 3 and [f["id"] for f in data["formulas"]] == ["a", "b", "c"]
-    parts = exports.assemble(exports.export_json(df), rows_per_part=2).orderBy("part_no").collect()
-    assert len(parts) == 2 and json.loads("\n".join(p.content for p in parts))["formulas"][1]["id"] == "b"
+    for size in (1, 2, 3, 4, 10):
+        parts = [json.loads(p.content) for p in exports.assemble(exports.export_json(df), rows_per_part=size, json=True).orderBy("part_no").collect()]
+        assert [f["id"] for p in parts for f in p["formulas"]] == ["a", "b"] and parts[0]["metadata"]["totalFormulas"] == 2
+        assert [p.get("part") for p in parts] == [None, *range(1, -(-4 // size))]
     exports.write_export(exports.assemble(exports.export_text(df)), str(tmp_path / "e"))
     assert spark.read.text(str(tmp_path / "e")).count() > 5
 
 
+def test_a_huge_document_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.lit("d").alias("doc_id"), F.col("id").alias("part_no"), F.repeat(F.col("id").cast("string"), 400).alias("content"))
+    with_small = rows.unionByName(spark.createDataFrame([("e", 0, "end")], "doc_id string, part_no long, content string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        exports.write_export(with_small, str(tmp_path / "big"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "big").glob("part-*"))
+    lines = [x for f in files for x in f.read_text().split()]
+    assert len(files) > 2 and lines == [str(i) * 400 for i in range(20_000)] + ["end"]
+
+
+def test_history_reads_the_days_asked(spark, tmp_path):
+    from datetime import datetime
+
+    from regionlake.operators import filters
+
+    for day in (1, 2, 3, 4):
+        tables.append_history(spark.createDataFrame([(f"x_{day}", "S")], "latex string, source string"), str(tmp_path / "h"), datetime(2024, 1, day, 12))
+    found = filters.search_history(tables.read_history(spark, str(tmp_path / "h")), "X_", datetime(2024, 1, 2), datetime(2024, 1, 3, 23))
+    assert sorted(r.latex for r in found.collect()) == ["x_2", "x_3"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*day#\d+ >= 2024-01-02", plan)
+
+
+def test_region_store_is_read_by_viewport(spark, tmp_path):
+    """The same boxes as a plain filter, from files whose statistics leave most of them out; huge and negative boxes included."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    size = lambda: rng.choice([5.0, 20.0, 64.0, 64.5, 300.0, 4000.0, 1e6])
+    rows = [("d", rng.randrange(3), f"r{i}", rng.uniform(-200, 20_000), rng.uniform(-200, 20_000), size(), size(), 0.9, "inline") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id string, page_no long, id string, x double, y double, w double, h double, confidence double, kind string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        tables.write_regions(df, str(tmp_path / "store"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for box in ((1000.0, 1000.0, 500.0, 400.0), (-150.0, -50.0, 60.0, 10.0), (0.0, 0.0, 1e5, 1e5), (19_000.0, 3.0, 0.0, 0.0)):
+        found = tables.read_viewport(spark, str(tmp_path / "store"), "d", 1, *box, buffer=50.0)
+        x, y, w, h = box
+        want = {r[2] for r in rows if r[1] == 1 and r[3] <= x + w + 50 and r[3] + r[5] >= x - 50 and r[4] <= y + h + 50 and r[4] + r[6] >= y - 50}
+        assert {r.id for r in found.collect()} == want
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        again = tables.read_viewport(spark, str(tmp_path / "store"), "d", 1, 1000.0, 1000.0, 500.0, 400.0, 50.0)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(doc_bucket" in plan and "GreaterThanOrEqual(zkey" in plan[plan.index("PushedFilters"):]
+    intervals = tables.viewport_intervals(1000.0, 1000.0, 500.0, 400.0, 50.0)
+    kept = 0
+    files = list((tmp_path / "store").rglob("*.parquet"))
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        stat = lambda n: meta.row_group(0).column(names.index(n)).statistics
+        page, level, key = stat("page_no"), stat("level"), stat("zkey")
+        kept += page.min <= 1 <= page.max and any(level.min <= at <= level.max and key.min <= b and a <= key.max for at, a, b in intervals)
+    assert len(files) >= 30 and kept < len(files) / 2
+
+
 def test_recognition_stream_and_fallback(spark, tmp_path):
     from regionlake.streaming import jobs as stream
 
