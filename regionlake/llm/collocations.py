@@ -25,7 +25,7 @@ from . import textblocks as tb
 from .tables import store
 
 c = F.col
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _BLANK = np.zeros(256, bool)
@@ -138,8 +138,10 @@ class _Phrases:
         words, counts = tb.hash_words(self.data, at, _BLANK)
         self.start, self.end = _edges(self.data, at, _BLANK)
         own = np.where(open_, counts - (max_words - 1), counts)
-        first = np.repeat(np.cumsum(counts) - counts, own) + _up_to(own)
-        room = np.repeat(counts, own) - _up_to(own)
+        up = _up_to(own)
+        first = (np.repeat(np.cumsum(counts) - counts, own) + up).astype(np.int32)
+        room = (np.repeat(counts, own) - up).astype(np.int32)
+        del up
         of_lang, _ = tb.hash_words(*tb.buffers(pa.array([x.replace(" ", "_") or "_" for x in self.langs])), np.zeros(256, bool))
         lang = np.repeat(lang, own)
         weight = np.repeat(times, own)
