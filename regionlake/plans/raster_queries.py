@@ -62,7 +62,7 @@ def row_segments(spark, sf):
 
 @query("heuristic_score", f"""WITH {_ROWS},
   a AS (SELECT vec_id, list(n ORDER BY row) AS r, avg(n) AS mean FROM rw GROUP BY vec_id),
-  b AS (SELECT vec_id, var_pop(n) > avg(n) * 0.5::DOUBLE AS spread FROM cl GROUP BY vec_id),
+  b AS (SELECT vec_id, 8 * sum(n * n) - sum(n) * sum(n) > 4 * sum(n) AS spread FROM cl GROUP BY vec_id),  -- variance above half the mean
   s AS (SELECT vec_id, r, mean, spread, (r[1] + r[2]) / 2 AS t, (r[3] + r[4] + r[5]) / 3 AS m, (r[6] + r[7] + r[8]) / 3 AS e FROM a JOIN b USING (vec_id)),
   f AS (SELECT vec_id, spread,
       len(list_filter(range(2, 8), lambda i: r[i] > mean * 2 AND r[i] > 2.4 AND r[i - 1] < r[i] * 0.5 AND r[i + 1] < r[i] * 0.5)) > 0 AS line,

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,30 +195,52 @@ def merged_components(pages: DataFrame, keys: Sequence[str] = ("page_no",), p: D
     return per_page(pages, keys, one, "idx int, x int, y int, w int, h int, pixels bigint", _dpi_columns(pages))
 
 
+def _candidates(gray: np.ndarray, row: dict, p: DetectionParams) -> tuple[dict, dict, dict]:
+    """Columns of the candidates of one page: one value each, values per row and values per column of all."""
+    _, ink, f, scale = _ink(gray, row, p)
+    half_up = lambda v: int(k.round_half_up(v * f))
+    boxes = k.merge_boxes(k.components(ink, p.min_region_pixels), half_up(p.merge_gap_x), half_up(p.merge_gap_y))
+    w, h = boxes[:, 2] - boxes[:, 0] + 1, boxes[:, 3] - boxes[:, 1] + 1
+    fits = (h >= half_up(p.min_height)) & (h <= half_up(p.max_height)) & (w >= half_up(p.min_width))
+    boxes, w, h = boxes[fits], w[fits], h[fits]
+    n = len(boxes)
+    one, rows, cols = k.profiles(ink, boxes)
+    one |= {"idx": np.arange(n), "x": boxes[:, 0], "y": boxes[:, 1], "w": w, "h": h, "pixels": boxes[:, 4],
+            "page_w": np.full(n, ink.shape[1]), "page_h": np.full(n, ink.shape[0]), "image_scale": np.full(n, scale),
+            "bound_x": one["bound_x"] + boxes[:, 0], "bound_y": one["bound_y"] + boxes[:, 1]}
+    return one, rows, cols
+
+
 def candidate_regions(pages: DataFrame, keys: Sequence[str] = ("page_no",), p: DetectionParams = DetectionParams()) -> DataFrame:
     """R1, R4, R5, size limits and R8 in one pass over a page; pixels leave as the counts that rules need."""
+    keys = list(keys)
+    source = pages.select(*keys, *IMAGE, *_dpi_columns(pages))
+    schema = ("idx int, x double, y double, w double, h double, pixels bigint, page_w double, page_h double, image_scale double, "
+              "bound_x double, bound_y double, bound_w double, bound_h double, tightness double, " + _PROFILE)
+    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
-    def one(gray, row):
-        _, ink, f, scale = _ink(gray, row, p)
-        half_up = lambda v: int(k.round_half_up(v * f))
-        boxes = k.merge_boxes(k.components(ink, p.min_region_pixels), half_up(p.merge_gap_x), half_up(p.merge_gap_y))
-        n = 0
-        for x0, y0, x1, y1, pixels in boxes.tolist():
-            w, h = x1 - x0 + 1, y1 - y0 + 1
-            if h < half_up(p.min_height) or h > half_up(p.max_height) or w < half_up(p.min_width):
+    def run(batches):
+        for batch in batches:
+            found = []
+            pixels = batch.select([n for n in batch.schema.names if n not in keys])
+            for at in range(len(batch)):
+                row = pixels.slice(at, 1).to_pylist()[0]
+                gray = k.gray_of(row.pop("data"), row["width"], row["height"], row["channels"])
+                found.append(_candidates(gray, row, p))
+            if not found:
                 continue
-            part = ink[y0:y1 + 1, x0:x1 + 1]
-            bx, by, bw, bh, tight = k.tight_box(part, ink.shape[1], ink.shape[0])
-            yield {"idx": n, "x": float(x0), "y": float(y0), "w": float(w), "h": float(h), "pixels": pixels,
-                   "page_w": float(ink.shape[1]), "page_h": float(ink.shape[0]), "image_scale": scale,
-                   "bound_x": float(bx + x0), "bound_y": float(by + y0), "bound_w": float(bw), "bound_h": float(bh),
-                   "tightness": tight, **k.profile(part)}
-            n += 1
-
-    return per_page(
-        pages, keys, one, "idx int, x double, y double, w double, h double, pixels bigint, page_w double, page_h double, "
-        "image_scale double, bound_x double, bound_y double, bound_w double, bound_h double, tightness double, " + _PROFILE,
-        _dpi_columns(pages))
+            joined = lambda part, name: np.concatenate([f[part][name] for f in found])
+            page = np.repeat(np.arange(len(batch)), [len(f[0]["idx"]) for f in found])
+            ends = {part: np.concatenate([[0], np.cumsum(joined(0, side))]).astype(np.int32) for part, side in ((1, "h"), (2, "w"))}
+            out = {n: batch.column(n).take(pa.array(page)) for n in keys}
+            for name, kind in (f.split() for f in _split_fields(schema)):
+                part = next(i for i in (0, 1, 2) if name in found[0][i])
+                values = pa.array(joined(part, name).astype(types[kind.removeprefix("array<").rstrip(">")].to_pandas_dtype()))
+                out[name] = pa.ListArray.from_arrays(ends[part], values) if part else values
+            yield pa.RecordBatch.from_pydict(out)
+
+    key_schema = ", ".join(f"{n} {t}" for n, t in pages.select(*keys).dtypes)
+    return source.mapInArrow(run, f"{key_schema}, {schema}")
 
 
 def classify_regions(candidates: DataFrame, keys: Sequence[str] = ("page_no",), lines: DataFrame | None = None,

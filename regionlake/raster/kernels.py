@@ -165,21 +165,8 @@ def quality(gray: np.ndarray) -> tuple[float, float, float]:
 
 
 # ---------------------------------------------------------------- components
-def label(ink: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row runs of a mask and the component of each: (row, first x, last x + 1, component number)."""
-    w = ink.shape[1]
-    row, lo, hi = run_ends(ink)
-    n = len(row)
-    if n == 0:
-        return row, lo, hi, np.zeros(0, np.int64)
-    reach = 1 if diagonal else 0
-    # runs of the next row that touch run i form one consecutive span, found by key = row * (w + 2) + x
-    base = (row + 1) * (w + 2)
-    first = np.searchsorted(row * (w + 2) + hi, base + lo - reach, side="right")
-    last = np.searchsorted(row * (w + 2) + lo, base + hi + reach, side="left")
-    count = np.maximum(last - first, 0)
-    a = np.repeat(np.arange(n), count)
-    b = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the connected component of each of n nodes, by first node; ``a`` and ``b`` are the ends of the links."""
     root = np.arange(n)
     while len(a):
         ra, rb = root[a], root[b]
@@ -193,7 +180,32 @@ def label(ink: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarra
             if (up == root).all():
                 break
             root = up
-    return row, lo, hi, np.unique(root, return_inverse=True)[1]
+    return (np.cumsum(root == np.arange(n)) - 1)[root]
+
+
+def label(ink: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row runs of a mask and the component of each: (row, first x, last x + 1, component number)."""
+    row, lo, hi = run_ends(ink)
+    return row, lo, hi, label_runs(row, lo, hi, ink.shape[1], diagonal)
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and value of the numbers first, first + 1, ... of each owner."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def label_runs(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: int, diagonal: bool = True) -> np.ndarray:
+    """Component number of each run; runs are in order of (row, lo)."""
+    n = len(row)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    reach = 1 if diagonal else 0
+    # runs of the next row that touch run i form one consecutive span, found by key = row * (w + 2) + x
+    base = (row + 1) * (w + 2)
+    first = np.searchsorted(row * (w + 2) + hi, base + lo - reach, side="right")
+    last = np.searchsorted(row * (w + 2) + lo, base + hi + reach, side="left")
+    return _joined(n, *_spans(first, np.maximum(last - first, 0)))
 
 
 def components(ink: np.ndarray, min_pixels: int, diagonal: bool = True) -> np.ndarray:
@@ -213,92 +225,253 @@ def components(ink: np.ndarray, min_pixels: int, diagonal: bool = True) -> np.nd
     return out[out[:, 4] >= min_pixels]
 
 
+def _near(boxes: np.ndarray, m: np.ndarray, gap_x: int, gap_y: int) -> np.ndarray:
+    """Whether boxes lie within the gaps of others (ends included): at most gap_x apart, overlapping or less than gap_y apart."""
+    near_x = (boxes[..., 2] + gap_x >= m[..., 0]) & (boxes[..., 0] - gap_x <= m[..., 2])
+    below, above = boxes[..., 1] - m[..., 3], m[..., 1] - boxes[..., 3]
+    return near_x & ((np.maximum(below, above) < gap_y) | ((below <= 0) & (above <= 0)))
+
+
+def _near_links(boxes: np.ndarray, gap_x: int, gap_y: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of boxes, sorted by their tops, within the gaps; a stretch of boxes is held against those that begin above its end."""
+    reach = np.maximum.accumulate(boxes[:, 3])
+    rows = min(256, max(1, (1 << 20) // max(1, len(boxes))))
+    a, b = [], []
+    for at in range(0, len(boxes), rows):
+        part = boxes[at:at + rows]
+        first = np.searchsorted(reach, part[0, 1] - gap_y, side="left")
+        last = at + len(part)
+        i, j = np.nonzero(_near(part[:, None], boxes[None, first:last], gap_x, gap_y))
+        a.append(i + at)
+        b.append(j + first)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
 def merge_boxes(boxes: np.ndarray, gap_x: int, gap_y: int) -> np.ndarray:
-    """Grow the first unused box (from the top) over all unused boxes within the gaps, to a fixpoint; repeat."""
+    """Grow the first unused box (from the top) over all unused boxes within the gaps, to a fixpoint; repeat.
+
+    Boxes near each other always end in one box, as a box that grows stays near whatever it was near to.  So groups of boxes
+    that are linked are taken whole, and only what the growth itself reaches needs another look.
+    """
     boxes = boxes[np.argsort(boxes[:, 1], kind="stable")]
-    free = np.ones(len(boxes), bool)
+    if not len(boxes):
+        return np.zeros((0, 5), np.int64)
+    group = _joined(len(boxes), *_near_links(boxes, gap_x, gap_y))
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(group.max() + 1))
+    ends = [f.reduceat(boxes[order], starts, axis=0) for f in (np.minimum, np.maximum, np.add)]
+    union = np.concatenate([ends[0][:, :2], ends[1][:, 2:4], ends[2][:, 4:]], axis=1)
+    free = np.ones(len(union), bool)
     out = []
-    for i in range(len(boxes)):
-        if not free[i]:
+    left, owner = boxes, group
+    for g in range(len(union)):
+        if not free[g]:
             continue
-        m = boxes[i].copy()
-        free[i] = False
+        m = union[g]
+        free[g] = False
+        if g % 64 == 0:
+            left, owner = left[free[owner]], owner[free[owner]]
         while True:
-            near_x = (boxes[:, 2] + gap_x >= m[0]) & (boxes[:, 0] - gap_x <= m[2])
-            near_y = ((np.abs(boxes[:, 1] - m[3]) < gap_y) | (np.abs(m[1] - boxes[:, 3]) < gap_y)
-                      | ((boxes[:, 1] <= m[3]) & (boxes[:, 3] >= m[1])))
-            take = free & near_x & near_y
-            if not take.any():
+            met = owner[_near(left, m, gap_x, gap_y) & free[owner]]
+            if not len(met):
                 break
-            free &= ~take
-            m[:2] = np.minimum(m[:2], boxes[take, :2].min(0))
-            m[2:4] = np.maximum(m[2:4], boxes[take, 2:4].max(0))
-            m[4] += boxes[take, 4].sum()
+            free[met] = False
+            met = union[np.unique(met)]
+            m = np.concatenate([np.minimum(m[:2], met[:, :2].min(0)), np.maximum(m[2:4], met[:, 2:4].max(0)), m[4:] + met[:, 4].sum()])
         out.append(m)
-    return np.array(out).reshape(-1, 5)
+    return np.array(out)
 
 
 # ---------------------------------------------------------------- profiles
 def run_ends(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first column and last column + 1 of every ink run along rows."""
-    padded = np.zeros((ink.shape[0], ink.shape[1] + 2), np.int8)
+    padded = np.zeros((ink.shape[0], ink.shape[1] + 2), bool)
     padded[:, 1:-1] = ink
-    step = np.diff(padded, axis=1)
-    row, lo = np.nonzero(step == 1)
-    return row, lo, np.nonzero(step == -1)[1]
+    # every row starts and ends blank, so its changes are starts and ends in turn
+    row, x = np.divmod(np.flatnonzero(padded[:, 1:] != padded[:, :-1]), ink.shape[1] + 1)
+    return row[::2], x[::2], x[1::2]
+
+
+def _sums_along(mask: np.ndarray, kind=np.int32) -> np.ndarray:
+    """Sum of what stands left of each place of a row."""
+    s = np.zeros((mask.shape[0], mask.shape[1] + 1), kind)
+    np.cumsum(mask, axis=1, dtype=kind, out=s[:, 1:])
+    return s
+
+
+def _in_boxes(mask: np.ndarray, rc, ry, first, x0, y0, x1, y1) -> np.ndarray:
+    """Set pixels of a box within each crop (last column and row excluded), row by row; 0 for empty boxes.
+
+    ``rc`` and ``ry`` are the crop and the page row of each row of the crops, ``first`` is where a crop's rows begin.
+    """
+    s = _sums_along(mask)
+    n = (s[ry, np.maximum(x0, x1)[rc]] - s[ry, x0[rc]]).astype(np.int64)
+    n[(ry < y0[rc]) | (ry >= y1[rc])] = 0
+    return np.add.reduceat(n, first) if len(first) else n
+
+
+def _edges(ink: np.ndarray) -> np.ndarray:
+    """Pixels with a steep gradient (Sobel); the border has none."""
+    b = ink.astype(np.int16)
+    out = np.zeros(ink.shape, bool)
+    across = b[:, 2:] - b[:, :-2]
+    along = b[2:] - b[:-2]
+    gx = across[:-2] + 2 * across[1:-1] + across[2:]
+    gy = along[:, :-2] + 2 * along[:, 1:-1] + along[:, 2:]
+    out[1:-1, 1:-1] = gx * gx + gy * gy > 4
+    return out
+
+
+def profiles(ink: np.ndarray, boxes: np.ndarray) -> tuple[dict, dict, dict]:
+    """Counts of the crops of a page that the feature Columns build on, and their tight boxes.
+
+    ``boxes`` has rows (x0, y0, x1, y1), ends included.  All crops are counted together from running sums over the page, each
+    made once and dropped.  Returns one value a crop, the values of all rows of all crops, and those of all columns.
+    """
+    page_h, page_w = ink.shape
+    n = len(boxes)
+    x0, y0, x1, y1 = boxes[:, :4].T.astype(np.int64)
+    w, h = x1 - x0 + 1, y1 - y0 + 1
+    # a crop and a page row or column of each of its rows and columns
+    rc, ry = _spans(y0, h)
+    cc, cx = _spans(x0, w)
+
+    first_row, first_col = np.cumsum(h) - h, np.cumsum(w) - w
+    count_in = lambda mask, *box: _in_boxes(mask, rc, ry, first_row, *box)
+
+    # running sums along rows
+    along = _sums_along(ink)
+    rows = (along[ry, x1[rc] + 1] - along[ry, x0[rc]]).astype(np.int64)
+    place = np.arange(page_w, dtype=np.int32 if page_w < 60_000 else np.int64)
+    by_place = _sums_along(ink * place, place.dtype)
+    row_sum = (by_place[ry, x1[rc] + 1] - by_place[ry, x0[rc]]).astype(np.int64) - x0[rc] * rows
+    del along, by_place
+    # runs of ink within each row of a crop
+    run_row, run_lo, run_hi = run_ends(ink)
+    key = page_w + 2
+    first = np.searchsorted(run_row * key + run_hi, ry * key + x0[rc], side="right")
+    last = np.searchsorted(run_row * key + run_lo, ry * key + x1[rc], side="right")
+    at, run = _spans(first, np.maximum(last - first, 0))
+    lo, hi = np.maximum(run_lo[run], x0[rc[at]]) - x0[rc[at]], np.minimum(run_hi[run] - 1, x1[rc[at]]) + 1 - x0[rc[at]]
+    count = np.maximum(last - first, 0)
+    some = np.nonzero(count)[0]
+    begin = np.cumsum(count) - count
+    row_lo, row_hi = w[rc].copy(), np.zeros(len(rc), np.int64)
+    row_lo[some], row_hi[some] = lo[begin[some]], hi[begin[some] + count[some] - 1] - 1
+    # the upper median of the lengths of a crop's runs
+    crop = rc[at]
+    per_crop = np.bincount(crop, minlength=n)
+    lengths = (hi - lo)[np.lexsort((hi - lo, crop))]
+    stroke = np.zeros(n, np.int64)
+    inked = per_crop > 0
+    stroke[inked] = lengths[(np.cumsum(per_crop) - per_crop + per_crop // 2)[inked]]
+    # crops stand below each other with a row between them, so that one labelling serves all
+    stack = np.arange(len(rc)) + rc
+    tight = _tight(ink, boxes, count_in, crop, stack[at], lo, hi, w, h, first_row + np.arange(n))
+    has_loop = _loops(rc, stack, at, lo, hi, count, begin, w, h, first_row + np.arange(n))
+
+    # running sums along columns, from the page on its side
+    side = np.ascontiguousarray(ink.T)
+    down = _sums_along(side)
+    below = down[cx, y1[cc] + 1]
+    cols = (below - down[cx, y0[cc]]).astype(np.int64)
+    cols_low = (below - down[cx, (y0 + (h * 0.2).astype(np.int64))[cc]]).astype(np.int64)
+    turns = np.zeros(side.shape, bool)
+    turns[:, 1:] = side[:, 1:] != side[:, :-1]
+    down = _sums_along(turns)
+    curvy = np.bincount(cc[down[cx, y1[cc] + 1] - down[cx, y0[cc] + 1] >= 3], minlength=n)
+    del side, turns, down
+
+    starts = np.zeros(ink.shape, bool)
+    starts[1:] = ink[1:] & ~ink[:-1]
+    col_runs = count_in(starts, x0, y0 + 1, x1 + 1, y1 + 1) + rows[first_row]
+    starts[:, 0], starts[:, 1:] = False, ~ink[:, 1:] & ink[:, :-1]
+    row_gaps = count_in(starts, x0 + 1, y0, x1 + 1, y1 + 1) + h - cols[first_col]
+    edges = np.zeros(n, np.int64)
+    if page_h > 2 and page_w > 2:
+        edges = count_in(_edges(ink), x0 + 1, y0 + 1, x1, y1)
+
+    top = (h * 0.3).astype(np.int64)
+    sc, sy = _spans(top, np.maximum((h * 0.7).astype(np.int64) - top, 0))
+    sx = np.clip(np.floor(w[sc] * (1 - (sy - h[sc] * 0.3) / (h[sc] * 0.4))), 0, w[sc] - 1).astype(np.int64)
+    slant = np.bincount(sc[ink[y0[sc] + sy, x0[sc] + sx]], minlength=n)
+    return ({"col_runs": col_runs, "row_gaps": row_gaps, "edges": edges, "stroke": stroke, "curvy_cols": curvy,
+             "has_loop": has_loop, "slant": slant, **tight},
+            {"rows": rows, "row_lo": row_lo, "row_hi": row_hi, "row_sum": row_sum}, {"cols": cols, "cols_low": cols_low})
+
+
+def _tight(ink, boxes, count_in, crop, row, lo, hi, w, h, start) -> dict:
+    """Padded union box of the components above 5 pixels of each crop, and its outline over its perimeter."""
+    page_h, page_w = ink.shape
+    n = len(boxes)
+    comp = label_runs(row, lo, hi, int(w.max(initial=0)))
+    size = np.bincount(comp, weights=hi - lo)
+    seen = size[comp] > 5 if len(comp) else np.zeros(0, bool)
+    owner, y = crop[seen], row[seen] - start[crop[seen]]
+    far = page_h + page_w
+    box = []
+    for values, ufunc, none in ((lo[seen], np.minimum, far), (y, np.minimum, far), (hi[seen], np.maximum, 0), (y + 1, np.maximum, 0)):
+        acc = np.full(n, none, np.int64)
+        ufunc.at(acc, owner, values)
+        box.append(np.where(acc == far, 0, acc))
+    ax, ay, bx, by = box
+    left, top = boxes[:, 0], boxes[:, 1]
+    # ink is outline where a neighbour is blank, and at the border of its crop
+    inner = np.zeros(ink.shape, bool)
+    inner[1:-1, 1:-1] = ink[1:-1, 1:-1] & ink[:-2, 1:-1] & ink[2:, 1:-1] & ink[1:-1, :-2] & ink[1:-1, 2:]
+    all_ink = count_in(ink, left + ax, top + ay, left + bx, top + by)
+    within = count_in(inner, left + np.maximum(ax, 1), top + np.maximum(ay, 1), left + np.minimum(bx, w - 1), top + np.minimum(by, h - 1))
+    outline = all_ink - within
+    px, py = np.maximum(0, ax - 5), np.maximum(0, ay - 5)
+    bw, bh = np.minimum(page_w, bx + 5) - px, np.minimum(page_h, by + 5) - py
+    around = 2 * (bw + bh)
+    share = np.where((outline > 0) & (bw != 0) & (bh != 0), np.minimum(1.0, outline / np.where(around == 0, 1, around)), 0.0)
+    return {"bound_x": px, "bound_y": py, "bound_w": bw, "bound_h": bh, "tightness": share}
+
+
+def _loops(rc, stack, at, lo, hi, count, begin, w, h, start) -> np.ndarray:
+    """Whether a crop has a blank area, between 6 pixels and a third of it, that reaches beyond its border."""
+    n = len(w)
+    # blank stretches: before the first run of a row, between runs, after the last one
+    first = np.zeros(len(at), bool)
+    first[begin[count > 0]] = True
+    before = np.where(first, 0, np.concatenate([[0], hi[:-1]]) if len(hi) else hi)
+    end_row = np.arange(len(rc))
+    last_hi = np.zeros(len(rc), np.int64)
+    last_hi[count > 0] = hi[(begin + count - 1)[count > 0]]
+    line, lo_, hi_ = np.concatenate([at, end_row]), np.concatenate([before, last_hi]), np.concatenate([lo, w[rc]])
+    real = hi_ > lo_
+    line, lo_, hi_ = line[real], lo_[real], hi_[real]
+    order = np.lexsort((lo_, line))
+    line, lo_, hi_ = line[order], lo_[order], hi_[order]
+    comp = label_runs(stack[line], lo_, hi_, int(w.max(initial=0)), diagonal=False)
+    if not len(comp):
+        return np.zeros(n, bool)
+    crop = rc[line]
+    size = np.bincount(comp, weights=hi_ - lo_)
+    y = stack[line] - start[crop]
+    inside = (y > 0) & (y < h[crop] - 1) & (np.maximum(lo_, 1) < np.minimum(hi_, w[crop] - 1))
+    inner = np.zeros(len(size), bool)
+    inner[comp[inside]] = True
+    good = inner[comp] & (size[comp] > 5) & (size[comp] < (h * w * 0.3)[crop]) & (h[crop] > 2) & (w[crop] > 2)
+    out = np.zeros(n, bool)
+    out[crop[good]] = True
+    return out
 
 
 def profile(ink: np.ndarray) -> dict:
-    """Counts of one crop that the feature Columns build on."""
-    h, w = ink.shape
-    b = ink.astype(np.int64)
-    rows = b.sum(1)
-    any_ink = rows > 0
-    flips = np.abs(np.diff(b, axis=0))
-    loop = False
-    if h > 2 and w > 2:
-        row, lo, hi, comp = label(~ink, diagonal=False)
-        if len(comp):
-            size = np.bincount(comp, weights=hi - lo)
-            inner = np.zeros(len(size), bool)
-            inside = (row > 0) & (row < h - 1) & (np.maximum(lo, 1) < np.minimum(hi, w - 1))
-            inner[comp[inside]] = True
-            loop = bool((inner & (size > 5) & (size < h * w * 0.3)).any())
-        gx = (b[:-2, 2:] - b[:-2, :-2]) + 2 * (b[1:-1, 2:] - b[1:-1, :-2]) + (b[2:, 2:] - b[2:, :-2])
-        gy = (b[2:, :-2] - b[:-2, :-2]) + 2 * (b[2:, 1:-1] - b[:-2, 1:-1]) + (b[2:, 2:] - b[:-2, 2:])
-        edges = int((gx * gx + gy * gy > 4).sum())
-    else:
-        edges = 0
-    y = np.arange(int(h * 0.3), int(h * 0.7))
-    slant = np.clip(np.floor(w * (1 - (y - h * 0.3) / (h * 0.4))), 0, w - 1).astype(int)
-    _, lo, hi = run_ends(ink)
-    lengths = np.sort(hi - lo)
-    blanks = np.diff(np.concatenate([np.zeros((h, 1), np.int64), 1 - b], axis=1), axis=1)
-    return {
-        "rows": rows, "cols": b.sum(0), "cols_low": b[int(h * 0.2):].sum(0),
-        "row_lo": np.where(any_ink, b.argmax(1), w), "row_hi": np.where(any_ink, w - 1 - b[:, ::-1].argmax(1), 0),
-        "row_sum": b @ np.arange(w),
-        "col_runs": int(b[0].sum() + (np.diff(b, axis=0) == 1).sum()), "row_gaps": int((blanks == 1).sum()),
-        "edges": edges, "stroke": int(lengths[len(lengths) // 2]) if len(lengths) else 0,
-        "curvy_cols": int((flips.sum(0) >= 3).sum()), "has_loop": loop, "slant": int(b[y, slant].sum()),
-    }
+    """`profiles` of one crop."""
+    one, rows, cols = profiles(ink, np.array([[0, 0, ink.shape[1] - 1, ink.shape[0] - 1]]))
+    return rows | cols | {name: v[0].item() for name, v in one.items()}
 
 
 def tight_box(ink: np.ndarray, page_w: int, page_h: int) -> tuple[int, int, int, int, float]:
-    """Padded union box of the components above 5 pixels and its outline over its perimeter."""
+    """R8 of one crop of a page of the given size."""
+    page = np.zeros((page_h, page_w), bool)
     h, w = ink.shape
-    comp = components(ink, 6)
-    if len(comp):
-        x0, y0, x1, y1 = comp[:, 0].min(), comp[:, 1].min(), comp[:, 2].max() + 1, comp[:, 3].max() + 1
-    else:
-        x0 = y0 = x1 = y1 = 0
-    p = np.pad(ink, 1)
-    outline = ink & ~(p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:])
-    n = int(outline[y0:y1, x0:x1].sum())
-    bx, by = max(0, x0 - 5), max(0, y0 - 5)
-    bw, bh = min(page_w, x1 + 5) - bx, min(page_h, y1 + 5) - by
-    tight = min(1.0, n / (2 * (bw + bh))) if n and bw and bh else 0.0
-    return int(bx), int(by), int(bw), int(bh), float(tight)
+    page[:h, :w] = ink
+    one = profiles(page, np.array([[0, 0, w - 1, h - 1]]))[0]
+    return tuple(one[n][0].item() for n in ("bound_x", "bound_y", "bound_w", "bound_h", "tightness"))
 
 
 # ---------------------------------------------------------------- R9

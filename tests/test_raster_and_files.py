@@ -466,3 +466,65 @@ def test_default_resolution(spark):
     assert bytes(limited.bits) != bytes(row.bits)
     profiles = jobs.row_profiles(spark.createDataFrame(page_rows(np.full((2500, 30), 255)), PAGES))
     assert profiles.count() == 2500
+
+
+def slow_profile(ink):
+    """The counts of one crop, restated pixel by pixel."""
+    h, w = ink.shape
+    blanks = [n for *_, n in slow_components(~ink, diagonal=False)]
+    lengths = sorted(len(run) for row in ink for run in "".join("#" if v else " " for v in row).split())
+    return {"rows": ink.sum(1).tolist(), "cols": ink.sum(0).tolist(), "cols_low": ink[int(h * 0.2):].sum(0).tolist(),
+            "row_lo": [int(r.argmax()) if r.any() else w for r in ink],
+            "row_hi": [int(np.nonzero(r)[0][-1]) if r.any() else 0 for r in ink],
+            "row_sum": [int(np.nonzero(r)[0].sum()) for r in ink],
+            "stroke": lengths[len(lengths) // 2] if lengths else 0}, blanks
+
+
+def test_crops_of_a_page_are_counted_together():
+    rng = np.random.default_rng(11)
+    for density in (0.0, 0.05, 0.4, 0.9, 1.0):
+        ink = rng.random((40, 55)) < density
+        corners = np.sort(rng.integers(0, 55, (12, 2)), axis=1), np.sort(rng.integers(0, 40, (12, 2)), axis=1)
+        boxes = np.stack([corners[0][:, 0], corners[1][:, 0], corners[0][:, 1], corners[1][:, 1]], axis=1)
+        one, rows, cols = k.profiles(ink, boxes)
+        row_at = np.concatenate([[0], np.cumsum(boxes[:, 3] - boxes[:, 1] + 1)])
+        col_at = np.concatenate([[0], np.cumsum(boxes[:, 2] - boxes[:, 0] + 1)])
+        for i, (x0, y0, x1, y1) in enumerate(boxes.tolist()):
+            part = ink[y0:y1 + 1, x0:x1 + 1]
+            want, blanks = slow_profile(part)
+            assert {n: v[row_at[i]:row_at[i + 1]].tolist() for n, v in rows.items()} == {n: want[n] for n in rows}
+            assert {n: v[col_at[i]:col_at[i + 1]].tolist() for n, v in cols.items()} == {n: want[n] for n in cols}
+            assert one["stroke"][i] == want["stroke"]
+            assert not one["has_loop"][i] or [n for n in blanks if 5 < n < part.size * 0.3]
+            # alone, a crop gives the same counts
+            alone = k.profile(part)
+            assert all(one[n][i] == alone[n] for n in ("col_runs", "row_gaps", "edges", "curvy_cols", "has_loop", "slant"))
+    assert all(len(v) == 0 for v in k.profiles(np.ones((5, 5), bool), np.zeros((0, 4), np.int64))[1].values())
+
+
+def slow_merge(boxes, gap_x, gap_y):
+    """Boxes by tops; each unused one swallows near unused ones, one at a time, until none is near."""
+    left = sorted(boxes, key=lambda b: b[1])
+    out = []
+    while left:
+        m = left.pop(0)
+        met = True
+        while met:
+            met = next((b for b in left if b[2] + gap_x >= m[0] and b[0] - gap_x <= m[2]
+                        and (max(b[1] - m[3], m[1] - b[3]) < gap_y or (b[1] <= m[3] and b[3] >= m[1]))), None)
+            if met:
+                left.remove(met)
+                m = (min(m[0], met[0]), min(m[1], met[1]), max(m[2], met[2]), max(m[3], met[3]), m[4] + met[4])
+        out.append(m)
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 30, 150])
+def test_merged_boxes(size):
+    rng = np.random.default_rng(size)
+    for n in (0, 1, 40, 300):
+        corner = rng.integers(0, 500, (n, 2))
+        boxes = np.concatenate([corner, corner + rng.integers(0, size, (n, 2)), rng.integers(1, 9, (n, 1))], axis=1)
+        for gaps in ((0, 0), (5, 3), (30, 15)):
+            got = k.merge_boxes(boxes, *gaps).tolist()
+            assert [tuple(b) for b in got] == slow_merge([tuple(b) for b in boxes.tolist()], *gaps)
