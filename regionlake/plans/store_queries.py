@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..lineage import scratch_path
 from ..operators import filters, lifecycle, metering
-from ..sources import images, tables
-from .registry import HISTORY, REGIONS, USERS, query
+from ..sources import images, stores, tables
+from .registry import HISTORY, REGIONS, STORE, USERS, query
 
 c = F.col
 
@@ -45,6 +45,33 @@ def history_store(spark, sf):
     return tables.read_history(spark, path).select("latex", "source", "created_at", "is_favorite")
 
 
+@query("merged_store", f"""WITH {HISTORY} SELECT id, latex, CASE WHEN id % 60 = 0 THEN NOT is_favorite ELSE is_favorite END AS is_favorite
+  FROM history_fx WHERE id % 110 <> 0 UNION ALL SELECT -1 - id, 'new', NULL FROM history_fx WHERE id % 90 = 0""")
+def merged_store(spark, sf):
+    """U5 on a stored table, by two merges: marks turned and rows deleted, then rows added."""
+    path = scratch_path(spark, "merged")
+    rows = fx.history(spark, sf).select("id", "latex", "is_favorite")
+    stores.create_keyed(rows, path)
+    stores.merge_keyed(rows.filter("id % 60 = 0 OR id % 110 = 0").select(
+        "id", (c("id") % 110 == 0).alias("is_deleted"), (~c("is_favorite")).alias("is_favorite")), path)
+    stores.merge_keyed(rows.filter("id % 90 = 0").select(
+        (-1 - c("id")).alias("id"), F.lit(False).alias("is_deleted"), F.lit("new").alias("latex")), path)
+    return stores.read_keyed(spark, path)
+
+
+@query("stored_detections", f"""WITH {STORE}, s AS (SELECT content_hash, options_key, max(ts) AS stored_at FROM store_fx
+    WHERE id % 2 = 0 AND ts >= TIMESTAMP '2024-01-10 12:00:00' GROUP BY ALL)
+  SELECT id, stored_at IS NOT NULL AS reused, stored_at FROM store_fx LEFT JOIN s USING (content_hash, options_key) WHERE id % 2 = 1""")
+def stored_detections(spark, sf):
+    """J7 against a bucketed store: only the wanted rows are shuffled."""
+    path = scratch_path(spark, "detections")
+    rows = fx.store(spark, sf)
+    name = "detections_" + path.rsplit("-", 1)[1]
+    stores.write_lookup(rows.filter("id % 2 = 0").select("content_hash", "options_key", "ts"), name, path)
+    wanted = rows.filter("id % 2 = 1").select("id", "content_hash", "options_key")
+    return lifecycle.reuse_detections(wanted, spark.table(name), datetime(2024, 1, 20, 12), 10 * 86_400).select("id", "reused", "stored_at")
+
+
 @query("run_metrics_store", """SELECT concat('file-', CAST(l_suppkey AS VARCHAR)) AS file, l_partkey % 900 AS elapsed_ms,
   CAST(l_linenumber AS BIGINT) AS pages, l_returnflag AS type FROM lineitem""")
 def run_metrics_store(spark, sf):
