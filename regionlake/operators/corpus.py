@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -146,23 +147,37 @@ def common_length(a: str, b: str) -> int:
 
 
 def segments(a: str, b: str) -> list[tuple[str, str]]:
-    """Unchanged, removed and added runs that turn ``a`` into ``b``."""
+    """Unchanged, removed and added runs that turn ``a`` into ``b``, within about 2 * sqrt(len(a)) bit rows of len(b)."""
     if a == b:
         return [("unchanged", a)]
     if not a or not b:
         return [("removed", a)] if a else [("added", b)]
-    places, full, v = _positions(b), (1 << len(b)) - 1, (1 << len(b)) - 1
-    rows = []
-    for ch in a:
-        u = v & places.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
+    places, full = _positions(b), (1 << len(b)) - 1
+    step = max(1, math.isqrt(len(a)))
+
+    def rows_from(v: int, start: int) -> list[int]:
+        out = []
+        for ch in a[start:start + step]:
+            u = v & places.get(ch, 0)
+            v = ((v + u) | (v - u)) & full
+            out.append(v)
+        return out
+
+    # rows are kept at every ``step`` characters only, and those between made again on the way back
+    kept = [full]
+    for start in range(0, len(a) - step, step):
+        kept.append(rows_from(kept[-1], start)[-1])
     common, i, j = [], len(a), len(b)
+    block, rows = -1, []
     while i and j:
         if a[i - 1] == b[j - 1]:
             common.append(a[i - 1])
             i, j = i - 1, j - 1
-        elif (rows[i - 1] >> (j - 1)) & 1:  # no gain from column j: the match lies further left
+            continue
+        if (i - 1) // step != block:
+            block = (i - 1) // step
+            rows = rows_from(kept[block], block * step)
+        if (rows[(i - 1) % step] >> (j - 1)) & 1:  # no gain from column j: the match lies further left
             j -= 1
         else:
             i -= 1

@@ -152,3 +152,24 @@ def test_levels_and_thresholds(spark):
     assert all(r.l == ("high" if r.confidence >= 0.9 else "medium" if r.confidence >= 0.75 else "low") for r in got)
     kept = [df.filter(F.col("confidence") >= t).count() for t in (0.1, 0.5, 0.9)]
     assert kept == sorted(kept, reverse=True)
+
+
+def test_differences_of_long_texts_stay_small():
+    import tracemalloc
+
+    rnd = random.Random(8)
+    for n in (0, 1, 2, 15, 16, 17, 300):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randint(n, n + 3))) for _ in range(2))
+        parts = corpus.segments(a, b)
+        assert "".join(t for kind, t in parts if kind != "added") == a and "".join(t for kind, t in parts if kind != "removed") == b
+        best = longest_common(a, b) if n < 100 else corpus.common_length(a, b)
+        assert sum(len(t) for kind, t in parts if kind == "unchanged") == best
+    a = [rnd.choice("abcdefghij ") for _ in range(20_000)]
+    b = [rnd.choice("xyz") if rnd.random() < 0.01 else ch for ch in a]
+    a, b = "".join(a), "".join(b)
+    tracemalloc.start()
+    parts = corpus.segments(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all bit rows would be 50 MB
+    assert peak < 8_000_000 and "".join(t for kind, t in parts if kind != "removed") == b
