@@ -59,3 +59,84 @@ def test_results_of_pages_leave_in_small_pieces():
     pages = pd.DataFrame({"page_no": range(40), "width": 2, "height": 2, "channels": 1, "data": [bytes(4)] * 40})
     pieces = list(run(iter([pages])))
     assert max(len(p) for p in pieces) <= 5 and list(pd.concat(pieces)["page_no"]) == list(range(40))
+
+
+class State:
+    """One key's state of `applyInPandasWithState`, outside a stream."""
+
+    hasTimedOut, exists = False, False
+
+    def update(self, values):
+        self.get, self.exists = values, True
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.mark
+
+
+def walk(known, rows, ttl, mark):
+    """Code verification of one trigger, attempt by attempt."""
+    known = sorted(known + [[t, e, code, False] for t, e, code, is_try, _ in rows if not is_try], key=lambda s: s[:2])
+    out = []
+    for t, e, code, is_try, mail in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+        if is_try:
+            before = [s for s in known if (s[0], s[1]) <= (t, e)]
+            sent = before[-1] if before and t < before[-1][0] + ttl else None
+            outcome = ("invalid_email" if not mail else "invalid_code" if len(code) != 6 else
+                       "missing" if sent is None or sent[3] else "mismatch" if code != sent[2] else "ok")
+            if sent is not None and len(code) == 6 and code == sent[2]:
+                sent[3] = True
+            out.append((e, sent and sent[1], outcome))
+    live = [s for s in known if s[0] + ttl > mark]
+    return out, live or known[-1:]
+
+
+def verifier():
+    """The function that `stream_code_verification` runs on a key."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import functions as F
+
+    from regionlake.streaming import jobs as streams
+
+    frame = MagicMock()
+    for name in ("select", "union", "withWatermark", "withColumns"):
+        getattr(frame, name).return_value = frame
+    frame.groupBy.return_value.applyInPandasWithState = lambda fn, *rest: fn
+    return streams.stream_code_verification(frame, frame)
+
+
+def test_codes_against_a_walk(spark):
+    """Random triggers with equal times, late, repeated and malformed codes, over state."""
+    rng = np.random.default_rng(5)
+    verify, ttl = verifier(), 600_000_000
+    for _ in range(60):
+        state, known, event = State(), [], 0
+        for trigger in range(4):
+            rows = []
+            for _ in range(rng.integers(1, 25)):
+                event += 1
+                t = int(trigger * 900 + rng.integers(0, 900) // 60 * 60) * 1_000_000
+                rows.append((t, event, ["111111", "222222", "12345"][rng.integers(0, 3)], bool(rng.random() < 0.6), bool(rng.random() < 0.9)))
+            state.mark = max(0, trigger * 900 - 700) * 1000
+            frame = pd.DataFrame(rows, columns=["t", "event_id", "code", "is_try", "good_mail"])
+            got, = verify(("a",), iter([frame.iloc[::2], frame.iloc[1::2]]), state)
+            want, known = walk(known, rows, ttl, state.mark * 1000)
+            assert [(e, None if s is pd.NA else s, o) for e, s, o in zip(got["event_id"], got["send_id"], got["outcome"])] == want
+            import json
+
+            assert json.loads(state.get[0]) == [list(s) for s in known]
+
+
+def test_codes_take_time_in_proportion(spark):
+    """An address with a hundred thousand sends and attempts; held against each other they took minutes."""
+    import time
+
+    n = 100_000
+    frame = pd.DataFrame({"t": np.arange(n) * 1000, "event_id": np.arange(n), "code": "123456", "is_try": np.arange(n) % 2 == 1, "good_mail": True})
+    state, began = State(), time.time()
+    state.mark = 0
+    got, = verifier()(("a",), iter([frame]), state)
+    assert (got["outcome"] == "ok").all() and time.time() - began < 20
