@@ -140,3 +140,24 @@ def test_codes_take_time_in_proportion(spark):
     state.mark = 0
     got, = verifier()(("a",), iter([frame]), state)
     assert (got["outcome"] == "ok").all() and time.time() - began < 20
+
+
+def test_segments_leave_in_small_pieces(spark):
+    """A batch of pairs that differ everywhere; pieces are bounded and together they are the whole batch."""
+    from regionlake.operators import corpus
+
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 300))
+    a, b = pd.Series([word() for _ in range(400)]), pd.Series([word() for _ in range(400)])
+    pieces = list(corpus._segment_pieces(iter([(a, b)])))
+    assert max(sum(map(len, p)) for p in pieces) < corpus.SEGMENTS_AT_ONCE + 600
+    assert sum(map(len, pieces)) == 400
+    # a Spark batch of many pairs comes back whole and in place
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        rows = corpus.diff_pairs(spark.createDataFrame(pd.DataFrame({"original": a, "modified": b})).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    for r in rows:
+        assert "".join(d.text for d in r.diff if d.type != "added") == r.original
+        assert "".join(d.text for d in r.diff if d.type != "removed") == r.modified
