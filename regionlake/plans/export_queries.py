@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..lineage import scratch_path
 from ..operators import regions as ops
+from ..operators.ordered import has_hot_group
+from ..params import MAX_WINDOW_ROWS
 from ..sources import exports
 from .registry import RECOGNITIONS, query
 
@@ -19,6 +21,12 @@ def _recognised(spark, sf):
     return ops.attach_recognitions(r, fx.recognitions(spark, sf)).filter("status IN ('done', 'error')")
 
 
+def _hot(spark, sf):
+    """Whether a document has very many formulas, asked of the table they come from."""
+    doc = F.floor(c("l_orderkey") / 100).alias("doc_id")
+    return has_hot_group(fx.table(spark, sf, "lineitem").select(doc), ["doc_id"], MAX_WINDOW_ROWS)
+
+
 _BASE = f"""WITH {RECOGNITIONS},
   j AS (SELECT r.*, page_no // 100 AS doc_id, status, latex, error, elapsed_ms FROM regions_fx r JOIN recognitions_fx q USING (id, page_no, idx) WHERE status IN ('done', 'error')),
   a AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_no ORDER BY y, id) > 20 THEN 1 ELSE 0 END AS brk FROM j),
@@ -37,9 +45,9 @@ _DONE = _BASE.replace("CASE WHEN y - lag", "CASE WHEN y - lag").replace("FROM j)
   SELECT doc_id, CAST(0 AS BIGINT) AS part_no, concat('# Report', chr(10), chr(10), '> Generated by regionlake on 2024-01-20', chr(10), '> Total Formulas: ', any_value(total), chr(10), chr(10),
     string_agg(piece, chr(10) ORDER BY page_no, pos), chr(10)) AS content FROM pc JOIN h USING (doc_id) GROUP BY doc_id""")
 def export_markdown(spark, sf):
-    df = _recognised(spark, sf)
+    df, hot = _recognised(spark, sf), _hot(spark, sf)
     return exports.assemble(exports.export_markdown(
-        df, group_by_page=True, comments=True, title="Report", include_failures=True, generated="2024-01-20"), source=df)
+        df, group_by_page=True, comments=True, title="Report", include_failures=True, generated="2024-01-20", hot=hot), hot=hot)
 
 
 @query("export_latex", _DONE + """, h AS (SELECT doc_id, count(*) AS total FROM j GROUP BY doc_id),
@@ -49,8 +57,8 @@ def export_markdown(spark, sf):
     '\\documentclass{article}', '\\usepackage{amsmath}', '\\usepackage{amssymb}', '\\usepackage{amsfonts}', '', '\\begin{document}', '', body, '\\end{document}') AS content
   FROM h LEFT JOIN pc USING (doc_id)""".replace("\\\\", "\\"))
 def export_latex(spark, sf):
-    df = _recognised(spark, sf)
-    return exports.assemble(exports.export_latex(df, generated="2024-01-20"), source=df)
+    df, hot = _recognised(spark, sf), _hot(spark, sf)
+    return exports.assemble(exports.export_latex(df, generated="2024-01-20", hot=hot), hot=hot)
 
 
 @query("export_text", _DONE + """, h AS (SELECT doc_id, count(*) AS total FROM j GROUP BY doc_id),
@@ -59,8 +67,8 @@ def export_latex(spark, sf):
   SELECT doc_id, CAST(0 AS BIGINT) AS part_no, concat_ws(chr(10), 'Exported Formulas - regionlake', 'Generated: 2024-01-20', concat('Total Formulas: ', total), '', repeat('=', 60), '', body) AS content
   FROM h LEFT JOIN pc USING (doc_id)""")
 def export_text(spark, sf):
-    df = _recognised(spark, sf)
-    return exports.assemble(exports.export_text(df, generated="2024-01-20"), source=df)
+    df, hot = _recognised(spark, sf), _hot(spark, sf)
+    return exports.assemble(exports.export_text(df, generated="2024-01-20", hot=hot), hot=hot)
 
 
 @query("export_json", _DONE + """, h AS (SELECT doc_id, count(*) FILTER (status = 'done') AS valid FROM j GROUP BY doc_id),
@@ -71,15 +79,15 @@ def export_text(spark, sf):
   SELECT doc_id, CAST(0 AS BIGINT) AS part_no, concat_ws(chr(10), concat('{"metadata":{"exportDate":"2024-01-20","totalFormulas":', valid,
     ',"generator":"regionlake","version":"2.0"},"formulas":['), body, ']}') AS content FROM h LEFT JOIN pc USING (doc_id)""")
 def export_json(spark, sf):
-    df = _recognised(spark, sf)
-    return exports.assemble(exports.export_json(df, include_metadata=True, generated="2024-01-20"), source=df, json=True)
+    df, hot = _recognised(spark, sf), _hot(spark, sf)
+    return exports.assemble(exports.export_json(df, include_metadata=True, generated="2024-01-20", hot=hot), hot=hot, json=True)
 
 
 @query("export_json_parts", _DONE + """ SELECT doc_id, count(*) AS n_formulas, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms, true AS valid FROM n GROUP BY doc_id""")
 def export_json_parts(spark, sf):
     """S9 in parts of fifty pieces: every part is a document of its own, and together they have each formula once."""
-    df = _recognised(spark, sf)
-    parts = exports.assemble(exports.export_json(df, include_metadata=True), rows_per_part=50, source=df, json=True)
+    df, hot = _recognised(spark, sf), _hot(spark, sf)
+    parts = exports.assemble(exports.export_json(df, include_metadata=True, hot=hot), rows_per_part=50, hot=hot, json=True)
     path = scratch_path(spark, "json")
     exports.write_export(parts.withColumn("content", F.regexp_replace("content", "\n", " ")), path)
     shape = "metadata struct<totalFormulas:bigint>, formulas array<struct<id:string,pageNumber:bigint,recognitionTime:bigint>>"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import latex as lx
+from ..lineage import cut
 from ..operators.ordered import has_hot_group, scan
 from ..operators.regions import reading_order
 from ..params import MAX_WINDOW_ROWS
@@ -28,15 +29,21 @@ def _percent() -> Column:
     return F.format_string("%.1f", c("confidence") * 100)
 
 
-def _ordered(df: DataFrame, doc: str, include_failures: bool, per_page: bool) -> tuple[DataFrame, DataFrame]:
-    """Formulas with their number, and per document the counts and the first page."""
+def _ordered(df: DataFrame, doc: str, include_failures: bool, per_page: bool, hot: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Formulas with their number, and per document the counts and the first page.
+
+    Counts are one row a document and serve header, footer and body, so they are written once.
+    """
     rows = df.withColumn("success", c("status") == "done")
-    totals = rows.groupBy(doc).agg(
+    totals = cut(rows.groupBy(doc).agg(
         F.count(F.lit(1)).alias("_total"), F.count_if(F.lit(include_failures) | c("success")).alias("_valid"),
-        F.min(F.when(F.lit(include_failures) | c("success"), c("page_no"))).alias("_first_page"))
+        F.min(F.when(F.lit(include_failures) | c("success"), c("page_no"))).alias("_first_page")))
     kept = rows if include_failures else rows.filter("success")
     # pages are parts of documents, so one question about documents covers both
-    hot = has_hot_group(df, [doc], MAX_WINDOW_ROWS)
+    if hot is None:
+        hot = not totals.filter(c("_total") > MAX_WINDOW_ROWS).isEmpty()
+    if not hot:  # pages and parts of a document stay where the document is, so its rows move once
+        kept = kept.repartition(doc)
     placed = reading_order(kept, page=(doc, "page_no"), hot=hot)
     numbered = placed.withColumn("_number", c("position")) if per_page else scan(
         placed, [doc], ["page_no", "position"], number="_number", hot=hot)
@@ -63,9 +70,9 @@ def _with_section(body: DataFrame, totals: DataFrame, doc: str, piece: Column, h
 
 
 def export_latex(df: DataFrame, doc: str = "doc_id", group_by_page: bool = False, comments: bool = False, title: str | None = None,
-                 include_failures: bool = False, generated: str = "") -> DataFrame:
+                 include_failures: bool = False, generated: str = "", hot: bool | None = None) -> DataFrame:
     """S6."""
-    body, totals = _ordered(df, doc, include_failures, group_by_page)
+    body, totals = _ordered(df, doc, include_failures, group_by_page, hot)
     head = [F.lit(f"% LaTeX Document - Exported from {NAME}"), F.lit(f"% Generated: {generated}"),
             F.concat(F.lit("% Total Formulas: "), c("_total")), "", "\\documentclass{article}", "\\usepackage{amsmath}",
             "\\usepackage{amssymb}", "\\usepackage{amsfonts}", ""]
@@ -85,9 +92,9 @@ def export_latex(df: DataFrame, doc: str = "doc_id", group_by_page: bool = False
 
 
 def export_markdown(df: DataFrame, doc: str = "doc_id", group_by_page: bool = False, comments: bool = False,
-                    title: str = "Exported Formulas", include_failures: bool = False, generated: str = "") -> DataFrame:
+                    title: str = "Exported Formulas", include_failures: bool = False, generated: str = "", hot: bool | None = None) -> DataFrame:
     """S7."""
-    body, totals = _ordered(df, doc, include_failures, group_by_page)
+    body, totals = _ordered(df, doc, include_failures, group_by_page, hot)
     head = _lines(f"# {title}", "", f"> Generated by {NAME} on {generated}", F.concat(F.lit("> Total Formulas: "), c("_total")), "")
     note = F.when(F.lit(comments), _lines(
         F.concat(F.lit("<!-- Formula "), c("_number"), F.lit(" - Page "), c("page_no"), F.lit(" -->")),
@@ -101,9 +108,9 @@ def export_markdown(df: DataFrame, doc: str = "doc_id", group_by_page: bool = Fa
     return _pieces(doc, totals.withColumn("piece", head), body, foot)
 
 
-def export_text(df: DataFrame, doc: str = "doc_id", include_failures: bool = False, generated: str = "") -> DataFrame:
+def export_text(df: DataFrame, doc: str = "doc_id", include_failures: bool = False, generated: str = "", hot: bool | None = None) -> DataFrame:
     """S8."""
-    body, totals = _ordered(df, doc, include_failures, False)
+    body, totals = _ordered(df, doc, include_failures, False, hot)
     head = _lines(f"Exported Formulas - {NAME}", f"Generated: {generated}", F.concat(F.lit("Total Formulas: "), c("_total")),
                   "", "=" * 60, "")
     result = F.when(c("success"), _lines("LaTeX:", c("latex"))).otherwise(
@@ -116,9 +123,9 @@ def export_text(df: DataFrame, doc: str = "doc_id", include_failures: bool = Fal
 
 
 def export_json(df: DataFrame, doc: str = "doc_id", include_failures: bool = False, include_metadata: bool = False,
-                generated: str = "") -> DataFrame:
+                generated: str = "", hot: bool | None = None) -> DataFrame:
     """One JSON document; pieces are lines of it."""
-    body, totals = _ordered(df, doc, include_failures, False)
+    body, totals = _ordered(df, doc, include_failures, False, hot)
     head = F.concat(F.lit('{"metadata":'), F.to_json(F.struct(
         F.lit(generated).alias("exportDate"), c("_valid").alias("totalFormulas"), F.lit(NAME).alias("generator"),
         F.lit("2.0").alias("version"))), F.lit(',"formulas":['))
@@ -148,15 +155,16 @@ def export_numbered(df: DataFrame, fmt: str = "latex", include_numbers: bool = T
 
 
 def assemble(pieces: DataFrame, doc: str = "doc_id", rows_per_part: int = 10_000, source: DataFrame | None = None,
-             json: bool = False) -> DataFrame:
+             json: bool = False, hot: bool | None = None) -> DataFrame:
     """Documents as (doc, part_no, content).
 
     With ``json`` every part is valid JSON by itself: parts after the first begin with their number and a list of formulas
     of their own, and each part closes its list.
     ``source`` is the table the pieces were made from; a document has at most two pieces more than rows there, so asking
-    it for huge documents is cheaper than asking the pieces.
+    it for huge documents is cheaper than asking the pieces.  ``hot`` passes on an earlier answer.
     """
-    hot = None if source is None else has_hot_group(source, [doc], MAX_WINDOW_ROWS)
+    if hot is None and source is not None:
+        hot = has_hot_group(source, [doc], MAX_WINDOW_ROWS)
     rows = scan(pieces, [doc], ["section", "page_no", "position"], number="_n", hot=hot)
     return rows.groupBy(doc, F.floor((c("_n") - 1) / rows_per_part).alias("part_no")).agg(
         F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_l"), F.max("section").alias("_last")).select(
@@ -177,4 +185,5 @@ def write_export(documents: DataFrame, path: str, doc: str = "doc_id") -> None:
 
     Files are ranges of (document, part), as many as the size asks for, so a huge document is written by several tasks.
     """
+    documents = cut(documents)  # ranges are chosen from a sample, which would make all documents a second time
     documents.repartitionByRange(doc, "part_no").sortWithinPartitions(doc, "part_no").select("content").write.mode("overwrite").text(path)

@@ -161,3 +161,22 @@ def test_segments_leave_in_small_pieces(spark):
     for r in rows:
         assert "".join(d.text for d in r.diff if d.type != "added") == r.original
         assert "".join(d.text for d in r.diff if d.type != "removed") == r.modified
+
+
+def test_exports_make_their_documents_once(spark, tmp_path):
+    """Choosing file ranges from a sample once made every document a second time."""
+    from pyspark.sql import functions as F
+
+    from regionlake.sources import exports
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(n):
+        made.add(1)
+        return f"text {n}"
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(0).alias("part_no"), content("id").alias("content"))
+    exports.write_export(docs, str(tmp_path / "out"))
+    assert made.value == 200
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"text {n}" for n in range(200))
