@@ -180,3 +180,20 @@ def test_exports_make_their_documents_once(spark, tmp_path):
     exports.write_export(docs, str(tmp_path / "out"))
     assert made.value == 200
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"text {n}" for n in range(200))
+
+
+def test_segments_of_pages_without_rows_of_pixels(spark):
+    """`projection_regions` gives what the table of pixel rows gives, and makes no such table."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(40):
+        page = np.full((rng.integers(1, 160), rng.integers(1, 120)), 255, np.uint8)
+        for _ in range(rng.integers(0, 5)):
+            y, x = rng.integers(0, page.shape[0]), rng.integers(0, page.shape[1])
+            page[y:y + rng.integers(1, 40), x:x + rng.integers(1, 90)] = 0
+        rows.append((i, page.shape[1], page.shape[0], 1, bytearray(page.tobytes())))
+    pages = spark.createDataFrame(rows, "page_no int, width int, height int, channels int, data binary")
+    got = jobs.projection_regions(pages)
+    want = jobs.row_segments(jobs.row_profiles(pages))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
