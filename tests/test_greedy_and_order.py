@@ -183,3 +183,23 @@ def test_overlap_pairs_and_viewports(spark):
     want = {(v[0], r[2]) for v in views for r in rows if v[1] == r[0] and r[3] <= v[2] + v[4] + 2 and r[3] + r[5] >= v[2] - 2
             and r[4] <= v[3] + v[5] + 2 and r[4] + r[6] >= v[3] - 2}
     assert sorted((r.viewport_id, r.id) for r in out.collect()) == sorted(want)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_plain_pages_need_no_sweep(spark):
+    """Regions of pages with few lines look through them; one page with many lines is swept, with the same answers."""
+    rng = np.random.default_rng(29)
+    rows = spark.createDataFrame(boxes(rng, 20, pages=3), BOX)
+    schema = "page_no long, line_no int, line_y double, line_h double"
+    text = lambda n: [(p, i, float(rng.integers(0, 120)), float(rng.integers(4, 20))) for p in (0, 1) for i in range(n[p])]
+    few = spark.createDataFrame(text((5, lines.FEW_LINES)), schema)
+    assert "Window" not in _plan(lines.text_line_context(rows, few))
+    many = spark.createDataFrame(text((5, lines.FEW_LINES + 1)), schema)
+    both = lines.text_line_context(rows, many)
+    assert "Window" in _plan(both)
+    swept = lines._swept(rows, many, ["page_no"], 100)
+    assert both.dtypes == swept.dtypes
+    assert sorted(both.collect()) == sorted(swept.select(both.columns).collect())
