@@ -203,3 +203,14 @@ def test_lines_of_plain_pages_need_no_sweep(spark):
     swept = lines._swept(rows, many, ["page_no"], 100)
     assert both.dtypes == swept.dtypes
     assert sorted(both.collect()) == sorted(swept.select(both.columns).collect())
+
+
+def test_regions_meet_few_viewports_without_cells(spark):
+    """Regions are not spread over cells for pages with few viewports; pages with many give the same rows by cells."""
+    df = spark.createDataFrame(boxes(np.random.default_rng(31), 30), BOX)
+    views = [(i, i % 2, i * 5.0, i * 4.0, 20.0, 15.0) for i in range(15)]
+    views = spark.createDataFrame(views, "viewport_id int, page_no long, vx double, vy double, vw double, vh double")
+    found = lambda few: regions.regions_in_viewports(df, views, 2, 16, few)
+    assert "_cx" not in _plan(found(8)) and "_cx" in _plan(found(7))
+    assert found(8).columns == found(7).columns == found(0).columns
+    assert sorted(found(8).collect()) == sorted(found(7).collect()) == sorted(found(0).collect())
