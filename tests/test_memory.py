@@ -197,3 +197,16 @@ def test_segments_of_pages_without_rows_of_pixels(spark):
     want = jobs.row_segments(jobs.row_profiles(pages))
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chosen_pages_move_texts_and_no_pixels(spark, tmp_path):
+    """Only the pages asked for are set, behind all shuffles; keys of pages need no page to be set."""
+    texts = ["short", "", "\n" * 30, "a line\n" * 100 + "x" * 161, "y" * 80 * 24, "y" * 80 * 24 + "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    everything = {(r.doc_id, r.page_no): bytes(r.data) for r in fixtures.document_pages(spark, str(tmp_path)).collect()}
+    keys = fixtures.document_page_keys(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in keys.collect()) == sorted(everything)
+    wanted = [(3, 4), (3, 1), (5, 1), (0, 0), (99, 0), (4, 7)]
+    some = fixtures.document_pages(spark, str(tmp_path), spark.createDataFrame(wanted, "doc_id bigint, page_no int"))
+    assert some._jdf.queryExecution().optimizedPlan().toString().startswith("MapInPandas")
+    assert {(r.doc_id, r.page_no): bytes(r.data) for r in some.collect()} == {k: everything[k] for k in wanted if k in everything}
