@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,10 +166,14 @@ def provider_fallback(replies: DataFrame, valid: Column, excluded: Sequence[str]
 def dedupe_images(crops: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(one row per content, every id with its content hash)."""
     keyed = crops.withColumn("content_hash", content_hash(c(data)))
+    return _one_each(keyed), keyed.select("id", "content_hash")
+
+
+def _one_each(keyed: DataFrame) -> DataFrame:
+    """The row of the first id of each content."""
     rest = [n for n in keyed.columns if n not in ("id", "content_hash")]
-    unique = keyed.groupBy("content_hash").agg(
+    return keyed.groupBy("content_hash").agg(
         F.min_by(F.struct("id", *rest), "id").alias("_f")).select("content_hash", "_f.*")
-    return unique, keyed.select("id", "content_hash")
 
 
 RESULT = "id string, success boolean, latex string, error string, attempts int"
@@ -204,6 +209,38 @@ def attempt(fn: Callable[[dict], str], row: dict, max_attempts: int = 3, valid:
     return text is not None, text, None if text is not None else error, tries
 
 
+def _pack(crops: DataFrame, data: str) -> DataFrame:
+    """``crops`` with each row's bytes compressed, and their length in ``_size``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            at = batch.schema.get_field_index(data)
+            column = batch.column(at)
+            sizes = [len(v.as_buffer()) if v.is_valid else None for v in column]
+            packed = [codec.compress(v.as_buffer(), asbytes=True) if v.is_valid else None for v in column]
+            yield batch.set_column(at, data, pa.array(packed, column.type)).append_column("_size", pa.array(sizes, pa.int64()))
+
+    types = ", ".join(f"`{n}` {t}" for n, t in crops.dtypes)
+    return crops.mapInArrow(run, f"{types}, _size bigint")
+
+
+def _unpacking(make_recognizer: Callable[[], Callable[[dict], str]], data: str) -> Callable[[], Callable[[dict], str]]:
+    """The same recogniser for the rows of `_pack`; a crop is made whole only while it is looked at."""
+    def make():
+        fn, codec = make_recognizer(), pa.Codec("zstd")
+
+        def one(row: dict) -> str:
+            row = dict(row)
+            size = row.pop("_size")
+            if row[data] is not None:
+                row[data] = codec.decompress(row[data], decompressed_size=int(size), asbytes=True)
+            return fn(row)
+
+        return one
+
+    return make
+
+
 def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], str]], max_attempts: int = 3,
               valid: Callable[[str], bool] | None = None, delay_seconds: float = 1.0,
               timeout_seconds: float | None = None) -> DataFrame:
@@ -224,8 +261,17 @@ def recognize(crops: DataFrame, make_recognizer: Callable[[], Callable[[dict], s
 
 
 def recognize_unique(crops: DataFrame, make_recognizer, data: str = "data", **kw) -> DataFrame:
-    """U3 + D1: identical crops are recognised once and the result goes to every id."""
-    unique, ids = dedupe_images(crops, data)
+    """U3 + D1: identical crops are recognised once and the result goes to every id.
+
+    Bytes are compressed before they are moved to where their copies meet.
+    """
+    if dict(crops.dtypes)[data] == "binary":
+        ids = crops.select("id", content_hash(c(data)).alias("content_hash"))
+        packed = _pack(crops.withColumn("content_hash", content_hash(c(data))), data)
+        unique = _one_each(packed)
+        make_recognizer = _unpacking(make_recognizer, data)
+    else:
+        unique, ids = dedupe_images(crops, data)
     done = recognize(unique.drop("id").withColumnRenamed("content_hash", "id"), make_recognizer, **kw)
     return ids.join(done.withColumnRenamed("id", "content_hash"), "content_hash")
 

@@ -210,3 +210,20 @@ def test_chosen_pages_move_texts_and_no_pixels(spark, tmp_path):
     some = fixtures.document_pages(spark, str(tmp_path), spark.createDataFrame(wanted, "doc_id bigint, page_no int"))
     assert some._jdf.queryExecution().optimizedPlan().toString().startswith("MapInPandas")
     assert {(r.doc_id, r.page_no): bytes(r.data) for r in some.collect()} == {k: everything[k] for k in wanted if k in everything}
+
+
+def test_crops_are_moved_compressed(spark):
+    """Copies meet as compressed bytes, and the recogniser sees whole ones."""
+    from regionlake.operators import lifecycle
+
+    crops = [("a", 3, bytearray(200_000)), ("b", 3, bytearray(200_000)), ("c", 4, bytearray(b"xyz" * 9)), ("d", 5, bytearray()), ("e", 6, None)]
+    rows = spark.createDataFrame(crops, "id string, width int, data binary")
+    keyed = rows.withColumn("content_hash", lifecycle.content_hash(rows["data"]))
+    assert lifecycle._pack(keyed, "data").selectExpr("max(length(data))").first()[0] < 1000
+    seen = lambda: lambda row: f"{row['width']}:{len(row['data'])}:{sum(row['data'])}:{sorted(row)}"
+    got = lifecycle.recognize_unique(rows, seen, delay_seconds=0.0)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    names = "['data', 'id', 'width']"
+    total = 9 * sum(b"xyz")
+    assert {r.id: r.latex for r in got.collect()} == {
+        "a": f"3:200000:0:{names}", "b": f"3:200000:0:{names}", "c": f"4:27:{total}:{names}", "d": f"5:0:0:{names}"}
