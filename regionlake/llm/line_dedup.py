@@ -42,7 +42,16 @@ def _edge(m: Column, q: Column, i: Column) -> Column:
 
 
 def _gates(line: Column, n: Column) -> Column:
-    """For this length, and one less, the hash of the line without each piece; ``sel`` tells piece and length."""
+    """For this length, and one less, the hash of the line without each piece; ``sel`` tells piece and length.
+
+    Lines of two pieces, nearly all, get the same hashes from plain expressions, without a lambda for each piece.
+    """
+    def half(i: int, shorter: int) -> Column:
+        m = n - shorter
+        cut, empty = F.floor(m / 2).cast("int"), F.lit("")
+        left, right = (empty, F.substring(line, cut + shorter + 1, n)) if i == 0 else (F.substring(line, F.lit(1), cut), empty)
+        return F.struct(F.xxhash64(m, F.lit(i), left, right).alias("gate"), F.lit(i * 2 + shorter).alias("sel"))
+
     def of(shorter: int) -> Column:
         m = n - shorter
 
@@ -53,7 +62,7 @@ def _gates(line: Column, n: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), _pieces(m) - 1), gate)
 
-    return F.concat(of(0), of(1))
+    return F.when(n <= 2 * PIECE, F.array(*[half(i, shorter) for shorter in (0, 1) for i in (0, 1)])).otherwise(F.concat(of(0), of(1)))
 
 
 def _variants(line: Column, n: Column, sel: Column) -> Column:
