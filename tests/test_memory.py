@@ -227,3 +227,15 @@ def test_crops_are_moved_compressed(spark):
     total = 9 * sum(b"xyz")
     assert {r.id: r.latex for r in got.collect()} == {
         "a": f"3:200000:0:{names}", "b": f"3:200000:0:{names}", "c": f"4:27:{total}:{names}", "d": f"5:0:0:{names}"}
+
+
+def test_rows_of_a_key_are_put_in_order_without_a_frame(monkeypatch):
+    """Chunks of one key become plain columns by time and event; no frame is joined or sorted for them."""
+    from regionlake.streaming import jobs as stream
+
+    chunks = [pd.DataFrame({"t": [5, 1], "event_id": [2, 9], "days": [30, 40]}), pd.DataFrame({"t": [1, 0], "event_id": [8, 3], "days": [5, 7]})]
+    monkeypatch.setattr(pd, "concat", None)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    event_id, days = stream._columns_in_order(iter(chunks), "event_id", "days")
+    assert event_id.tolist() == [3, 8, 9, 2] and days.tolist() == [7, 5, 40, 30]
+    assert stream._columns_in_order(iter(chunks[:1]), "event_id")[0].tolist() == [9, 2]
