@@ -239,3 +239,45 @@ def test_rows_of_a_key_are_put_in_order_without_a_frame(monkeypatch):
     event_id, days = stream._columns_in_order(iter(chunks), "event_id", "days")
     assert event_id.tolist() == [3, 8, 9, 2] and days.tolist() == [7, 5, 40, 30]
     assert stream._columns_in_order(iter(chunks[:1]), "event_id")[0].tolist() == [9, 2]
+
+
+def test_pages_are_made_where_they_are_looked_at(spark, tmp_path):
+    """Page queries move texts, never pixels: one Python stage makes a page and looks at it, with the rows of the table of pages."""
+    import pytest
+
+    from regionlake.plans import raster_queries as q
+
+    texts = [(1, "a line\n\n" + "word " * 600), (2, ""), (3, "∑ x = y\n" * 30)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = fixtures.document_pages(spark, str(tmp_path))
+    on_table = {
+        "page_quality": jobs.page_quality(pages, q.KEYS), "find_components": jobs.find_components(pages, q.KEYS, q.NATIVE),
+        "merged_components": jobs.merged_components(pages, q.KEYS, q.NATIVE),
+        "binarize_pages": jobs.binarize_pages(pages, q.KEYS, q.NATIVE),
+        "projection_regions": jobs.projection_regions(pages, q.KEYS), "quality_report": jobs.quality_report(jobs.page_quality(pages, q.KEYS)),
+        "thumbnails": q.content(jobs.resize_pages(pages, width=150, keys=q.KEYS)),
+        "prepare_crops": q.content(jobs.prepare_crops(q._crops(spark, str(tmp_path)))),
+    }
+    for name, want in on_table.items():
+        got = getattr(q, name)(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1, name
+        assert sorted(got.collect(), key=str) == sorted(want.select(*got.columns).collect(), key=str), name
+    with pytest.raises(ValueError):
+        jobs.page_quality(fixtures.pages_to_make(spark, str(tmp_path)), ["page_no"])
+
+
+def test_made_pages_are_looked_at_one_piece_at_a_time():
+    made = []
+
+    def make(batches):
+        for pdf in batches:
+            for n in pdf["n"]:
+                made.append(n)
+                yield pd.DataFrame({"page_no": [n], "width": 2, "height": 2, "channels": 1, "data": [bytes(4)]})
+
+    big = lambda gray, row: iter([{"bits": bytes(jobs.PIECE_BYTES)}])
+    run = jobs.per_page(jobs.PagesToMake(Caught(), make, "page_no int"), ["page_no"], big, "bits binary")
+    pieces = run(iter([pd.DataFrame({"n": range(40)})]))
+    next(pieces)
+    assert len(made) <= 2
