@@ -281,3 +281,12 @@ def test_made_pages_are_looked_at_one_piece_at_a_time():
     pieces = run(iter([pd.DataFrame({"n": range(40)})]))
     next(pieces)
     assert len(made) <= 2
+
+
+def test_sharpness_of_bytes_is_that_of_numbers():
+    from regionlake.raster import kernels as k
+
+    for seed, (h, w) in enumerate([(1, 1), (2, 5), (3, 3), (40, 50)]):
+        gray = np.random.default_rng(seed).integers(0, 256, (h, w)).astype(np.uint8)
+        assert k.quality(gray) == k.quality(gray.astype(np.float64))
+        assert (k.sharpen(gray) == k.sharpen(gray.astype(np.float64))).all()
