@@ -216,3 +216,33 @@ def test_pages_wait_for_their_text(spark, tmp_path):
     rows.pop("end", None)
     assert rows == {"with": (True, False, True), "late": (True, False, True), "plain": (False, True, False), "never": (None, False, True),
                     "plain late": (False, True, False), "empty": (True, False, False)}
+
+
+def test_contents_share_a_state_group():
+    """A trigger asks for each content once, in a few groups, and copies take the result of the first."""
+    import pandas as pd
+
+    class Seen(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        def getMapState(self, name, key, value, ttl):
+            return seen
+
+    seen, calls = Seen(), []
+
+    def make():
+        def fn(row):
+            calls.append(row["id"])
+            if row["data"] == b"bad":
+                raise ValueError("unreadable")
+            return row["data"].decode()
+        return fn
+
+    once = jobs._RecogniseOnce(make, 60, {"delay_seconds": 0.0, "max_attempts": 1})
+    once.init(Handle())
+    rows = pd.DataFrame({"id": [1, 2, 3, 4], "content_hash": ["a", "b", "a", None], "data": [b"x", b"bad", b"x", None], "bucket": 7})
+    for fresh in ([True, True, False, True], [False] * 4):
+        out, = once.handleInputRows((7,), iter([rows]), None)
+        assert list(out["fresh"]) == fresh and list(out["latex"])[:3] == ["x", None, "x"] and list(out["success"]) == [True, False, True, False]
+    assert calls == ["a", "b", None]
