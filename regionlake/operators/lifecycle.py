@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.barrier import settle
 from ..lineage import cut
 from ..params import PROVIDER_PRIORITY
 from .ordered import scan
@@ -294,3 +295,19 @@ def with_fallback(df: DataFrame, methods: Sequence[tuple[str, Callable[[DataFram
         left = left.join(got.select(key), key, "left_anti")
     rest = left.select(key, F.lit(None).cast("string").alias("method"), F.lit("unsolved").alias("error"))
     return rest if out is None else out.withColumn("error", F.lit(None).cast("string")).unionByName(rest, allowMissingColumns=True)
+
+
+def first_valid(df: DataFrame, column: str, methods: Sequence[tuple[str, Callable[[Column], Column]]], valid: Callable[[Column], Column],
+                key: str = "id") -> DataFrame:
+    """D3 for methods that need one row alone: (key, method, result, error) as `with_fallback`, in one pass.
+
+    A row keeps the result of the first method that makes a valid one; later methods are not tried on it.
+    """
+    rows = df.select(key, column, F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("result"))
+    for name, method in methods:
+        todo = c("method").isNull()
+        rows = settle(rows.withColumn("_tried", F.when(todo, method(c(column)))))
+        rows = settle(rows.withColumn("_good", todo & valid(c("_tried"))))
+        rows = rows.withColumns({"method": F.when(c("_good"), name).otherwise(c("method")),
+                                 "result": F.when(c("_good"), c("_tried")).otherwise(c("result"))}).drop("_tried", "_good")
+    return rows.select(key, "method", "result", F.when(c("method").isNull(), "unsolved").alias("error"))

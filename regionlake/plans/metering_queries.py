@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import latex as lx
-from ..operators import corpus, filters, lifecycle, metering
+from ..operators import filters, lifecycle, metering
 from .registry import (ATTEMPTS, HISTORY, RECOGNITIONS, REDEMPTIONS, REPLIES, SENDS, STORE, USERS, query)
 
 c = F.col
@@ -216,9 +216,9 @@ def provider_fallback(spark, sf):
 @query("fallback_methods")
 def fallback_methods(spark, sf):
     """Each method keeps the replies it can turn into valid LaTeX."""
-    keep = lambda fn: lambda df: corpus.valid_results(df.withColumn("latex", fn(c("reply")))).select("id", "latex")
-    out = lifecycle.with_fallback(fx.replies(spark, sf).select("id", "reply"), [
-        ("extract", keep(lx.extract_latex)), ("spans", keep(lx.extract_all_math)), ("plain", keep(lx.normalize_latex))])
+    out = lifecycle.first_valid(fx.replies(spark, sf), "reply", [
+        ("extract", lx.extract_latex), ("spans", lx.extract_all_math), ("plain", lx.normalize_latex)],
+        lambda s: lx.likely_latex(s) & lx.validate_latex(s)).withColumnRenamed("result", "latex")
     return out.select("id", "method", "latex", "error")
 
 

@@ -73,3 +73,24 @@ def test_a_look_up_does_not_shuffle_the_store(spark, tmp_path):
     assert {r.stored_at for r in out.filter("reused").collect()} == {
         r.ts for r in stored.filter("content_hash IN ('h1', 'h199')").groupBy("content_hash").agg(F.max("ts").alias("ts")).collect()}
     spark.sql("DROP TABLE detections_test")
+
+
+def test_methods_of_one_row_are_tried_in_one_pass(spark, tmp_path):
+    """fallback_methods gives what `with_fallback` gives, without moving a text."""
+    from pyspark.sql import functions as F
+
+    from regionlake import fixtures
+    from regionlake.functions import latex as lx
+    from regionlake.operators import corpus, lifecycle
+    from regionlake.plans import metering_queries as q
+
+    texts = ["plain words", "x = 1", "a (b", "$y$ and $$z^2$$", "```\nq_1\n```", "", "{", "∑ α", None, "\\frac{a}{b} 3"]
+    rows = [(i, texts[i % len(texts)], "web") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = q.fallback_methods(spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    keep = lambda fn: lambda df: corpus.valid_results(df.withColumn("latex", fn(F.col("reply")))).select("id", "latex")
+    want = lifecycle.with_fallback(fixtures.replies(spark, str(tmp_path)).select("id", "reply"), [
+        ("extract", keep(lx.extract_latex)), ("spans", keep(lx.extract_all_math)), ("plain", keep(lx.normalize_latex))])
+    found = sorted(got.collect())
+    assert found == sorted(want.select(*got.columns).collect()) and {r.method for r in found} > {"extract", "plain"}
