@@ -18,7 +18,8 @@ c = F.col
 def _recognised(spark, sf):
     r = fx.regions(spark, sf).withColumn("doc_id", F.floor(c("page_no") / 100)).withColumn(
         "markdown", F.lit(None).cast("string"))
-    return ops.attach_recognitions(r, fx.recognitions(spark, sf)).filter("status IN ('done', 'error')")
+    return ops.attach_recognitions(r, fx.recognitions(spark, sf), partitions=fx.region_partitions(spark, sf)).filter(
+        "status IN ('done', 'error')")
 
 
 def _hot(spark, sf):

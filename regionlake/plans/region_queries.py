@@ -391,7 +391,7 @@ def detection_stats(spark, sf):
     count(*) FILTER (status NOT IN ('done', 'processing')) AS pending, count(*) FILTER (kind = 'display') AS display,
     count(*) FILTER (kind = 'inline') AS inline FROM t GROUP BY page_no""")
 def status_counts(spark, sf):
-    return ops.status_counts(fx.regions(spark, sf), fx.recognitions(spark, sf))
+    return ops.status_counts(fx.regions(spark, sf), fx.recognitions(spark, sf), partitions=fx.region_partitions(spark, sf))
 
 
 @query("page_counts", f"""WITH {REGIONS}, p AS (SELECT DISTINCT page_no FROM regions_fx),
@@ -405,24 +405,27 @@ def page_counts(spark, sf):
 @query("attach_recognitions", f"""WITH {RECOGNITIONS} SELECT r.id, coalesce(status, 'pending') AS status, latex
   FROM regions_fx r LEFT JOIN recognitions_fx q USING (id)""")
 def attach_recognitions(spark, sf):
-    return ops.attach_recognitions(fx.regions(spark, sf), fx.recognitions(spark, sf)).select("id", "status", "latex")
+    return ops.attach_recognitions(
+        fx.regions(spark, sf), fx.recognitions(spark, sf), partitions=fx.region_partitions(spark, sf)).select("id", "status", "latex")
 
 
 @query("pending_regions", f"""WITH {RECOGNITIONS} SELECT page_no, id FROM regions_fx r
   WHERE NOT EXISTS (SELECT 1 FROM recognitions_fx q WHERE q.id = r.id AND status NOT IN ('pending', 'error'))""")
 def pending_regions(spark, sf):
-    return ops.pending_regions(fx.regions(spark, sf), fx.recognitions(spark, sf)).select("page_no", "id")
+    return ops.pending_regions(
+        fx.regions(spark, sf), fx.recognitions(spark, sf), fx.region_partitions(spark, sf)).select("page_no", "id")
 
 
 @query("delete_by_ids", f"WITH {RECOGNITIONS} SELECT page_no, id FROM regions_fx WHERE id NOT IN (SELECT id FROM recognitions_fx WHERE status = 'error')")
 def delete_by_ids(spark, sf):
     gone = fx.recognitions(spark, sf).filter("status = 'error'")
-    return ops.delete_by_ids(fx.regions(spark, sf), gone).select("page_no", "id")
+    return ops.delete_by_ids(fx.regions(spark, sf), gone, partitions=fx.region_partitions(spark, sf)).select("page_no", "id")
 
 
 @query("select_by_ids", f"WITH {RECOGNITIONS} SELECT page_no, id FROM regions_fx WHERE id IN (SELECT id FROM recognitions_fx WHERE status = 'error')")
 def select_by_ids(spark, sf):
-    return ops.select_by_ids(fx.regions(spark, sf), fx.recognitions(spark, sf).filter("status = 'error'")).select("page_no", "id")
+    chosen = fx.recognitions(spark, sf).filter("status = 'error'")
+    return ops.select_by_ids(fx.regions(spark, sf), chosen, partitions=fx.region_partitions(spark, sf)).select("page_no", "id")
 
 
 _FOLD = """(CASE WHEN (NOT cur.has_crop AND r.has_crop) OR r.confidence > cur.confidence + 0.01

@@ -92,6 +92,26 @@ def test_scan_blocks_equal_windows(spark, keys):
     assert {r.i: (r.n, r.p, r.s, r.m) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("limit", [1000, 10])
+def test_scan_over_more_tasks(spark, limit):
+    """Rows dealt to many tasks, or cut into many blocks, give what a window gives; keys may be null, tables empty."""
+    rng = np.random.default_rng(9)
+    rows = [(int(k) or None, i, int(rng.integers(-5, 50))) for i, k in enumerate(rng.integers(0, 40, 600))]
+    df = spark.createDataFrame(rows, "k int, i int, v int")
+    columns = dict(number="n", previous={"p": "v"}, sums={"s": "v"}, maxs={"m": "v"}, limit=limit)
+    out = ordered.scan(df, ["k"], ["i"], task_rows=20, **columns)
+    want = {}
+    for k in {r[0] for r in rows}:
+        seen = []
+        for _, i, v in (r for r in rows if r[0] == k):
+            want[i] = (len(seen) + 1, seen[-1] if seen else None, sum(seen) + v, max([*seen, v]))
+            seen.append(v)
+    assert {r.i: (r.n, r.p, r.s, r.m) for r in out.collect()} == want
+    if limit == 1000:
+        assert out.rdd.getNumPartitions() == 30
+    assert ordered.scan(df.filter("i < 0"), ["k"], ["i"], task_rows=20, **columns).isEmpty()
+
+
 @pytest.mark.parametrize("limit", [1000, 5])
 def test_reading_order(spark, limit):
     rows = boxes(np.random.default_rng(7), 40)

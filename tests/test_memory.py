@@ -290,3 +290,34 @@ def test_sharpness_of_bytes_is_that_of_numbers():
         gray = np.random.default_rng(seed).integers(0, 256, (h, w)).astype(np.uint8)
         assert k.quality(gray) == k.quality(gray.astype(np.float64))
         assert (k.sharpen(gray) == k.sharpen(gray.astype(np.float64))).all()
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark, tmp_path):
+    """A task of a window or a join by id has as many rows over a larger table; with the session's partitions it had more."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from regionlake.plans import region_queries as q
+
+    def lineitem(pages, path):
+        spark.range(pages * 4).selectExpr(
+            "id div 4 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber", "1D AS l_quantity",
+            "2D AS l_extendedprice", "0.1D AS l_discount", "0D AS l_tax", "if(id % 4 = 0, 'A', 'N') AS l_returnflag",
+        ).write.parquet(f"{path}/lineitem.parquet")
+        return str(path)
+
+    task_rows, pages = 250_000, 500_000
+    large, small = lineitem(pages, tmp_path / "large"), lineitem(50, tmp_path / "small")
+    tasks = fixtures.regions(spark, large).groupBy(F.spark_partition_id()).count()
+    assert tasks.agg(F.max("count")).first()[0] < 1.2 * task_rows
+    for query in (q.status_counts, q.attach_recognitions, q.pending_regions, q.delete_by_ids, q.select_by_ids):
+        plan = lambda path: query(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", plan(large)) == ["8", "8"], query.__name__
+        assert "REPARTITION_BY_NUM" not in plan(small), query.__name__
+    state = "array(1, 2, 3, 4), i -> page_no % 4 <> 0 AND (page_no + i) % 5 > 1"
+    want = spark.range(pages).withColumnRenamed("id", "page_no").selectExpr(
+        "page_no", "4L AS shown", f"CAST(size(filter({state})) AS BIGINT) AS done", "0L AS processing")
+    want = want.selectExpr("*", "4 - done AS pending", "1L AS display", "3L AS inline")
+    got = q.status_counts(spark, large).select(want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
