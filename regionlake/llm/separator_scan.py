@@ -8,7 +8,8 @@ end of each block, and numbers the documents.
 
 ``write_token_files`` makes such files with Spark's text writer: a line is a document's raw identifiers, and what ends a
 line is the end identifier itself.  The ids of the documents go, in the same order, to a file of their own beside each
-token file.
+token file.  A task begins new files every few megabytes, so that reading a file takes the same memory however much text
+a task had.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .tables import texts
 c = F.col
 END = 50256
 BLOCK_TOKENS = 1 << 20
+FILE_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -44,12 +46,12 @@ def _coder(ranks: bytes, pattern: str):
 class _Encode:
     """Identifiers of each text as little-endian 16-bit numbers, by a public byte-pair vocabulary."""
 
-    def __init__(self, ranks: bytes, pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: bytes, pattern: str, file_bytes: int = FILE_BYTES):
+        self.ranks, self.pattern, self.file_bytes = ranks, pattern, file_bytes
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(self.ranks, self.pattern)
-        n = 0
+        n = written = piece = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo in range(0, len(ids), 256):
@@ -58,9 +60,17 @@ class _Encode:
                 key = [np.array([0 if i is None else i, i is not None], "<i8").tobytes() for i in part]
                 at = np.arange(n, n + len(part))
                 n += len(part)
+                pieces = []
+                for value in coded:
+                    # a file has the document that passes its size, and 16 bytes of every document for its ids
+                    pieces.append(piece)
+                    written += len(value) + 16
+                    if written >= self.file_bytes:
+                        written, piece = 0, piece + 1
                 for kind, value in (("tokens", coded), ("ids", key)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(part)), pa.array(at, pa.int64()), pa.array(value, pa.binary())], ["kind", "at", "value"])
+                        [pa.array([kind] * len(part)), pa.array(pieces, pa.int32()), pa.array(at, pa.int64()), pa.array(value, pa.binary())],
+                        ["kind", "piece", "at", "value"])
 
 
 def vocabulary(path: str) -> tuple[bytes, str]:
@@ -71,29 +81,32 @@ def vocabulary(path: str) -> tuple[bytes, str]:
         return f.read(), pattern
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Token files below ``path/kind=tokens`` and the documents' ids below ``path/kind=ids``, one pair of each task.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+                      file_bytes: int = FILE_BYTES) -> None:
+    """Token files below ``path/kind=tokens`` and the documents' ids below ``path/kind=ids``.
 
-    A null or empty text is a document of no tokens.  Texts are encoded whole; strings that look like special tokens are
+    Each task writes a pair of files for every ``file_bytes`` of identifiers, in folders ``piece=0``, ``piece=1`` and so on; a
+    document is never divided.  A null or empty text is a document of no tokens.  Texts are encoded whole; strings that look like special tokens are
     ordinary text, so no document holds the end identifier.
     """
     separator = np.array([END], "<u2").tobytes().decode("latin-1")
-    rows = texts(docs, id_col, text_col).mapInArrow(_Encode(*vocabulary(tokenizer)), "kind string, at long, value binary")
-    # the writer puts out a string's bytes as they are; ordering keeps both files of a task in step
-    rows.sortWithinPartitions("kind", "at").select("kind", c("value").cast("string").alias("value")).write.partitionBy(
-        "kind").option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    rows = texts(docs, id_col, text_col).mapInArrow(
+        _Encode(*vocabulary(tokenizer), file_bytes), "kind string, piece int, at long, value binary")
+    # the writer puts out a string's bytes as they are; ordering keeps both files of a piece in step
+    rows.sortWithinPartitions("kind", "piece", "at").select("kind", "piece", c("value").cast("string").alias("value")).write.partitionBy(
+        "kind", "piece").option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    part = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "part-(\\d+)", 1).cast("int")
+    found = lambda pattern: F.coalesce(F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).cast("int"), F.lit(0))
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.coalesce(part, F.lit(0)).alias("file_no"), "path", "content")
+        found("/part-(\\d+)[^/]*$").alias("file_no"), found("/piece=(\\d+)/[^/]*$").alias("piece"), "path", "content")
 
 
 def scan(spark: SparkSession, path: str, end: int = END, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(path, file_no, doc_no, start, n_tokens) of each document in the files below ``path``.
+    """(path, file_no, piece, doc_no, start, n_tokens) of each document in the files below ``path``.
 
-    ``start`` is the document's first token in the file.  Tokens behind the last end identifier are a document of their
+    ``file_no`` and ``piece`` are taken from the file's name and folder, 0 without them.  ``start`` is the document's first token in the file.  Tokens behind the last end identifier are a document of their
     own (of a file cut short); an empty file has none.  A file of up to 2 GB is read by one task.
     """
     blocks = _files(spark, path).mapInArrow(_Search(end, width, block_tokens), _BLOCK)
@@ -110,12 +123,12 @@ def scan(spark: SparkSession, path: str, end: int = END, width: int = 2, block_t
         F.when(i == 0, c("open_from")).otherwise(c("at") + F.get("ends", i - 1) + 1).alias("start"), (c("at") + e).alias("stop")))
     open_end = F.when(c("last") & (tail < c("at") + c("size")), F.array(F.struct(
         (c("docs_before") + F.size("ends")).alias("doc_no"), tail.alias("start"), (c("at") + c("size")).alias("stop"))))
-    return rows.select("path", "file_no", F.inline(F.concat(ends, F.coalesce(open_end, F.array().cast(
+    return rows.select("path", "file_no", "piece", F.inline(F.concat(ends, F.coalesce(open_end, F.array().cast(
         "array<struct<doc_no:bigint,start:bigint,stop:bigint>>"))))).select(
-        "path", "file_no", "doc_no", "start", (c("stop") - c("start")).alias("n_tokens"))
+        "path", "file_no", "piece", "doc_no", "start", (c("stop") - c("start")).alias("n_tokens"))
 
 
-_BLOCK = "path string, file_no int, block int, at long, size long, ends array<long>"
+_BLOCK = "path string, file_no int, piece int, block int, at long, size long, ends array<long>"
 
 
 class _Search:
@@ -125,33 +138,34 @@ class _Search:
     def __call__(self, batches):
         kind = np.dtype("<u2" if self.width == 2 else "<u4")
         for batch in batches:
-            for file_no, path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for file_no, piece, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 tokens = np.frombuffer(content.as_buffer(), kind, len(content.as_buffer()) // self.width)
-                rows = [(path, file_no, k, at, len(part), np.flatnonzero(part == self.end)) for k, (at, part) in enumerate(
+                rows = [(path, file_no, piece, k, at, len(part), np.flatnonzero(part == self.end)) for k, (at, part) in enumerate(
                     (at, tokens[at:at + self.block]) for at in range(0, len(tokens), self.block))]
                 if rows:
                     cols = list(zip(*rows))
-                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)],
-                                                     ["path", "file_no", "block", "at", "size", "ends"])
+                                                     ["path", "file_no", "piece", "block", "at", "size", "ends"])
 
 
 def document_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(file_no, doc_no, doc_id) from the files of ids that ``write_token_files`` left."""
+    """(file_no, piece, doc_no, doc_id) from the files of ids that ``write_token_files`` left."""
     def read(batches):
         for batch in batches:
-            for file_no, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for file_no, piece, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
                 ids = raw.reshape(-1, 18)[:, :16].copy().view("<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), file_no, np.int32)), pa.array(np.arange(len(ids))), pa.array(ids[:, 0], mask=ids[:, 1] == 0)],
-                    ["file_no", "doc_no", "doc_id"])
+                    [pa.array(np.full(len(ids), file_no, np.int32)), pa.array(np.full(len(ids), piece, np.int32)), pa.array(np.arange(len(ids))),
+                     pa.array(ids[:, 0], mask=ids[:, 1] == 0)], ["file_no", "piece", "doc_no", "doc_id"])
 
-    return _files(spark, path).select("file_no", "content").mapInArrow(read, "file_no int, doc_no long, doc_id long")
+    return _files(spark, path).select("file_no", "piece", "content").mapInArrow(
+        read, "file_no int, piece int, doc_no long, doc_id long")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, and where its tokens are: file_no, doc_no, start.
+    """One row per row of ``docs``: doc_id, n_tokens, and where its tokens are: file_no, piece, doc_no, start.
 
     The token files are written below ``path``, by default a new folder in the shared one.  Repeated rows and rows without
     an id are documents like any other.
@@ -159,8 +173,8 @@ def token_counts(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     if not docs.limit(1).count():  # no documents leave no files to read
-        return spark.createDataFrame([], "doc_id long, n_tokens long, file_no int, doc_no long, start long")
+        return spark.createDataFrame([], "doc_id long, n_tokens long, file_no int, doc_no long, start long, piece int")
     write_token_files(docs, path, tokenizer, id_col, text_col)
     found = scan(spark, f"{path}/kind=tokens")
-    return found.join(document_ids(spark, f"{path}/kind=ids"), ["file_no", "doc_no"]).select(
-        "doc_id", "n_tokens", "file_no", "doc_no", "start")
+    return found.join(document_ids(spark, f"{path}/kind=ids"), ["file_no", "piece", "doc_no"]).select(
+        "doc_id", "n_tokens", "file_no", "doc_no", "start", "piece")

@@ -198,6 +198,20 @@ def test_token_counts(odd, frame, tmp_path):
     assert got == Counter((r.doc_id, len(coder.encode_ordinary(r.text or ""))) for r in odd.collect())
 
 
+def test_token_files_are_written_in_pieces(spark, frame, tmp_path):
+    """However much text a task has, no file is larger than the limit and one document; ids stay with their documents."""
+    coder = separator_scan._coder(*separator_scan.vocabulary(tokenizer()))
+    rows = [(i, " ".join(WORDS[j % len(WORDS)] for j in range(i % 40))) for i in range(300)]
+    want = {i: len(coder.encode_ordinary(t)) for i, t in rows}
+    path = f"file://{tmp_path}/d"
+    separator_scan.write_token_files(frame(rows).coalesce(1), path, tokenizer(), file_bytes=1000)
+    files = [f for f in (tmp_path / "d").rglob("part-*") if "kind=tokens" in str(f)]
+    assert len(files) > 10 and max(f.stat().st_size for f in files) <= 1000 + 2 * max(want.values()) + 2
+    found = separator_scan.scan(spark, f"{path}/kind=tokens").join(
+        separator_scan.document_ids(spark, f"{path}/kind=ids"), ["file_no", "piece", "doc_no"])
+    assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == sorted(want.items())
+
+
 def test_token_counts_of_nothing(empty, tmp_path):
     assert separator_scan.token_counts(empty, tokenizer(), f"file://{tmp_path}/c").count() == 0
 
