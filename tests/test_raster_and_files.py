@@ -1,17 +1,19 @@
 """Pixel steps against slow restatements, and files in and out."""
 
+import hashlib
 import re
 import struct
 import zlib
 from dataclasses import replace
 from datetime import datetime
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from regionlake.params import DetectionParams, PageParams, TileParams
-from regionlake.operators import lifecycle
+from regionlake.operators import lifecycle, regions as region_ops
 from regionlake.raster import features, jobs
 from regionlake.raster import kernels as k
 from regionlake.sources import exports, images, tables
@@ -528,3 +530,87 @@ def test_merged_boxes(size):
         for gaps in ((0, 0), (5, 3), (30, 15)):
             got = k.merge_boxes(boxes, *gaps).tolist()
             assert [tuple(b) for b in got] == slow_merge([tuple(b) for b in boxes.tolist()], *gaps)
+
+
+def test_crops_for_remote_recognisers_are_enlarged_on_white(spark):
+    rng = np.random.default_rng(4)
+    gray = rng.integers(0, 256, (6, 10)).astype(np.uint8)
+    want = k.sharpen(k.median3(k.equalize(k.enlarge(gray, 1.5))))
+    clear = np.dstack([gray, gray, gray, np.full_like(gray, 255)])
+    clear[:3, :, 3] = 0
+    rows = [("gray", 10, 6, 1, bytearray(gray.tobytes())), ("clear", 10, 6, 4, bytearray(clear.tobytes()))]
+    crops = spark.createDataFrame(rows, "id string, width int, height int, channels int, data binary")
+    got = {r.id: r for r in jobs.prepare_crops(crops).collect()}
+    assert (got["gray"].width, got["gray"].height) == (15, 9) and bytes(got["gray"].data) == want.tobytes()
+    paper = k.sharpen(k.median3(k.equalize(k.enlarge(np.where(np.arange(6)[:, None] < 3, 255, gray).astype(np.uint8), 1.5))))
+    assert bytes(got["clear"].data) == paper.tobytes()
+    assert jobs.prepare_crops(crops, upscale=1.0).first().width == 10
+    hashes = {r.id: r.content_hash for r in jobs.prepare_crops(crops, digest=True).collect()}
+    assert hashes == {i: hashlib.sha256(bytes(r.data)).hexdigest() for i, r in got.items()}
+
+
+@pytest.mark.parametrize("shape, factor", [((1, 1), 1.5), ((2, 3), 1.5), ((7, 5), 1.5), ((8, 6), 2.0), ((5, 9), 1.3)])
+def test_enlarged_bytes_are_rounded_exactly(shape, factor):
+    a = np.random.default_rng(shape[1]).integers(0, 256, shape).astype(np.uint8)
+    got = k.enlarge(a, factor)
+
+    def places(n, m):
+        at = [min(max(Fraction(2 * j + 1, 2) * n / m - Fraction(1, 2), Fraction(0)), Fraction(n - 1)) for j in range(m)]
+        return [(int(p), min(int(p) + 1, n - 1), p - int(p)) for p in at]
+
+    pick = lambda y, x: int(a[y, x])
+    want = [[int((pick(i, x) * (1 - u) + pick(i, z) * u) * (1 - t) + (pick(j, x) * (1 - u) + pick(j, z) * u) * t + Fraction(1, 2))
+             for x, z, u in places(shape[1], got.shape[1])] for i, j, t in places(shape[0], got.shape[0])]
+    assert got.tolist() == want
+
+
+def test_bitmaps_of_a_query_are_told_by_their_hash(spark, tmp_path):
+    from regionlake import fixtures
+    from regionlake.plans import raster_queries as q
+
+    spark.createDataFrame([(1, "x = y\n" * 30), (2, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = jobs.binarize_pages(fixtures.document_pages(spark, str(tmp_path)), q.KEYS, q.NATIVE).collect()
+    got = {(r.doc_id, r.page_no): r.bits_hash for r in q.binarize_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and got == {(r.doc_id, r.page_no): hashlib.sha256(bytes(r.bits)).hexdigest() for r in whole}
+
+
+def test_a_tile_takes_one_kind_of_detections(spark):
+    """Text on large tiles, else pixels, else text, else the basic ones; nothing on a blank tile without text."""
+    row = "page_no int, tile_no int, id string"
+    frame = lambda rows, more="": spark.createDataFrame(rows, row + more)
+    tiles = spark.createDataFrame([(0, n, 2000 if n == 1 else 100, 1000) for n in range(6)], "page_no int, tile_no int, tile_w int, tile_h int")
+    text = frame([(0, 1, "t1"), (0, 2, "t2"), (0, 3, "t3"), (0, 5, "t5")])
+    pixel = frame([(0, 1, "p1", False), (0, 2, "p2", False), (0, 4, "p4", True), (0, 5, "p5", True)], ", blank boolean")
+    basic = frame([(0, n, f"b{n}") for n in range(6)])
+    pick = lambda *a, **kw: sorted((r.id, r.detected_by) for r in region_ops.text_or_pixel(*a, **kw).collect())
+    want = [("p2", "pixel"), ("p5", "pixel"), ("t1", "text"), ("t3", "text")]
+    assert pick(text, pixel, tiles) == want
+    assert pick(text, pixel, tiles, basic=basic) == sorted([*want, ("b0", "basic")])
+    assert pick(text, pixel.drop("blank"), tiles) == sorted([*want, ("p4", "pixel")])
+
+
+def test_whole_pages_choose_and_move_no_pixels(spark, tmp_path):
+    from regionlake import fixtures
+    from regionlake.plans import raster_queries as q
+
+    texts = [(1, "a line with x = y + z\n" * 30), (2, ""), (5, "∑ x = √y\n\n" * 20)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages, made = fixtures.document_pages(spark, str(tmp_path)), fixtures.pages_to_make(spark, str(tmp_path))
+    items = fixtures.document_items(spark, str(tmp_path))
+    low = PageParams(confidence_threshold=0.3, policy="by_size")
+    t = TileParams(tile_size=200, margin=20, threshold_area=1000)
+    tiles = jobs.tiles_to_make(made, q.KEYS, t)
+    cut = {(r.doc_id, r.page_no, r.tile_no, r.tile_x, r.tile_y, r.width, r.height, bytes(r.data)) for r in jobs.tile_pages(pages, q.KEYS, t).collect()}
+    assert {(r.doc_id, r.page_no, r.tile_no, r.tile_x, r.tile_y, r.width, r.height, bytes(r.data)) for r in tiles.frame().collect()} == cut
+    run = lambda source, **kw: jobs.whole_page_regions(source, items, q.KEYS, low, q.NATIVE, **kw).drop("features")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(run(made)) == rows(run(pages)) and rows(run(made, t=t)) == rows(run(pages, t=t))
+    by_tile = {}
+    for r in run(made).collect():
+        by_tile.setdefault((r.doc_id, r.page_no), set()).add(r.detected_by)
+    assert by_tile and all(len(kinds) == 1 for kinds in by_tile.values())
+    registered = q.whole_page_regions(spark, str(tmp_path))
+    whole = jobs.whole_page_regions(pages, items, q.KEYS, PageParams(policy="by_size"), q.NATIVE).select(*registered.columns)
+    assert rows(registered) == rows(whole)
+    plan = q.detect_regions(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("MapInArrow") == 1
