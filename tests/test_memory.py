@@ -325,3 +325,25 @@ def test_large_tables_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
     want = want.selectExpr("*", "4 - done AS pending", "1L AS display", "3L AS inline")
     got = got.select(want.columns)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_pages_are_recognised_without_moving_pixels(spark, tmp_path):
+    from regionlake.operators import lifecycle
+    from regionlake.plans import raster_queries as q
+
+    texts = [(1, "a line\n" * 30), (2, "a line\n" * 30), (3, ""), (4, "x = y"), (5, "")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    want = lifecycle.recognize_unique(q._crops(spark, sf), q.make_test_recognizer, delay_seconds=0.0)
+    names = ["id", "success", "latex", "error", "attempts"]
+    got = q.recognize(spark, sf)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*names).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # one stage makes and recognises: no column of pixels, packed or not, is in the plan
+    assert plan.count("MapInPandas") == 1 and "data#" not in plan and "MapInArrow" not in plan
+    seen = lambda: lambda row: f"{sorted(row)} {len(row['data'])}"
+    texts = {r.latex for r in jobs.recognize_pages(fixtures.pages_to_make(spark, sf), q.KEYS, seen, delay_seconds=0.0).collect()}
+    assert texts == {f"['channels', 'data', 'height', 'id', 'width'] {320 * 720}"}
+    calls = lambda: lambda row: 1 / 0
+    assert {(r.success, r.attempts) for r in jobs.recognize_pages(
+        fixtures.pages_to_make(spark, sf), q.KEYS, calls, delay_seconds=0.0, max_attempts=2).collect()} == {(False, 2)}
